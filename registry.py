@@ -328,3 +328,126 @@ def _long_sql() -> str:
 @reg("rpt_long", O.with_view(_long_sql()))
 def q_rpt_long(spark, sf):
     return reports.long_report(analytics(spark, sf))
+
+
+# ---------------------------------------------------------------- segments
+from tidemark.operators import flow  # noqa: E402
+from tidemark.operators.segments import Segment, apply_segments  # noqa: E402
+
+
+def _seg_rows(spark, sf, segs):
+    a = apply_segments(analytics(spark, sf), segs)
+    return a.rows.select("session_id", "event_id", "event", "pathname", "channel", "country")
+
+
+def _seg_sql(conds):
+    return O.with_view("SELECT session_id, event_id, event, pathname, channel, country FROM a", O.seg_where(conds))
+
+
+SEGMENT_CASES = {
+    "seg_apply": ([Segment("channel", "Social"), Segment("pathname", "/p/3")],
+                  ["channel = 'Social'", "\"pathname\" = '/p/3'"]),
+    "seg_none": ([], []),
+    "seg_column": ([Segment("country", "France"), Segment("event", "purchase")],
+                   ["\"country\" = 'France'", "\"event\" = 'purchase'"]),
+    "seg_db_override": ([Segment("page", "ignored", db_column="pathname", db_value="/p/1")],
+                        ["pathname = '/p/1'"]),
+    "seg_custom": ([Segment("custom:k", "69")], ["json_extract_string(properties, '$.k') = '69'"]),
+    "seg_screen_size": ([Segment("screen_size", "1920x1080")],
+                        ["(screen_width::VARCHAR || 'x' || screen_height::VARCHAR) = '1920x1080'"]),
+    "seg_channel": ([Segment("channel", "Email")], ["channel = 'Email'"]),
+    "seg_referer_domain": ([Segment("referer_domain", "google.com")],
+                           ["regexp_replace(COALESCE(referer_domain, '$direct', 'Unknown'), '^www\\.', '') = 'google.com'"]),
+    "seg_referer_direct": ([Segment("referer_domain", "$direct")],
+                           ["COALESCE(referer_domain, '$direct', 'Unknown') = '$direct'"]),
+    "seg_source": ([Segment("source", "news.example")], ["source = 'news.example'"]),
+}
+
+for _name, (_segs, _conds) in SEGMENT_CASES.items():
+    reg(_name, _seg_sql(_conds))(lambda spark, sf, _s=_segs: _seg_rows(spark, sf, _s))
+
+SEG2 = [Segment("channel", "Social"), Segment("pathname", "/p/3")]
+SEG2_SQL = O.seg_where(["channel = 'Social'", "\"pathname\" = '/p/3'"])
+
+
+@reg("rpt_channels_segmented", O.with_view(O.top("channel", "COUNT(DISTINCT session_id)"),
+                                           O.seg_where(["\"event\" = 'purchase'"])))
+def q_rpt_channels_segmented(spark, sf):
+    return reports.channels(apply_segments(analytics(spark, sf), [Segment("event", "purchase")]))
+
+
+@reg("agg_stats_segmented", O.with_view(O.STATS, SEG2_SQL))
+def q_agg_stats_segmented(spark, sf):
+    return stats.stats(apply_segments(analytics(spark, sf), SEG2))
+
+
+@reg("rpt_events_segmented", O.with_view(O.EVENTS_REPORT, O.seg_where(["country = 'France'"])))
+def q_rpt_events_segmented(spark, sf):
+    return reports.events_report(apply_segments(analytics(spark, sf), [Segment("country", "France")]))
+
+
+# ---------------------------------------------------------------- page flow
+def _steps(spark, sf, segs=()):
+    a = apply_segments(analytics(spark, sf), list(segs))
+    return flow.steps(a.event_rows(), a.seq_col)
+
+
+@reg("flow_sessions", O.with_view("SELECT session_id, event_id FROM a", O.seg_where(["channel = 'Social'"])))
+def q_flow_sessions(spark, sf):
+    a = apply_segments(analytics(spark, sf), [Segment("channel", "Social")])
+    return a.event_rows().select("session_id", "event_id")
+
+
+@reg("flow_node_label", O.with_view("SELECT session_id, event_id, base_node FROM fl_raw", extra_ctes=O.FLOW_CTES))
+def q_flow_node_label(spark, sf):
+    return analytics(spark, sf).base.select("session_id", "event_id", flow.node_label().alias("base_node"))
+
+
+@reg("flow_dedupe", O.with_view("SELECT session_id, event_id, base_node FROM fl_steps", extra_ctes=O.FLOW_CTES))
+def q_flow_dedupe(spark, sf):
+    return _steps(spark, sf).select("session_id", "event_id", "base_node")
+
+
+@reg("flow_step_index", O.with_view("SELECT session_id, event_id, step_idx FROM fl_steps", extra_ctes=O.FLOW_CTES))
+def q_flow_step_index(spark, sf):
+    return _steps(spark, sf).select("session_id", "event_id", F.col("step_idx").cast("bigint").alias("step_idx"))
+
+
+@reg("flow_node_id", O.with_view("SELECT session_id, event_id, node_id FROM fl_nodes", extra_ctes=O.FLOW_CTES))
+def q_flow_node_id(spark, sf):
+    return _steps(spark, sf).select("session_id", "event_id", "node_id")
+
+
+@reg("flow_pairs", O.with_view("SELECT session_id, event_id, source_node, target_node FROM fl_pairs",
+                               extra_ctes=O.FLOW_CTES))
+def q_flow_pairs(spark, sf):
+    return _steps(spark, sf).select("session_id", "event_id", F.col("node_id").alias("source_node"), "target_node")
+
+
+@reg("flow_transitions", O.with_view("SELECT source_node, target_node, value FROM fl_links", extra_ctes=O.FLOW_CTES))
+def q_flow_transitions(spark, sf):
+    return flow.flow_links(analytics(spark, sf))
+
+
+@reg("flow_transitions_all", O.with_view("SELECT source_node, target_node, value FROM fl_counts",
+                                         extra_ctes=O.FLOW_CTES))
+def q_flow_transitions_all(spark, sf):
+    return flow.transitions(analytics(spark, sf))
+
+
+@reg("flow_display_links", O.with_view("SELECT source, target, value FROM fl_shown", extra_ctes=O.FLOW_CTES))
+def q_flow_display_links(spark, sf):
+    return flow.display_links(flow.flow_links(analytics(spark, sf)))
+
+
+@reg("flow_nodes", O.with_view(
+    "SELECT id, regexp_replace(id, ' #[0-9]+$', '') AS label FROM "
+    "(SELECT source AS id FROM fl_shown UNION SELECT target FROM fl_shown) n", extra_ctes=O.FLOW_CTES))
+def q_flow_nodes(spark, sf):
+    return flow.flow_nodes(flow.display_links(flow.flow_links(analytics(spark, sf))))
+
+
+@reg("flow_segmented", O.with_view("SELECT source_node, target_node, value FROM fl_links",
+                                   SEG2_SQL, extra_ctes=O.FLOW_CTES))
+def q_flow_segmented(spark, sf):
+    return flow.flow_links(apply_segments(analytics(spark, sf), SEG2))

@@ -136,25 +136,57 @@ def real_page() -> Column:
     return is_page_view() & F.col("pathname").isNotNull() & (F.trim(F.col("pathname")) != "")
 
 
+# Null-safe session key: a null session_id is one group (as a window partition
+# would be).  Grouping and joining on the pair (_sk, _sn) lets the session
+# aggregate's hash partitioning be reused by the join back to the rows.
+SK, SN = "_sk", "_sn"
+
+
+def with_session_key(df: DataFrame) -> DataFrame:
+    return df.withColumn(SK, F.coalesce(F.col(SESSION_KEY), F.lit(""))).withColumn(SN, F.col(SESSION_KEY).isNull())
+
+
 @dataclass(frozen=True)
 class Analytics:
-    """The analytics view (``rows``) and its session table (``sessions``).
-
-    ``sessions`` has one row per distinct ``session_id`` (a null id is one
-    group, as a window partition would be) with the filled visit columns,
-    channel, source and the per-session facts
-    ``n_rows, n_pageviews, first_ts, last_ts, entry_page, exit_page``.
+    """The analytics view, kept as raw rows + session table.
+
+    ``base``: the union of both tables (event columns, ``session_id``, the
+    optional sequence column, session key), before filling.
+    ``sessions``: one row per session with the filled visit columns, channel,
+    source and the facts ``n_rows, n_pageviews, first_ts, last_ts,
+    entry_page, exit_page``.  ``rows`` (the view itself) is ``base`` joined to
+    ``sessions``; narrowing ``sessions`` (segments) therefore narrows the view
+    with the same single shuffle of the raw rows.
     """
 
-    rows: DataFrame
+    base: DataFrame
     sessions: DataFrame
+    static: tuple[str, ...]
     seq_col: str | None = None
+    narrowed: bool = False
+
+    def event_rows(self) -> DataFrame:
+        """Raw rows of the kept sessions (event columns only, no fill needed)."""
+        if not self.narrowed:
+            return self.base
+        return self.base.join(self.sessions.select(SK, SN), [SK, SN], "left_semi")
+
+    @property
+    def rows(self) -> DataFrame:
+        keep = list(S.EVENT_COLUMNS) + ([self.seq_col] if self.seq_col else [])
+        b = self.base.select(*keep, SK, SN)
+        filled = self.sessions.select(SK, SN, *self.static, "channel", "source")
+        cols = list(S.EVENT_COLUMNS) + list(self.static) + ["channel", "source"] + keep[len(S.EVENT_COLUMNS):]
+        return b.join(filled, [SK, SN], "inner").select(*cols)
+
+    def with_sessions(self, sessions: DataFrame) -> "Analytics":
+        return Analytics(self.base, sessions, self.static, self.seq_col, True)
 
     def persist(self) -> "Analytics":
-        return Analytics(self.rows.persist(), self.sessions.persist(), self.seq_col)
+        return Analytics(self.base.persist(), self.sessions.persist(), self.static, self.seq_col, self.narrowed)
 
     def unpersist(self) -> None:
-        self.rows.unpersist()
+        self.base.unpersist()
         self.sessions.unpersist()
 
 
@@ -162,8 +194,9 @@ def session_table(base: DataFrame, static: list[str], seq_col: str | None = None
     """One grouped pass over the raw rows: the session's first row + session facts."""
     ok = order_key(base, seq_col)
     page = real_page()
-    agg = base.groupBy(SESSION_KEY).agg(
-        F.min_by(F.struct(*[F.col(c) for c in static if c != SESSION_KEY]), ok).alias("_first"),
+    vis = [c for c in static if c != SESSION_KEY]
+    agg = base.groupBy(SK, SN).agg(
+        F.min_by(F.struct(*[F.col(c) for c in vis]), ok).alias("_first"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(is_page_view()).alias("n_pageviews"),
         F.min("timestamp").alias("first_ts"),
@@ -171,8 +204,12 @@ def session_table(base: DataFrame, static: list[str], seq_col: str | None = None
         F.min_by(F.col("pathname"), F.when(page, ok)).alias("entry_page"),
         F.max_by(F.col("pathname"), F.when(page, ok)).alias("exit_page"),
     )
-    agg = agg.select(SESSION_KEY, "_first.*", *[c for c in agg.columns if c not in (SESSION_KEY, "_first")])
-    return agg.withColumn("channel", channel_expr()).withColumn("source", source_expr())
+    facts = [c for c in agg.columns if c not in (SK, SN, "_first")]
+    agg = agg.select(
+        SK, SN, F.when(~F.col(SN), F.col(SK)).alias(SESSION_KEY), "_first.*", *facts
+    )
+    ordered = [SK, SN] + list(static) + facts
+    return agg.select(*ordered).withColumn("channel", channel_expr()).withColumn("source", source_expr())
 
 
 def build(initial: DataFrame, events: DataFrame, seq_col: str | None = None,
@@ -184,18 +221,10 @@ def build(initial: DataFrame, events: DataFrame, seq_col: str | None = None,
         raise ValueError("session_id column is missing; the view cannot be built")
     if utm_override and "utm_source" in initial.columns:
         initial = override_referer(initial)
-    base = union_events(initial, events, fields)
-    sessions = session_table(base, static, seq_col)
-    keep = list(S.EVENT_COLUMNS) + ([seq_col] if seq_col and seq_col in base.columns else [])
-    filled = sessions.select(
-        F.col(SESSION_KEY).alias("_sid"), *[c for c in static if c != SESSION_KEY], "channel", "source"
-    )
-    b = base.select(*keep, SESSION_KEY)
-    rows = b.join(filled, b[SESSION_KEY].eqNullSafe(filled["_sid"]), "inner").drop("_sid")
-    cols = list(S.EVENT_COLUMNS) + static + ["channel", "source"]
-    if seq_col and seq_col in base.columns:
-        cols.append(seq_col)
-    return Analytics(rows.select(*cols), sessions, seq_col)
+    base = with_session_key(union_events(initial, events, fields))
+    seq = seq_col if seq_col and seq_col in base.columns else None
+    sessions = session_table(base, static, seq)
+    return Analytics(base, sessions, tuple(static), seq)
 
 
 def analytics(initial: DataFrame, events: DataFrame, **kw) -> DataFrame:
@@ -216,10 +245,10 @@ def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = N
     static = [c for c in static_columns(fields) if c != SESSION_KEY]
     if mode == "first_row":
         ok = order_key(df, seq_col)
-        first = df.groupBy(SESSION_KEY).agg(F.min_by(F.struct(*static), ok).alias("_first"))
-        filled = first.select(F.col(SESSION_KEY).alias("_sid"), "_first.*")
-        b = df.drop(*static)
-        out = b.join(filled, b[SESSION_KEY].eqNullSafe(filled["_sid"]), "inner").drop("_sid")
+        keyed = with_session_key(df)
+        first = keyed.groupBy(SK, SN).agg(F.min_by(F.struct(*static), ok).alias("_first"))
+        filled = first.select(SK, SN, "_first.*")
+        out = keyed.drop(*static).join(filled, [SK, SN], "inner")
         return out.select(*df.columns)
     if mode == "forward":
         from pyspark.sql import Window

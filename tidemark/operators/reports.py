@@ -61,7 +61,7 @@ def regions(a: Analytics) -> DataFrame:
 
 
 def top_pages(a: Analytics) -> DataFrame:
-    return simple_report(a.rows, F.col("pathname"), F.count(F.lit(1)), real_page())
+    return simple_report(a.event_rows(), F.col("pathname"), F.count(F.lit(1)), real_page())
 
 
 def entry_pages(a: Analytics) -> DataFrame:
@@ -110,7 +110,7 @@ def screen_sizes(a: Analytics) -> DataFrame:
 
 def events_report(a: Analytics) -> DataFrame:
     """Per event name: distinct sessions (value), rows (events), % of all sessions."""
-    r = a.rows
+    r = a.event_rows()
     counts = r.groupBy(F.coalesce(F.col("event"), F.lit("Unknown")).alias("name")).agg(
         F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
     )
@@ -131,7 +131,7 @@ def property_path(key: str) -> str:
 def property_values(a: Analytics, key: str) -> DataFrame:
     """Values of one property key: sessions, rows, % of the sum of sessions over values (D15)."""
     v = F.get_json_object(F.col("properties"), property_path(key))
-    e = a.rows.select(F.col(SID), v.alias("prop_value")).filter(F.col("prop_value").isNotNull())
+    e = a.event_rows().select(F.col(SID), v.alias("prop_value")).filter(F.col("prop_value").isNotNull())
     agg = e.groupBy(F.col("prop_value").alias("name")).agg(
         F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
     )

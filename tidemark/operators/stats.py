@@ -77,7 +77,7 @@ def timeseries(a: Analytics, start: datetime | None = None, end: datetime | None
     """page_view count per hour or day; ordered; no gap filling."""
     fmt = fmt or bucket_format(start, end)
     return (
-        a.rows.filter(is_page_view())
+        a.event_rows().filter(is_page_view())
         .groupBy(F.date_format("timestamp", fmt).alias("date"))
         .agg(F.count(F.lit(1)).alias("views"))
         .orderBy("date")
@@ -86,7 +86,7 @@ def timeseries(a: Analytics, start: datetime | None = None, end: datetime | None
 
 def property_keys(a: Analytics | DataFrame) -> DataFrame:
     """Distinct keys of valid JSON-object properties, sorted. Ignores segments (D16)."""
-    rows = a.rows if isinstance(a, Analytics) else a
+    rows = a.event_rows() if isinstance(a, Analytics) else a
     return (
         rows.select(F.explode(F.json_object_keys(F.col("properties"))).alias("key"))
         .distinct()
