@@ -451,3 +451,165 @@ def q_flow_nodes(spark, sf):
                                    SEG2_SQL, extra_ctes=O.FLOW_CTES))
 def q_flow_segmented(spark, sf):
     return flow.flow_links(apply_segments(analytics(spark, sf), SEG2))
+
+
+# ---------------------------------------------------------------- ingest
+import oracles_ingest as OI  # noqa: E402
+from tidemark.operators import ingest  # noqa: E402
+
+
+def _requests(spark, sf):
+    return fixtures.requests(spark, sf), fixtures.sites(spark)
+
+
+def _checked(spark, sf, metered=True):
+    req, sites = _requests(spark, sf)
+    return ingest.validate(req, sites, metered)
+
+
+def _enriched(spark, sf):
+    return ingest.enrich(_checked(spark, sf))
+
+
+def _processed(spark, sf):
+    req, sites = _requests(spark, sf)
+    return ingest.process(req, sites, metered=True, keep=["request_id"])
+
+
+def _status_rows(spark, sf, reason_pair=None):
+    c = _checked(spark, sf)
+    if reason_pair is not None:
+        c = c.filter((F.col("status") == reason_pair[0]) & (F.col("reason") == reason_pair[1]))
+    return c.select("request_id", "status", "reason")
+
+
+def _status_sql(reason_key=None):
+    where = f" WHERE reason = {OI.REASONS[reason_key]}" if reason_key else ""
+    return OI.ing(f"SELECT request_id, status, reason FROM ing_chk{where}")
+
+
+for _k, _pair, _rk in [
+    ("ing_require_site", ingest.MISSING_SITE, "missing"),
+    ("ing_site_lookup", ingest.UNKNOWN_SITE, "unknown"),
+    ("ing_domain_check", ingest.REFERER_NOT_ALLOWED, "notallowed"),
+    ("ing_domain_parse", ingest.BAD_REFERER, "badref"),
+    ("ing_allowance_gate", ingest.NO_ALLOWANCE, "allowance"),
+    ("ing_body_present", ingest.MISSING_BODY, "nobody"),
+    ("ing_body_json", ingest.BAD_JSON, "badjson"),
+]:
+    reg(_k, _status_sql(_rk))(lambda spark, sf, _p=_pair: _status_rows(spark, sf, _p))
+
+
+@reg("ing_status", _status_sql())
+def q_ing_status(spark, sf):
+    return _status_rows(spark, sf)
+
+
+@reg("ing_parse_body", OI.ing(
+    "SELECT request_id, event, pathname, session_id, is_initial AS is_initial_event, "
+    "CASE WHEN is_initial THEN CAST(CAST(screen_width AS INT) AS VARCHAR) END AS screen_width, "
+    "utm_source FROM ing_acc"))
+def q_ing_parse_body(spark, sf):
+    p = ingest.parse_body(_checked(spark, sf).filter(F.col("status") == 202))
+    return p.select("request_id", F.col("b_event").alias("event"), F.col("b_pathname").alias("pathname"),
+                    F.col("b_session_id").alias("session_id"), "is_initial_event",
+                    F.col("b_screen_width").alias("screen_width"), F.col("b_utm_source").alias("utm_source"))
+
+
+@reg("ing_server_time", OI.ing(
+    "SELECT request_id, strftime(received_at, '%Y-%m-%d %H:%M:%S.%f') AS \"timestamp\", dt FROM ing_acc"))
+def q_ing_server_time(spark, sf):
+    e = _enriched(spark, sf)
+    return e.select("request_id", ts_text().alias("timestamp"), "dt")
+
+
+def _lake_rows(df, cols):
+    out = []
+    for c in cols:
+        if c == "timestamp":
+            out.append(ts_text().alias("timestamp"))
+        elif c == "properties":
+            out.append(F.to_json(F.col("properties")).alias("properties"))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+@reg("ing_initial_projection", OI.ing("SELECT " + ", ".join(f'"{c}"' for c in OI.INITIAL_COLS) + " FROM ing_initial"))
+def q_ing_initial_projection(spark, sf):
+    ini, _reg, _rej, _chk = _processed(spark, sf)
+    return _lake_rows(ini, OI.INITIAL_COLS)
+
+
+@reg("ing_regular_projection", OI.ing("SELECT " + ", ".join(f'"{c}"' for c in OI.REGULAR_COLS) + " FROM ing_regular"))
+def q_ing_regular_projection(spark, sf):
+    _ini, regular, _rej, _chk = _processed(spark, sf)
+    return _lake_rows(regular, OI.REGULAR_COLS)
+
+
+MASK_COLS = ["request_id", "site_id", "city", "timezone", "screen_width", "properties", "model", "manufacturer",
+             "country", "browser"]
+
+
+@reg("ing_compliance_mask", OI.ing("SELECT " + ", ".join(f'"{c}"' for c in MASK_COLS) + " FROM ing_initial"))
+def q_ing_compliance_mask(spark, sf):
+    ini, _reg, _rej, _chk = _processed(spark, sf)
+    return _lake_rows(ini, MASK_COLS)
+
+
+@reg("ing_drop_nulls", OI.ing("SELECT request_id, properties FROM ing_regular"))
+def q_ing_drop_nulls(spark, sf):
+    _ini, regular, _rej, _chk = _processed(spark, sf)
+    return _lake_rows(regular, ["request_id", "properties"])
+
+
+def _initial_enriched(spark, sf):
+    return _enriched(spark, sf).filter(F.col("is_initial_event"))
+
+
+@reg("ing_geo", OI.ing("SELECT request_id, e_city AS city, e_region AS region, e_country AS country, "
+                       "e_timezone AS timezone FROM ing_enr"))
+def q_ing_geo(spark, sf):
+    return _initial_enriched(spark, sf).select("request_id", "city", "region", "country", "timezone")
+
+
+@reg("ing_user_agent", OI.ing("SELECT request_id, u_device AS device, u_browser AS browser, "
+                              "u_browser_version AS browser_version, u_os AS os, u_os_version AS os_version, "
+                              "u_model AS model, u_manufacturer AS manufacturer FROM ing_enr"))
+def q_ing_user_agent(spark, sf):
+    return _initial_enriched(spark, sf).select("request_id", "device", "browser", "browser_version", "os",
+                                               "os_version", "model", "manufacturer")
+
+
+@reg("ing_referer", OI.ing("SELECT request_id, e_referer AS referer, e_referer_domain AS referer_domain FROM ing_enr"))
+def q_ing_referer(spark, sf):
+    return _initial_enriched(spark, sf).select("request_id", "referer", "referer_domain")
+
+
+@reg("ing_referer_scrub", OI.ing(
+    "SELECT request_id, e_referer AS referer FROM ing_enr WHERE COALESCE(lvl, 'maybe') IN ('yes', 'maybe')"))
+def q_ing_referer_scrub(spark, sf):
+    e = _initial_enriched(spark, sf)
+    return e.filter(F.coalesce(F.col("_level"), F.lit("maybe")).isin("yes", "maybe")).select("request_id", "referer")
+
+
+@reg("ing_to_string", OI.ing("SELECT request_id, session_id, e_screen_width AS screen_width, "
+                             "e_screen_height AS screen_height FROM ing_enr"))
+def q_ing_to_string(spark, sf):
+    e = _initial_enriched(spark, sf)
+    p = ingest.project_initial(e, ["request_id"])
+    return p.select("request_id", "session_id", "screen_width", "screen_height")
+
+
+@reg("ing_utm", OI.ing("SELECT request_id, e_utm_source AS utm_source, e_utm_campaign AS utm_campaign, "
+                       "e_utm_medium AS utm_medium, e_utm_content AS utm_content, e_utm_term AS utm_term FROM ing_enr"))
+def q_ing_utm(spark, sf):
+    return _initial_enriched(spark, sf).select("request_id", *ingest.UTM_FIELDS)
+
+
+@reg("ing_mark_initial", O.with_view("SELECT event_id, is_initial FROM fx_all"))
+def q_ing_mark_initial(spark, sf):
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    df = raw.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.col("ts"))
+    m = ingest.mark_initial(df, ["user_id", "dt"], [F.col("ts"), F.col("event_id")], "is_initial")
+    return m.select("event_id", "is_initial")

@@ -1,12 +1,49 @@
-"""Ingest: raw tracker requests -> checked, enriched, privacy-filtered events."""
+"""Ingest: raw tracker requests -> checked, enriched, privacy-filtered events.
+
+One stateless DataFrame function chain used by both batch and streaming:
+
+    validate (site, referer domain, allowance, body) -> parse_body
+    -> with_server_time -> with_geo / with_device / with_referer / with_utm
+    -> project_initial / project_regular -> mask
+
+Checks run in a fixed order and the first failing one decides the status:
+400 missing site, 403 unknown site, 400 malformed referer header, 403 referer
+not allowed, 402 allowance used up (metered only), 400 missing body, 400 body
+not JSON; otherwise 202.  A request that passes the allowance gate uses one
+unit of allowance even if its body is rejected afterwards (D11).
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
+from ..functions import agents, urls
+from ..plans.sizing import sized_broadcast
+
+# Status codes and reasons, in check order.
+MISSING_SITE = (400, "Bad Request: Missing site parameter")
+UNKNOWN_SITE = (403, "Forbidden: Invalid site identifier")
+BAD_REFERER = (400, "Bad Request: Malformed referer header")
+REFERER_NOT_ALLOWED = (403, "Forbidden: Invalid referer")
+NO_ALLOWANCE = (402, "Payment Required: Request allowance likely exceeded.")
+MISSING_BODY = (400, "Missing event body")
+BAD_JSON = (400, "Invalid JSON format")
+ACCEPTED = (202, "Event accepted")
+
+GEO_HEADERS = {
+    "city": "cloudfront-viewer-city",
+    "region_name": "cloudfront-viewer-country-region-name",
+    "region_code": "cloudfront-viewer-country-region",
+    "country": "cloudfront-viewer-country-name",
+    "timezone": "cloudfront-viewer-time-zone",
+}
+
+UTM_FIELDS = ["utm_source", "utm_campaign", "utm_medium", "utm_content", "utm_term"]
+
 
 def mark_initial(df: DataFrame, keys: list[str], order: list[Column], out: str = "is_initial_event") -> DataFrame:
     """Flag the first row of each ``keys`` group by ``order`` (row_number() = 1).
@@ -24,3 +61,282 @@ def mark_initial(df: DataFrame, keys: list[str], order: list[Column], out: str =
     return j.withColumn(out, F.coalesce(F.col("_ok") == F.col("_first_key"), F.lit(False))).drop(
         "_ok", "_first_key", *[f"_k_{k}" for k in keys]
     )
+
+
+def falsy_text(c: Column) -> Column:
+    """JSON scalar rendered as text -> is it falsy as a JavaScript value?"""
+    return c.isNull() | c.isin("false", "0", "", "0.0", "-0", "null", "NaN")
+
+
+def nonempty(c: Column) -> Column:
+    """Text that is null when empty (JavaScript ``a || b`` treats '' as absent)."""
+    return F.when(c != "", c)
+
+
+def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Attach the site's config (domains, level, allowance) by a lookup join.
+
+    The site table is a dimension; it is broadcast only when its estimated
+    size is under the limit, else joined by a normal shuffle join.
+    """
+    cfg = sites.select(
+        F.col("site_id").alias("_site_id"),
+        F.col("domains").alias("_domains"),
+        F.col("compliance_level").alias("_level"),
+        F.coalesce(F.col("request_allowance").cast("bigint"), F.lit(0)).alias("_allowance"),
+    )
+    return df.join(sized_broadcast(cfg), df["site"] == cfg["_site_id"], "left")
+
+
+def _code(pair) -> tuple[Column, Column]:
+    return F.lit(pair[0]), F.lit(pair[1])
+
+
+def pre_gate_checks(df: DataFrame) -> DataFrame:
+    """Status of the checks before the allowance gate (null when all pass)."""
+    site = F.col("site")
+    ref = nonempty(F.col("headers")["referer"])
+    df = urls.with_url_parts(df, ref, "_hdr_ref")
+    domains = F.col("_domains")
+    has_list = domains.isNotNull() & (F.size(domains) > 0)
+    parts = F.col("_hdr_ref")
+    checks = [
+        (site.isNull() | (site == ""), MISSING_SITE),
+        (F.col("_site_id").isNull(), UNKNOWN_SITE),
+        (ref.isNotNull() & has_list & ~parts["valid"], BAD_REFERER),
+        (ref.isNotNull() & has_list & ~F.array_contains(domains, parts["host"]), REFERER_NOT_ALLOWED),
+    ]
+    status = reason = None
+    for cond, pair in checks:
+        s, r = _code(pair)
+        status = F.when(cond, s) if status is None else status.when(cond, s)
+        reason = F.when(cond, r) if reason is None else reason.when(cond, r)
+    return df.withColumn("_pre_status", status).withColumn("_pre_reason", reason).drop("_hdr_ref")
+
+
+def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance") -> DataFrame:
+    """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
+
+    Skew-safe: sites whose eligible count fits their allowance need no order
+    at all (a grouped count).  For the others the cut-off is found on a
+    per-second histogram (small), and exact ranking is needed only inside the
+    one second where the allowance runs out.
+    """
+    sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000)).alias("_sec")
+    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec)
+    counts = e.groupBy("site").agg(F.count(F.lit(1)).alias("_n"), F.max("_allowance").alias("_allow"))
+    over = counts.filter(F.col("_n") > F.col("_allow")).select("site", "_allow")
+    hist = e.join(over, "site", "left_semi").groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"))
+    hist = hist.join(over, "site")
+    wsum = Window.partitionBy("site").orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_c").over(wsum)).withColumn("_before", F.col("_cum") - F.col("_c"))
+    cut = hist.filter((F.col("_before") < F.col("_allow")) & (F.col("_cum") >= F.col("_allow"))).select(
+        "site", F.col("_sec").alias("_cut_sec"), "_before"
+    )
+    eo = e.join(over, "site").join(cut, "site", "left")
+    in_cut = eo.filter(F.col("_sec") == F.col("_cut_sec"))
+    wrank = Window.partitionBy("site").orderBy("received_at", "request_id")
+    ranked = in_cut.withColumn("_ok_cut", (F.col("_before") + F.row_number().over(wrank)) <= F.col("_allow"))
+    decided = eo.filter(F.col("_cut_sec").isNull() | (F.col("_sec") != F.col("_cut_sec"))).select(
+        "request_id", F.coalesce(F.col("_sec") < F.col("_cut_sec"), F.lit(False)).alias("_ok_over")
+    ).unionByName(ranked.select("request_id", F.col("_ok_cut").alias("_ok_over")))
+    j = df.join(decided, "request_id", "left")
+    return j.withColumn(out, eligible & F.coalesce(F.col("_ok_over"), F.lit(True))).drop("_ok_over")
+
+
+def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:
+    """requests -> requests + site config + ``status``, ``reason``, ``uses_allowance``."""
+    df = pre_gate_checks(with_site(requests, sites))
+    eligible = F.col("_pre_status").isNull()
+    if metered:
+        df = gate_allowance(df, eligible)
+        gate_fail = eligible & ~F.col("_within_allowance")
+        uses = F.col("_within_allowance")
+    else:
+        gate_fail = F.lit(False)
+        uses = F.lit(False)
+    body = F.col("body")
+    no_body = body.isNull() | (body == "")
+    bad_json = F.try_parse_json(body).isNull()
+    status = (
+        F.when(~eligible, F.col("_pre_status"))
+        .when(gate_fail, F.lit(NO_ALLOWANCE[0]))
+        .when(no_body, F.lit(MISSING_BODY[0]))
+        .when(bad_json, F.lit(BAD_JSON[0]))
+        .otherwise(F.lit(ACCEPTED[0]))
+    )
+    reason = (
+        F.when(~eligible, F.col("_pre_reason"))
+        .when(gate_fail, F.lit(NO_ALLOWANCE[1]))
+        .when(no_body, F.lit(MISSING_BODY[1]))
+        .when(bad_json, F.lit(BAD_JSON[1]))
+        .otherwise(F.lit(ACCEPTED[1]))
+    )
+    out = df.withColumn("status", status.cast("int")).withColumn("reason", reason).withColumn("uses_allowance", uses)
+    return out.drop("_pre_status", "_pre_reason", "_within_allowance")
+
+
+def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
+    """JSON body -> typed fields ``b_*``; a truthy ``is_initial_event`` marks the first event."""
+    b = F.from_json(F.col("body"), S.BODY)
+    out = df.withColumn("_b", b)
+    fields = [f.name for f in S.BODY.fields]
+    out = out.select(*df.columns, *[F.col("_b")[f].alias(f"b_{f}") for f in fields])
+    if event_aliases:
+        m = F.create_map(*[x for k, v in event_aliases.items() for x in (F.lit(k), F.lit(v))])
+        out = out.withColumn("b_event", F.coalesce(m[F.col("b_event")], F.col("b_event")))
+    return out.withColumn("is_initial_event", ~falsy_text(F.col("b_is_initial_event")))
+
+
+def with_server_time(df: DataFrame) -> DataFrame:
+    """``timestamp`` = server receive time; ``dt`` = its UTC date (client time ignored)."""
+    return df.withColumn("timestamp", F.col("received_at")).withColumn(
+        "dt", F.date_format(F.col("received_at"), "yyyy-MM-dd")
+    )
+
+
+def with_geo(df: DataFrame) -> DataFrame:
+    h = F.col("headers")
+    return (
+        df.withColumn("city", h[GEO_HEADERS["city"]])
+        .withColumn("region", F.coalesce(nonempty(h[GEO_HEADERS["region_name"]]), h[GEO_HEADERS["region_code"]]))
+        .withColumn("country", h[GEO_HEADERS["country"]])
+        .withColumn("timezone", h[GEO_HEADERS["timezone"]])
+    )
+
+
+def user_agent() -> Column:
+    return F.coalesce(
+        nonempty(F.col("headers")["user-agent"]), nonempty(F.col("context_user_agent")), nonempty(F.col("b_userAgent"))
+    )
+
+
+def with_device(df: DataFrame) -> DataFrame:
+    return agents.with_agent_fields(df, user_agent())
+
+
+def level() -> Column:
+    return F.coalesce(F.col("_level"), F.lit("maybe"))
+
+
+def with_referer(df: DataFrame) -> DataFrame:
+    """``referer`` and ``referer_domain`` from the body referer, else the header.
+
+    Empty or ``$direct`` -> ``$direct``; same host as the origin header ->
+    ``$direct``; unparsable (or unparsable origin) -> domain ``$invalid`` with
+    the raw text kept; else the host, and at level yes/maybe the referer is cut
+    to origin + path (query and fragment dropped).
+    """
+    df = df.withColumn("_raw_ref", F.coalesce(nonempty(F.col("b_referer")), nonempty(F.col("headers")["referer"])))
+    df = df.withColumn("_org", nonempty(F.col("headers")["origin"]))
+    df = urls.with_url_parts(urls.with_url_parts(df, "_raw_ref", "_rp"), "_org", "_op")
+    raw, org, rp, op = F.col("_raw_ref"), F.col("_org"), F.col("_rp"), F.col("_op")
+    direct = raw.isNull() | (raw == "$direct")
+    invalid = ~rp["valid"] | (org.isNotNull() & ~op["valid"])
+    same = org.isNotNull() & (op["host"] == rp["host"])
+    scrub = level().isin("yes", "maybe")
+    referer = (
+        F.when(direct, F.lit("$direct")).when(invalid, raw).when(same, F.lit("$direct"))
+        .when(scrub, urls.origin_and_path(rp)).otherwise(raw)
+    )
+    domain = (
+        F.when(direct, F.lit("$direct")).when(invalid, F.lit("$invalid")).when(same, F.lit("$direct"))
+        .otherwise(rp["host"])
+    )
+    return df.withColumn("referer", referer).withColumn("referer_domain", domain).drop("_raw_ref", "_org", "_rp", "_op")
+
+
+def with_utm(df: DataFrame, from_url: bool = True) -> DataFrame:
+    """utm_* from the body; for first events lacking them, from the page URL query (``b_url``)."""
+    use_url = from_url and "b_url" in df.columns
+    if use_url:
+        df = urls.with_url_parts(df, "b_url", "_page")
+    for k in UTM_FIELDS:
+        body = F.col(f"b_{k}")
+        if use_url:
+            val = F.coalesce(body, F.when(F.col("is_initial_event"), urls.query_param(F.col("_page")["query"], k)))
+        else:
+            val = body
+        df = df.withColumn(k, val)
+    return df.drop("_page") if use_url else df
+
+
+def _common_values() -> dict[str, Column]:
+    return {
+        "site_id": F.col("site"),
+        "dt": F.col("dt"),
+        "event": F.col("b_event"),
+        "pathname": F.col("b_pathname"),
+        "session_id": F.col("b_session_id").cast("string"),
+        "timestamp": F.col("timestamp"),
+        "properties": F.coalesce(F.col("b_properties"), F.create_map().cast(S.PROPERTIES_TYPE)),
+    }
+
+
+def project_regular(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Later events keep the 7 common columns (plus ``keep`` pass-through columns)."""
+    vals = _common_values()
+    return df.select(*[vals[f.name].cast(f.type).alias(f.name) for f in S.COMMON_FIELDS], *(keep or []))
+
+
+def project_initial(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """First events keep every column; screen sizes and session id forced to text."""
+    vals = _common_values()
+    vals.update({
+        "distinct_id": F.lit(None).cast("string"),
+        "screen_height": F.col("b_screen_height").cast("string"),
+        "screen_width": F.col("b_screen_width").cast("string"),
+    })
+    for c in ["model", "manufacturer", "city", "timezone", "browser_version", "os_version", "region", "country",
+              "device", "browser", "os", "referer", "referer_domain", *UTM_FIELDS]:
+        vals[c] = F.col(c)
+    return df.select(*[vals[f.name].cast(f.type).alias(f.name) for f in S.INITIAL_FIELDS], *(keep or []))
+
+
+def mask(df: DataFrame, initial: bool, level_col: str = "_level") -> DataFrame:
+    """Null every field the site's compliance level (default ``maybe``) does not allow.
+
+    yes keeps tag yes; maybe keeps yes + maybe; no keeps all; site_id,
+    timestamp and dt always stay.  Decided per row by the row's own site level.
+    """
+    lvl = F.coalesce(F.col(level_col), F.lit("maybe"))
+    rank = F.when(lvl == "yes", 0).when(lvl == "maybe", 1).when(lvl == "no", 2).otherwise(1)
+    fields = S.INITIAL_FIELDS if initial else S.COMMON_FIELDS
+    out = []
+    for f in fields:
+        if f.name in S.ALWAYS_KEPT:
+            out.append(F.col(f.name))
+        else:
+            need = S.LEVEL_RANK[f.safe]
+            out.append(F.when(rank >= need, F.col(f.name)).alias(f.name))
+    extra = [c for c in df.columns if c not in {f.name for f in fields}]
+    return df.select(*out, *extra)
+
+
+def enrich(checked: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
+    """Accepted requests -> all event fields (before projection and masking)."""
+    acc = parse_body(checked.filter(F.col("status") == ACCEPTED[0]), event_aliases)
+    acc = with_server_time(acc)
+    acc = with_geo(acc)
+    acc = with_device(acc)
+    acc = with_referer(acc)
+    return with_utm(acc)
+
+
+def process(requests: DataFrame, sites: DataFrame, metered: bool = False,
+            event_aliases: dict[str, str] | None = None, keep: list[str] | None = None):
+    """requests -> (initial_events, events, rejects, checked).
+
+    ``checked`` is every request with its status; the others are derived from
+    it.  ``keep`` names request columns carried through (e.g. ``request_id``).
+    """
+    checked = validate(requests, sites, metered)
+    acc = enrich(checked, event_aliases)
+    keep_cols = list(keep or []) + ["_level"]
+    initial = mask(project_initial(acc.filter(F.col("is_initial_event")), keep_cols), True).drop("_level")
+    regular = mask(project_regular(acc.filter(~F.col("is_initial_event")), keep_cols), False).drop("_level")
+    rejects = checked.filter(F.col("status") != ACCEPTED[0]).select(
+        "request_id", "received_at", "site", "status", "reason",
+        F.date_format(F.col("received_at"), "yyyy-MM-dd").alias("dt"), "body",
+    )
+    return initial, regular, rejects, checked

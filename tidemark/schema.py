@@ -144,6 +144,8 @@ BODY = T.StructType(
         T.StructField("utm_medium", S),
         T.StructField("utm_content", S),
         T.StructField("utm_term", S),
+        # page URL: lets logs from other trackers carry utm_* in the URL query
+        T.StructField("url", S),
     ]
 )
 

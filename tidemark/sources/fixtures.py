@@ -92,3 +92,122 @@ fx_all AS (SELECT *, rn = 1 AS is_initial,
   CASE WHEN rn=1 THEN CASE user_id % 4 WHEN 0 THEN '1080' WHEN 1 THEN '844' END END AS screen_height
 FROM fx_b)
 """
+
+
+# ---------------------------------------------------------------- requests
+# Sample user agents with the fields the rule table should give
+# (browser, browser_version, os, os_version, device, model, manufacturer).
+UA_SAMPLES = [
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) "
+     "Chrome/120.0.6099.109 Safari/537.36",
+     ("Chrome", "120.0.6099.109", "Windows", "10", "desktop", None, None)),
+    ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_1_2 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) "
+     "Version/17.1.2 Mobile/15E148 Safari/604.1",
+     ("Mobile Safari", "17.1.2", "iOS", "17.1.2", "mobile", "iPhone", "Apple")),
+    ("Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0",
+     ("Firefox", "121.0", "Ubuntu", None, "desktop", None, None)),
+    ("Mozilla/5.0 (Linux; Android 14; SM-S918B) AppleWebKit/537.36 (KHTML, like Gecko) "
+     "Chrome/120.0.6099.144 Mobile Safari/537.36",
+     ("Mobile Chrome", "120.0.6099.144", "Android", "14", "mobile", "SM-S918B", "Samsung")),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) "
+     "Version/17.2 Safari/605.1.15",
+     ("Safari", "17.2", "Mac OS", "10.15.7", "Apple Macintosh", "Macintosh", "Apple")),
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) "
+     "Chrome/120.0.0.0 Safari/537.36 Edg/120.0.2210.91",
+     ("Edge", "120.0.2210.91", "Windows", "10", "desktop", None, None)),
+    ("Mozilla/5.0 (iPad; CPU OS 16_6 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) "
+     "CriOS/119.0.6045.169 Mobile/15E148 Safari/604.1",
+     ("Mobile Chrome", "119.0.6045.169", "iOS", "16.6", "tablet", "iPad", "Apple")),
+    ("Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)",
+     ("Bot", "2.1", None, None, "desktop", None, None)),
+]
+
+# Request faults by rule on event_id % 101 (the rest are well-formed).
+FAULTS = {7: "no_site", 13: "unknown_site", 17: "foreign_referer", 19: "bad_referer", 23: "no_body", 29: "bad_json"}
+FAULT_MOD = 101
+
+# Site dimension for the fixture sites: one per privacy level; site-2 is metered tight.
+SITE_ROWS = [
+    ("site-0", "owner-a", "Shop", ["site-0.example"], "free_tier", 10000, "yes"),
+    ("site-1", "owner-a", "Blog", ["site-1.example"], "free_tier", 10000, None),
+    ("site-2", "owner-b", "News", ["site-2.example", "www.site-2.example"], "needs_payment", 500, "no"),
+]
+
+
+def sites(spark: SparkSession) -> DataFrame:
+    from .. import schema as S
+    rows = [(sid, own, name, doms, plan, allow, None, lvl, None, None)
+            for sid, own, name, doms, plan, allow, lvl in SITE_ROWS]
+    return spark.createDataFrame(rows, S.SITES)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker requests built from the adapted events, with rule-based faults.
+
+    Bodies are JSON text of the adapted event; first events also carry screen
+    sizes (as numbers), a referer (a page URL when ``pages`` has one for the
+    event id, else one made from the adapted domain), utm fields and a page URL
+    whose query holds utm fields the body lacks.
+    """
+    from .. import schema as S
+    ini, ev = load(spark, sf_dir)
+    ini = ini.withColumn("_init", F.lit(True))
+    ev = ev.withColumn("_init", F.lit(False))
+    u = ini.unionByName(ev, allowMissingColumns=True)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id"), F.col("url").alias("_page_url"))
+    u = u.join(pages, u["event_id"] == pages["page_id"], "left").drop("page_id")
+    fault = F.col("event_id") % FAULT_MOD
+    ua = F.element_at(F.array(*[F.lit(x[0]) for x in UA_SAMPLES]),
+                      (F.col("event_id") % len(UA_SAMPLES) + 1).cast("int"))
+    host = F.concat(F.col("site_id"), F.lit(".example"))
+    referer_header = (
+        F.when(fault == 17, F.lit("https://evil.example/x"))
+        .when(fault == 19, F.lit("not a url"))
+        .otherwise(F.concat(F.lit("https://"), host, F.col("pathname")))
+    )
+    body_referer = F.when(
+        F.col("_init"),
+        F.when(F.col("_page_url").isNotNull(), F.col("_page_url"))
+        .when(F.col("referer_domain").isNull() | (F.col("referer_domain") == "$direct"), F.lit("$direct"))
+        .otherwise(F.concat(F.lit("https://"), F.col("referer_domain"), F.lit("/from?q=1#frag"))),
+    )
+    page_url = F.when(
+        F.col("_init") & F.col("utm_campaign").isNull(),
+        F.concat(F.lit("https://"), host, F.col("pathname"), F.lit("?utm_campaign=fall+sale&utm_term=x%20y")),
+    )
+    body_struct = F.struct(
+        F.col("event").alias("event"),
+        F.col("pathname").alias("pathname"),
+        F.col("session_id").alias("session_id"),
+        F.when(F.col("_init"), F.lit(True)).alias("is_initial_event"),
+        F.from_json(F.col("properties"), S.PROPERTIES_TYPE).alias("properties"),
+        F.col("screen_height").cast("int").alias("screen_height"),
+        F.col("screen_width").cast("int").alias("screen_width"),
+        body_referer.alias("referer"),
+        F.col("utm_source").alias("utm_source"),
+        F.col("utm_campaign").alias("utm_campaign"),
+        F.col("utm_medium").alias("utm_medium"),
+        page_url.alias("url"),
+    )
+    body = F.when(fault == 23, F.lit(None).cast("string")).when(fault == 29, F.lit('{"event": ')).otherwise(
+        F.to_json(body_struct))
+    headers = F.create_map(
+        F.lit("referer"), referer_header,
+        F.lit("origin"), F.concat(F.lit("https://"), host),
+        F.lit("user-agent"), ua,
+        F.lit("cloudfront-viewer-country-name"), F.col("country"),
+        F.lit("cloudfront-viewer-country-region-name"), F.col("region"),
+        F.lit("cloudfront-viewer-country-region"), F.when(F.col("region") == "Utah", F.lit("UT")),
+        F.lit("cloudfront-viewer-city"), F.when(F.col("region") == "Utah", F.lit("Lehi")),
+        F.lit("cloudfront-viewer-time-zone"), F.when(F.col("country") == "France", F.lit("Europe/Paris")),
+    )
+    site = F.when(fault == 7, F.lit(None).cast("string")).when(fault == 13, F.lit("site-unknown")).otherwise(
+        F.col("site_id"))
+    return u.select(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id"),
+        F.col("timestamp").alias("received_at"),
+        site.alias("site"),
+        headers.alias("headers"),
+        F.lit(None).cast("string").alias("context_user_agent"),
+        body.alias("body"),
+    )
