@@ -613,3 +613,227 @@ def q_ing_mark_initial(spark, sf):
     df = raw.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.col("ts"))
     m = ingest.mark_initial(df, ["user_id", "dt"], [F.col("ts"), F.col("event_id")], "is_initial")
     return m.select("event_id", "is_initial")
+
+
+# ---------------------------------------------------------------- lake: sources, sinks, scoped read
+import re  # noqa: E402
+
+import oracles_tables as OT  # noqa: E402
+from tidemark.operators import billing, scope, sites as site_ops, usage  # noqa: E402
+from tidemark.plans.jobs import _exists, ingest_to_lake  # noqa: E402
+from tidemark.session import scratch_path  # noqa: E402
+from tidemark.sinks import lake as sink  # noqa: E402
+from tidemark.sources import lake as src  # noqa: E402
+
+LAKE_VERSION = "lake-v1"
+
+
+def lake_root(spark, sf):
+    return scratch_path(spark, LAKE_VERSION, re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/")))
+
+
+def ensure_lake(spark, sf):
+    """Ingest the fixture requests of ``sf`` into a lake once (batch 0, metered)."""
+    root = lake_root(spark, sf)
+    marker = root + "/_READY"
+    if not _exists(spark, marker):
+        req, sites = _requests(spark, sf)
+        ingest_to_lake(spark, req, sites, root, 0, metered=True)
+        spark.createDataFrame([("ok",)], "s string").coalesce(1).write.mode("overwrite").text(marker)
+    return root
+
+
+LAKE_REGULAR = ["site_id", "dt", "event", "pathname", "session_id", "timestamp", "properties"]
+LAKE_INITIAL = [c for c in OI.INITIAL_COLS if c != "request_id"]
+
+
+def _cols_sql(cols, src_name, extra=""):
+    return "SELECT " + ", ".join(f'"{c}"' for c in cols) + extra + f" FROM {src_name}"
+
+
+@reg("src_events", OI.ing(_cols_sql(LAKE_REGULAR, "ing_regular", ", CAST(0 AS BIGINT) AS batch_id")))
+def q_src_events(spark, sf):
+    return _lake_rows(src.read_events(spark, ensure_lake(spark, sf)), LAKE_REGULAR + ["batch_id"])
+
+
+@reg("src_initial_events", OI.ing(_cols_sql(LAKE_INITIAL, "ing_initial", ", CAST(0 AS BIGINT) AS batch_id")))
+def q_src_initial_events(spark, sf):
+    return _lake_rows(src.read_initial_events(spark, ensure_lake(spark, sf)), LAKE_INITIAL + ["batch_id"])
+
+
+@reg("snk_append_lake", OI.ing(
+    "SELECT site_id, dt, CAST(0 AS BIGINT) AS batch_id, COUNT(*) AS n FROM ("
+    "SELECT site_id, dt FROM ing_initial UNION ALL SELECT site_id, dt FROM ing_regular) x GROUP BY 1, 2"))
+def q_snk_append_lake(spark, sf):
+    root = ensure_lake(spark, sf)
+    a = src.read_initial_events(spark, root).select("site_id", "dt", "batch_id")
+    b = src.read_events(spark, root).select("site_id", "dt", "batch_id")
+    return a.unionByName(b).groupBy("site_id", "dt", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@reg("snk_rejects", OI.ing(
+    "SELECT request_id, site, status, reason, strftime(received_at, '%Y-%m-%d') AS dt FROM ing_chk WHERE status <> 202"))
+def q_snk_rejects(spark, sf):
+    root = ensure_lake(spark, sf)
+    schema = S_REJECTS_BATCH
+    r = spark.read.schema(schema).parquet(src.table_path(root, "rejects"))
+    return r.select("request_id", "site", "status", "reason", "dt")
+
+
+from pyspark.sql import types as _T  # noqa: E402
+from tidemark import schema as _S  # noqa: E402
+
+S_REJECTS_BATCH = _T.StructType(list(_S.REJECTS.fields) + [_T.StructField("batch_id", _T.LongType())])
+
+
+@reg("snk_route", OI.ing(
+    "SELECT request_id, CASE WHEN is_initial THEN 'initial_events' ELSE 'events' END AS target FROM ing_acc"))
+def q_snk_route(spark, sf):
+    e = _enriched(spark, sf)
+    first, later = sink.route(e)
+    return first.select("request_id", F.lit("initial_events").alias("target")).unionByName(
+        later.select("request_id", F.lit("events").alias("target")))
+
+
+@reg("use_meter", OI.ing("SELECT site AS site_id, COUNT(*) AS used FROM ing_chk WHERE uses_allowance GROUP BY site"))
+def q_use_meter(spark, sf):
+    return usage.meter(_checked(spark, sf))
+
+
+@reg("use_ledger", OI.ing(
+    "SELECT CAST(0 AS BIGINT) AS batch_id, site AS site_id, COUNT(*) AS used FROM ing_chk WHERE uses_allowance GROUP BY site"))
+def q_use_ledger(spark, sf):
+    from tidemark.plans.jobs import read_ledger
+    return read_ledger(spark, ensure_lake(spark, sf)).select("batch_id", "site_id", "used")
+
+
+@reg("use_apply", OI.ing(
+    "SELECT s.site_id, CAST(CASE WHEN u.used IS NOT NULL AND s.allowance >= u.used THEN s.allowance - u.used "
+    "ELSE s.allowance END AS BIGINT) AS request_allowance FROM ing_sites s LEFT JOIN "
+    "(SELECT site, COUNT(*) AS used FROM ing_chk WHERE uses_allowance GROUP BY site) u ON u.site = s.site_id"))
+def q_use_apply(spark, sf):
+    c = _checked(spark, sf)
+    return usage.apply_usage(fixtures.sites(spark), usage.meter(c)).select("site_id", "request_allowance")
+
+
+PF_IDS = ["site-0", "site-2"]
+PF_A, PF_B = "2024-01-03", "2024-01-09"
+PF_WHERE = f"site_id IN ('site-0', 'site-2') AND dt BETWEEN '{PF_A}' AND '{PF_B}'"
+
+
+@reg("qry_partition_filter", OI.ing(_cols_sql(LAKE_REGULAR, "ing_regular") + f" WHERE {PF_WHERE}"))
+def q_qry_partition_filter(spark, sf):
+    ev = scope.scope(src.read_events(spark, ensure_lake(spark, sf)), PF_IDS, PF_A, PF_B)
+    return _lake_rows(ev, LAKE_REGULAR)
+
+
+SAFE_INITIAL = [c for c in LAKE_INITIAL if c not in ("distinct_id", "model", "manufacturer")]
+
+
+@reg("qry_safe_columns", OI.ing(_cols_sql(SAFE_INITIAL, "ing_initial")))
+def q_qry_safe_columns(spark, sf):
+    from tidemark import schema as S
+    df = scope.safe_select(src.read_initial_events(spark, ensure_lake(spark, sf)), S.INITIAL_FIELDS)
+    return _lake_rows(df, SAFE_INITIAL)
+
+
+@reg("qry_try_cast", OI.ing("SELECT session_id, properties FROM ing_regular"))
+def q_qry_try_cast(spark, sf):
+    from tidemark import schema as S
+    df = scope.typed_select(scope.safe_select(src.read_events(spark, ensure_lake(spark, sf)), S.COMMON_FIELDS))
+    return df.select("session_id", "properties")
+
+
+@reg("qry_order_desc", OI.ing(
+    "SELECT session_id, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f') AS \"timestamp\" FROM ing_acc "
+    f"WHERE NOT is_initial AND {PF_WHERE} ORDER BY \"timestamp\" DESC"))
+def q_qry_order_desc(spark, sf):
+    ev = scope.scope(src.read_events(spark, ensure_lake(spark, sf)), PF_IDS, PF_A, PF_B)
+    return scope.newest_first(ev).select("session_id", ts_text().alias("timestamp"))
+
+
+@reg("qry_fetch_pair", OI.ing(
+    "SELECT 'initial_events' AS tbl, session_id, properties FROM ing_initial WHERE " + PF_WHERE +
+    " UNION ALL SELECT 'events', session_id, properties FROM ing_regular WHERE " + PF_WHERE))
+def q_qry_fetch_pair(spark, sf):
+    ini, ev = scope.fetch(spark, ensure_lake(spark, sf), PF_IDS, PF_A, PF_B)
+    return ini.select(F.lit("initial_events").alias("tbl"), "session_id", "properties").unionByName(
+        ev.select(F.lit("events").alias("tbl"), "session_id", "properties"))
+
+
+@reg("qry_owned_sites", OT.pages_sql("SELECT site_id FROM ps_raw WHERE owner_sub = 'owner-3'"))
+def q_qry_owned_sites(spark, sf):
+    return scope.owned_sites(fixtures.page_sites_raw(spark, sf), "owner-3")
+
+
+SCOPE_REQ = "ps-3, ps-10 ,, ps-4,ps-9999"
+
+
+@reg("qry_site_scope", OT.pages_sql(
+    "SELECT site_id FROM ps_raw WHERE owner_sub = 'owner-3' AND site_id IN ('ps-3', 'ps-10', 'ps-4', 'ps-9999')"))
+def q_qry_site_scope(spark, sf):
+    return scope.site_scope(fixtures.page_sites_raw(spark, sf), "owner-3", SCOPE_REQ)
+
+
+# ---------------------------------------------------------------- sites, usage summary, billing
+@reg("dim_sites_clean", OT.pages_sql(
+    "SELECT site_id, name, array_to_string(list_sort(list_distinct(hosts)), ',') AS domains, compliance_level, plan, "
+    "request_allowance, error FROM ps_clean"))
+def q_dim_sites_clean(spark, sf):
+    c = site_ops.clean_sites(fixtures.page_sites_raw(spark, sf))
+    return c.select("site_id", "name", F.concat_ws(",", F.array_sort(F.col("domains"))).alias("domains"),
+                    "compliance_level", "plan", "request_allowance", "error")
+
+
+@reg("use_summary", OT.pages_sql("SELECT * FROM use_sum"))
+def q_use_summary(spark, sf):
+    s = usage.usage_summary(fixtures.page_sites_raw(spark, sf), fixtures.page_prefs(spark, sf))
+    return s.select("site_id", "owner_sub", "plan", "initial_allowance", "request_allowance", "requests_used", "locked")
+
+
+@reg("use_locked", OT.pages_sql("SELECT site_id FROM use_sum WHERE locked"))
+def q_use_locked(spark, sf):
+    s = usage.usage_summary(fixtures.page_sites_raw(spark, sf), fixtures.page_prefs(spark, sf))
+    return s.filter("locked").select("site_id")
+
+
+def _page_tables(spark, sf):
+    return fixtures.page_sites_raw(spark, sf), fixtures.page_prefs(spark, sf), fixtures.page_outcomes(spark, sf)
+
+
+@reg("bil_candidates", OT.pages_sql("SELECT site_id, owner_sub, ready FROM bil_cand"))
+def q_bil_candidates(spark, sf):
+    s, p, _o = _page_tables(spark, sf)
+    return billing.charge_candidates(s, p).select("site_id", "owner_sub", "ready")
+
+
+@reg("bil_ready", OT.pages_sql("SELECT site_id FROM bil_cand WHERE ready"))
+def q_bil_ready(spark, sf):
+    s, p, _o = _page_tables(spark, sf)
+    return billing.charge_candidates(s, p).filter("ready").select("site_id")
+
+
+@reg("bil_success", OT.pages_sql("SELECT site_id, plan, request_allowance FROM bil_sites WHERE plan = 'active_paid'"))
+def q_bil_success(spark, sf):
+    s, p, o = _page_tables(spark, sf)
+    return billing.apply_outcomes(s, p, o).filter(F.col("plan") == "active_paid").select(
+        "site_id", "plan", "request_allowance")
+
+
+@reg("bil_failure", OT.pages_sql("SELECT site_id, plan, request_allowance FROM bil_sites WHERE plan = 'payment_failed'"))
+def q_bil_failure(spark, sf):
+    s, p, o = _page_tables(spark, sf)
+    return billing.apply_outcomes(s, p, o).filter(F.col("plan") == "payment_failed").select(
+        "site_id", "plan", "request_allowance")
+
+
+@reg("bil_deactivate", OT.pages_sql("SELECT cognito_sub, is_payment_active FROM bil_prefs"))
+def q_bil_deactivate(spark, sf):
+    s, p, o = _page_tables(spark, sf)
+    return billing.apply_pref_outcomes(p, s, o).select("cognito_sub", "is_payment_active")
+
+
+@reg("bil_payment_events", OT.pages_sql("SELECT * FROM pe_prefs"))
+def q_bil_payment_events(spark, sf):
+    p = fixtures.page_prefs(spark, sf)
+    return billing.apply_payment_events(p, fixtures.page_payment_events(spark, sf))

@@ -323,14 +323,9 @@ def enrich(checked: DataFrame, event_aliases: dict[str, str] | None = None) -> D
     return with_utm(acc)
 
 
-def process(requests: DataFrame, sites: DataFrame, metered: bool = False,
-            event_aliases: dict[str, str] | None = None, keep: list[str] | None = None):
-    """requests -> (initial_events, events, rejects, checked).
-
-    ``checked`` is every request with its status; the others are derived from
-    it.  ``keep`` names request columns carried through (e.g. ``request_id``).
-    """
-    checked = validate(requests, sites, metered)
+def split_checked(checked: DataFrame, event_aliases: dict[str, str] | None = None,
+                  keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Checked requests -> (initial_events, events, rejects), masked per site level."""
     acc = enrich(checked, event_aliases)
     keep_cols = list(keep or []) + ["_level"]
     initial = mask(project_initial(acc.filter(F.col("is_initial_event")), keep_cols), True).drop("_level")
@@ -339,4 +334,16 @@ def process(requests: DataFrame, sites: DataFrame, metered: bool = False,
         "request_id", "received_at", "site", "status", "reason",
         F.date_format(F.col("received_at"), "yyyy-MM-dd").alias("dt"), "body",
     )
+    return initial, regular, rejects
+
+
+def process(requests: DataFrame, sites: DataFrame, metered: bool = False,
+            event_aliases: dict[str, str] | None = None, keep: list[str] | None = None):
+    """requests -> (initial_events, events, rejects, checked).
+
+    ``checked`` is every request with its status; the others are derived from
+    it.  ``keep`` names request columns carried through (e.g. ``request_id``).
+    """
+    checked = validate(requests, sites, metered)
+    initial, regular, rejects = split_checked(checked, event_aliases, keep)
     return initial, regular, rejects, checked

@@ -211,3 +211,83 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("context_user_agent"),
         body.alias("body"),
     )
+
+
+# ---------------------------------------------------------------- site, preference and payment tables
+# One site per row of the supplied ``pages`` table, with rule-based owners,
+# plans, allowances and levels; owners' preferences, charge outcomes and
+# payment events follow rules on the owner / page number.
+N_OWNERS = 7
+
+
+def page_sites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site rows as a user would submit them (domains as URLs or bare hosts, some bad)."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pid = F.col("page_id")
+    bare = F.regexp_replace(F.col("url"), r"^[a-z]+://", "")
+    domains = (
+        F.when(pid % 11 == 0, F.array(F.col("url"), F.lit(" ")))
+        .when(pid % 13 == 0, F.array(F.lit("bad host.example")))
+        .when(pid % 17 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.col("url"), bare, F.upper(bare)))
+    )
+    return p.select(
+        F.concat(F.lit("ps-"), pid.cast("string")).alias("site_id"),
+        F.concat(F.lit("owner-"), (pid % N_OWNERS).cast("string")).alias("owner_sub"),
+        F.when(pid % 19 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  Site "), pid.cast("string"), F.lit(" "))).alias("name"),
+        domains.alias("domains"),
+        F.when(pid % 3 == 0, F.lit("needs_payment")).when(pid % 3 == 1, F.lit("free_tier")).otherwise(F.lit("active_paid")).alias("plan"),
+        ((pid * 37) % 20000 - 5000).cast("bigint").alias("request_allowance"),
+        F.array().cast("array<string>").alias("allowed_fields"),
+        F.when(pid % 5 == 0, F.lit("yes")).when(pid % 5 == 1, F.lit("maybe")).when(pid % 5 == 2, F.lit("no"))
+        .when(pid % 5 == 3, F.lit(None).cast("string")).otherwise(F.lit("bogus")).alias("compliance_level"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+
+
+def page_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One preference row per owner seen in the page sites."""
+    owners = page_sites_raw(spark, sf_dir).select("owner_sub").distinct()
+    n = F.regexp_extract(F.col("owner_sub"), r"(\d+)$", 1).cast("int")
+    return owners.select(
+        F.col("owner_sub").alias("cognito_sub"),
+        F.when(n % 4 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("cus_"), n.cast("string"))).alias("stripe_customer_id"),
+        F.when(n % 5 == 2, F.lit("")).otherwise(F.concat(F.lit("pm_"), n.cast("string"))).alias("stripe_payment_method_id"),
+        F.lit("4242").alias("stripe_last4"),
+        F.when(n % 3 == 0, F.lit(0)).otherwise(F.lit(1)).cast("int").alias("is_payment_active"),
+    )
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payment service's answer for each page site's charge attempt."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    k = F.col("page_id") % 6
+    return p.select(
+        F.concat(F.lit("ps-"), F.col("page_id").cast("string")).alias("site_id"),
+        F.when(k == 0, F.lit("succeeded")).when(k == 5, F.lit("requires_action")).otherwise(F.lit("failed")).alias("status"),
+        F.when(k == 1, F.lit("card")).when(k.isin(2, 3), F.lit("invalid_request")).when(k == 4, F.lit("api"))
+        .otherwise(F.lit(None).cast("string")).alias("error_kind"),
+        F.when(k == 1, F.lit("Your card was declined.")).when(k == 2, F.lit("No such PaymentMethod: 'pm_x'"))
+        .when(k == 3, F.lit("Amount must be at least 50 cents")).when(k == 4, F.lit("Rate limit"))
+        .otherwise(F.lit(None).cast("string")).alias("message"),
+    )
+
+
+def page_payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment event log per owner: setups, detachments, one event for an unknown user."""
+    owners = page_prefs(spark, sf_dir).select("cognito_sub")
+    n = F.regexp_extract(F.col("cognito_sub"), r"(\d+)$", 1).cast("int")
+    t0 = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    setup = owners.filter(n % 2 == 0).select(
+        (t0 + F.make_interval(hours=n)).alias("event_time"), F.lit("setup_intent.succeeded").alias("type"),
+        F.col("cognito_sub").alias("user_sub"), F.concat(F.lit("cus_"), n.cast("string")).alias("customer_id"),
+        F.concat(F.lit("pm_new_"), n.cast("string")).alias("payment_method_id"), F.lit("1881").alias("last4"),
+    )
+    detach = owners.filter(n % 3 != 2).select(
+        (t0 + F.make_interval(hours=F.lit(3) * n + F.lit(1))).alias("event_time"),
+        F.lit("payment_method.detached").alias("type"), F.lit(None).cast("string").alias("user_sub"),
+        F.concat(F.lit("cus_"), n.cast("string")).alias("customer_id"),
+        F.lit(None).cast("string").alias("payment_method_id"), F.lit(None).cast("string").alias("last4"),
+    )
+    return setup.unionByName(detach)

@@ -35,10 +35,14 @@ def read_initial_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_lake_schema(S.INITIAL_FIELDS)).parquet(table_path(root, "initial_events"))
 
 
-def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, streaming: bool = False,
+                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Raw tracker requests stored as JSON lines (one request per line)."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(S.REQUEST).option("mode", "PERMISSIVE").json(path)
+    reader = reader.schema(S.REQUEST).option("mode", "PERMISSIVE")
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
