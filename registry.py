@@ -625,7 +625,7 @@ from tidemark.session import scratch_path  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
 from tidemark.sources import lake as src  # noqa: E402
 
-LAKE_VERSION = "lake-v1"
+LAKE_VERSION = "lake-v2"
 
 
 def lake_root(spark, sf):
@@ -837,3 +837,140 @@ def q_bil_deactivate(spark, sf):
 def q_bil_payment_events(spark, sf):
     p = fixtures.page_prefs(spark, sf)
     return billing.apply_payment_events(p, fixtures.page_payment_events(spark, sf))
+
+
+# ---------------------------------------------------------------- bundles and dashboard
+from tidemark.plans.dashboard import dashboard  # noqa: E402
+
+DEVICE_PARTS = [p for p in LONG_SQL_PARTS if p[0] in ("browsers", "os", "screenSizes")]
+
+
+def _long_sql_of(parts):
+    out = []
+    for t, body in parts:
+        cols = "name, value, NULL::BIGINT AS events, NULL::DOUBLE AS percentage"
+        if t in ("browsers", "os", "screenSizes"):
+            cols = "name, value, NULL::BIGINT AS events, percentage"
+        if t in ("events", "properties"):
+            cols = "name, value, events, percentage"
+        out.append(f"SELECT '{t}' AS type, {cols} FROM ({body}) p_{t}")
+    return "\nUNION ALL\n".join(out)
+
+
+@reg("rpt_bundle", O.with_view(_long_sql_of(DEVICE_PARTS)))
+def q_rpt_bundle(spark, sf):
+    return reports.long_report(analytics(spark, sf), ["devices"])
+
+
+DASH_SEGS = [Segment("channel", "Social")]
+
+
+@reg("rpt_dashboard", O.with_view(_long_sql_of(LONG_SQL_PARTS + [("properties", O.PROPERTY_VALUES)]),
+                                  O.seg_where(["channel = 'Social'"]), extra_ctes=O.property_values_ctes("k")))
+def q_rpt_dashboard(spark, sf):
+    d = dashboard(analytics(spark, sf), segments=DASH_SEGS, property_key="missing-key", persist=False)
+    return d.long()
+
+
+# ---------------------------------------------------------------- value rows, JSON, views, compaction, stream
+VALUE_SCHEMA = [("session_id", "string"), ("timestamp", "timestamp"), ("properties", "map<string,string>"),
+                ("country", "string"), ("referer_domain", "string"), ("not_sent", "string")]
+
+
+@reg("snk_value_rows", O.with_view(
+    "SELECT event_id, to_json([session_id, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%g'), country, "
+    "NULL::VARCHAR, referer_domain]) AS \"values\" FROM initial_t"))
+def q_snk_value_rows(spark, sf):
+    ini, _ = fixtures.load(spark, sf)
+    ini = model.override_referer(ini)
+    v = sink.value_rows(ini, ["session_id", "timestamp", "country", "not_in_table", "referer_domain"])
+    return ini.select("event_id").withColumn("_i", F.monotonically_increasing_id()).join(
+        v.withColumn("_i", F.monotonically_increasing_id()), "_i").select("event_id", F.to_json("values").alias("values"))
+
+
+@reg("src_value_rows", O.with_view(
+    "SELECT session_id, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%g') AS \"timestamp\", properties, country, "
+    "referer_domain, NULL::VARCHAR AS not_sent FROM initial_t"))
+def q_src_value_rows(spark, sf):
+    ini, _ = fixtures.load(spark, sf)
+    ini = model.override_referer(ini)
+    sent = [n for n, _t in VALUE_SCHEMA if n != "not_sent"]
+    rows = src.values_to_rows(sink.value_rows(ini, sent), VALUE_SCHEMA)
+    return rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+def _scratch_dir(spark, sf, name):
+    return scratch_path(spark, LAKE_VERSION, re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/")), name)
+
+
+@reg("src_fixed_json", O.with_view(_view_sql(["session_id", "event_id", "timestamp", "referer_domain", "country"],
+                                             "initial_t")))
+def q_src_fixed_json(spark, sf):
+    from pyspark.sql import types as T
+    ini, _ = fixtures.load(spark, sf)
+    ini = model.override_referer(ini)
+    path = _scratch_dir(spark, sf, "json_initial")
+    ini.write.mode("overwrite").option("timestampFormat", src.JSON_TS).json(path)
+    schema = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("event_id", T.LongType()),
+                           T.StructField("timestamp", T.TimestampType()), T.StructField("referer_domain", T.StringType()),
+                           T.StructField("country", T.StringType())])
+    return _view_rows(src.load_json(spark, path, schema), ["session_id", "event_id", "timestamp", "referer_domain", "country"])
+
+
+@reg("src_requests", OI.ing(
+    "SELECT request_id, site, strftime(received_at, '%Y-%m-%d %H:%M:%S.%f') AS received_at, "
+    "CASE WHEN fault = 17 THEN 'https://evil.example/x' WHEN fault = 19 THEN 'not a url' "
+    "ELSE 'https://' || site_id || '.example' || pathname END AS referer, fault = 23 AS no_body FROM ing_r"))
+def q_src_requests(spark, sf):
+    req, _ = _requests(spark, sf)
+    path = _scratch_dir(spark, sf, "requests_json")
+    req.write.mode("overwrite").option("timestampFormat", src.JSON_TS).json(path)
+    r = src.read_requests(spark, path)
+    return r.select("request_id", "site", ts_text("received_at").alias("received_at"),
+                    F.col("headers")["referer"].alias("referer"), F.col("body").isNull().alias("no_body"))
+
+
+@reg("snk_replace_views", O.with_view(
+    "SELECT 'tm_initial_events' AS view, COUNT(*) AS n FROM initial_t UNION ALL "
+    "SELECT 'tm_events', COUNT(*) FROM events_t"))
+def q_snk_replace_views(spark, sf):
+    from tidemark.operators.ingest import mark_initial  # noqa: F401
+    ini, ev = fixtures.load(spark, sf)
+    ini_full = model.union_events(ini, ev.limit(0), _S.INITIAL_FIELDS)
+    ev_full = ev.withColumn("properties", F.col("properties"))
+    sink.register_tables(spark, ini_full, ev_full, ("tm_initial_events", "tm_events"))
+    a = spark.table("tm_initial_events").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tm_initial_events").alias("view"), "n")
+    b = spark.table("tm_events").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tm_events").alias("view"), "n")
+    return a.unionByName(b)
+
+
+COMPACT_SITE, COMPACT_DT = "site-1", "2024-01-05"
+
+
+@reg("snk_compact", OI.ing(
+    _cols_sql(LAKE_REGULAR, "ing_regular") + f" WHERE site_id = '{COMPACT_SITE}' AND dt = '{COMPACT_DT}'"))
+def q_snk_compact(spark, sf):
+    root = ensure_lake(spark, sf)
+    sink.compact(spark, root, "events", COMPACT_SITE, COMPACT_DT, files=1)
+    ev = src.read_events(spark, root).where((F.col("site_id") == COMPACT_SITE) & (F.col("dt") == COMPACT_DT))
+    return _lake_rows(ev, LAKE_REGULAR)
+
+
+@reg("snk_append_lake_stream", OI.ing(
+    "SELECT site_id, dt, CAST(0 AS BIGINT) AS batch_id, COUNT(*) AS n FROM ("
+    "SELECT site_id, dt FROM ing_initial UNION ALL SELECT site_id, dt FROM ing_regular) x GROUP BY 1, 2"))
+def q_snk_append_lake_stream(spark, sf):
+    from tidemark.streaming.ingest_stream import start_ingest
+    stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
+    src_dir = _scratch_dir(spark, sf, "stream_requests")
+    root = scratch_path(spark, LAKE_VERSION, stamp, "stream_lake")
+    chk = scratch_path(spark, LAKE_VERSION, stamp, "stream_checkpoint")
+    if not _exists(spark, root + "/_READY"):
+        req, _ = _requests(spark, sf)
+        req.write.mode("overwrite").option("timestampFormat", src.JSON_TS).json(src_dir)
+        q = start_ingest(spark, src_dir, lambda: fixtures.sites(spark), root, checkpoint=chk, available_now=True)
+        q.awaitTermination()
+        spark.createDataFrame([("ok",)], "s string").coalesce(1).write.mode("overwrite").text(root + "/_READY")
+    a = src.read_initial_events(spark, root).select("site_id", "dt", "batch_id")
+    b = src.read_events(spark, root).select("site_id", "dt", "batch_id")
+    return a.unionByName(b).groupBy("site_id", "dt", "batch_id").agg(F.count(F.lit(1)).alias("n"))

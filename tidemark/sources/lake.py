@@ -16,6 +16,9 @@ from .. import schema as S
 
 BATCH = T.StructField("batch_id", T.LongType())
 
+# Timestamps in JSON text keep microseconds (the writer's default keeps milliseconds).
+JSON_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
@@ -39,7 +42,7 @@ def read_requests(spark: SparkSession, path: str, streaming: bool = False,
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Raw tracker requests stored as JSON lines (one request per line)."""
     reader = spark.readStream if streaming else spark.read
-    reader = reader.schema(S.REQUEST).option("mode", "PERMISSIVE")
+    reader = reader.schema(S.REQUEST).option("mode", "PERMISSIVE").option("timestampFormat", JSON_TS)
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path)
@@ -49,7 +52,7 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """JSON with a declared schema and no detection; a malformed record fails the
     read; an empty or missing input gives an empty table of that schema."""
     try:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").option("timestampFormat", JSON_TS).json(path)
     except Exception as e:  # missing path -> empty typed table
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], schema)
