@@ -625,7 +625,7 @@ from tidemark.session import scratch_path  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
 from tidemark.sources import lake as src  # noqa: E402
 
-LAKE_VERSION = "lake-v2"
+LAKE_VERSION = "lake-v3"
 
 
 def lake_root(spark, sf):

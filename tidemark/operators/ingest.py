@@ -117,31 +117,36 @@ def pre_gate_checks(df: DataFrame) -> DataFrame:
 def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance") -> DataFrame:
     """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
 
-    Skew-safe: sites whose eligible count fits their allowance need no order
-    at all (a grouped count).  For the others the cut-off is found on a
-    per-second histogram (small), and exact ranking is needed only inside the
-    one second where the allowance runs out.
+    Skew-safe and without a shuffle of the requests by id: a grouped count
+    finds the sites whose eligible requests exceed their allowance (at most
+    one row per site); for those, a per-second histogram (small) locates the
+    second where the allowance runs out, and ranking inside that one second
+    gives the site's cut-off key.  Every request is then compared with its
+    site's cut-off through a join on ``site`` with that small table.
     """
-    sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000)).alias("_sec")
-    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec)
+    sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000))
+    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"))
     counts = e.groupBy("site").agg(F.count(F.lit(1)).alias("_n"), F.max("_allowance").alias("_allow"))
     over = counts.filter(F.col("_n") > F.col("_allow")).select("site", "_allow")
-    hist = e.join(over, "site", "left_semi").groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"))
-    hist = hist.join(over, "site")
+    hist = e.join(sized_broadcast(over), "site").groupBy("site", "_sec", "_allow").agg(F.count(F.lit(1)).alias("_c"))
     wsum = Window.partitionBy("site").orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_c").over(wsum)).withColumn("_before", F.col("_cum") - F.col("_c"))
     cut = hist.filter((F.col("_before") < F.col("_allow")) & (F.col("_cum") >= F.col("_allow"))).select(
-        "site", F.col("_sec").alias("_cut_sec"), "_before"
+        "site", F.col("_sec").alias("_cut_sec"), "_before", "_allow"
     )
-    eo = e.join(over, "site").join(cut, "site", "left")
-    in_cut = eo.filter(F.col("_sec") == F.col("_cut_sec"))
+    in_cut = e.drop("_allowance").join(sized_broadcast(cut), "site").filter(F.col("_sec") == F.col("_cut_sec"))
     wrank = Window.partitionBy("site").orderBy("received_at", "request_id")
-    ranked = in_cut.withColumn("_ok_cut", (F.col("_before") + F.row_number().over(wrank)) <= F.col("_allow"))
-    decided = eo.filter(F.col("_cut_sec").isNull() | (F.col("_sec") != F.col("_cut_sec"))).select(
-        "request_id", F.coalesce(F.col("_sec") < F.col("_cut_sec"), F.lit(False)).alias("_ok_over")
-    ).unionByName(ranked.select("request_id", F.col("_ok_cut").alias("_ok_over")))
-    j = df.join(decided, "request_id", "left")
-    return j.withColumn(out, eligible & F.coalesce(F.col("_ok_over"), F.lit(True))).drop("_ok_over")
+    keys = (
+        in_cut.withColumn("_rank", F.row_number().over(wrank))
+        .filter(F.col("_before") + F.col("_rank") == F.col("_allow"))
+        .select("site", F.struct("received_at", "request_id").alias("_cutoff"))
+    )
+    limits = over.select("site").join(keys, "site", "left").withColumn("_over", F.lit(True))
+    j = df.join(sized_broadcast(limits), "site", "left")
+    inside = F.col("_over").isNull() | (
+        F.col("_cutoff").isNotNull() & (F.struct("received_at", "request_id") <= F.col("_cutoff"))
+    )
+    return j.withColumn(out, eligible & inside).drop("_over", "_cutoff")
 
 
 def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:

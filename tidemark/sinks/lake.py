@@ -7,6 +7,8 @@ micro-batch) replaces exactly its own files and never duplicates rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,7 +99,7 @@ def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, f
     """
     reader = read_initial_events if table == "initial_events" else read_events
     part = reader(spark, root).where((F.col("site_id") == site_id) & (F.col("dt") == dt))
-    stage = scratch_path(spark, "compact", table, f"site_id={site_id}", f"dt={dt}")
+    stage = scratch_path(spark, "compact", uuid.uuid4().hex, table)
     fields = S.INITIAL_FIELDS if table == "initial_events" else S.COMMON_FIELDS
     cols = [f.name for f in fields if f.name not in ("site_id", "dt")]
     top = part.agg(F.max("batch_id")).first()[0]
@@ -108,5 +110,7 @@ def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, f
     staged = spark.read.parquet(stage)
     n = staged.count()
     target = f"{table_path(root, table)}/site_id={site_id}/dt={dt}"
-    staged.repartition(files).write.mode("overwrite").partitionBy("batch_id").parquet(target)
+    # static overwrite: the whole (site_id, dt) directory is replaced by the staged copy
+    (staged.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("batch_id").parquet(target))
     return n

@@ -19,7 +19,10 @@ from ..operators.ingest import mark_initial
 SEQ = "event_id"
 
 
-def _case(key: Column, mapping: dict[int, str | None], default: str | None = None) -> Column:
+COMMON_OUT = ["site_id", "dt", "event", "pathname", "session_id", "timestamp", "properties", "event_id"]
+
+
+def _case_all(key: Column, mapping: dict[int, str | None], default: str | None = None) -> Column:
     out = None
     for k, v in mapping.items():
         val = F.lit(v).cast("string")
@@ -27,8 +30,9 @@ def _case(key: Column, mapping: dict[int, str | None], default: str | None = Non
     return out.otherwise(F.lit(default).cast("string"))
 
 
-def adapt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Supplied events -> (initial_events, events) in report-layer form."""
+def adapt_flagged(raw: DataFrame) -> DataFrame:
+    """Supplied events -> one frame of all adapted events with ``is_initial``
+    (visit columns set on first events only)."""
     dt = F.date_format(F.col("ts"), "yyyy-MM-dd")
     kk = F.get_json_object(F.col("props"), "$.k").cast("int")
     b = raw.select(
@@ -44,8 +48,13 @@ def adapt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     b = mark_initial(b, ["user_id", "dt"], [F.col("timestamp"), F.col("event_id")], "is_initial")
     u = F.col("user_id")
-    first = b.filter("is_initial").select(
-        *[c for c in b.columns if c not in ("is_initial", "user_id")],
+    first_only = F.col("is_initial")
+
+    def _case(key, mapping, default=None):
+        return F.when(first_only, _case_all(key, mapping, default))
+
+    first = b.select(
+        *[c for c in b.columns if c not in ("user_id",)],
         _case(u % 8, {0: "www.google.com", 1: "google.com", 2: "facebook.com", 3: "$direct", 4: None,
                       5: "mail.google.com", 6: "WWW.News.example"}, "t.co").alias("referer_domain"),
         _case(u % 7, {0: "cpc", 1: "email", 2: "social"}).alias("utm_medium"),
@@ -58,7 +67,14 @@ def adapt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         _case(u % 4, {0: "1920", 1: "390"}).alias("screen_width"),
         _case(u % 4, {0: "1080", 1: "844"}).alias("screen_height"),
     )
-    rest = b.filter(~F.col("is_initial")).drop("is_initial", "user_id")
+    return first
+
+
+def adapt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supplied events -> (initial_events, events) in report-layer form."""
+    flagged = adapt_flagged(raw)
+    first = flagged.filter("is_initial").drop("is_initial")
+    rest = flagged.filter(~F.col("is_initial")).select(*COMMON_OUT)
     return first, rest
 
 
@@ -150,10 +166,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     whose query holds utm fields the body lacks.
     """
     from .. import schema as S
-    ini, ev = load(spark, sf_dir)
-    ini = ini.withColumn("_init", F.lit(True))
-    ev = ev.withColumn("_init", F.lit(False))
-    u = ini.unionByName(ev, allowMissingColumns=True)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+    u = adapt_flagged(raw).withColumnRenamed("is_initial", "_init")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id"), F.col("url").alias("_page_url"))
     u = u.join(pages, u["event_id"] == pages["page_id"], "left").drop("page_id")
     fault = F.col("event_id") % FAULT_MOD
