@@ -67,5 +67,7 @@ def test_allowance_gate_orders_only_the_cut_second(spark):
     req = fixtures.requests(spark, SF001)
     c = ingest.validate(req, fixtures.sites(spark), metered=True)
     p = plan(c)
-    # the only windows: the per-second cumulative count and the rank inside the cut second
-    assert p.count("Window [") <= 2
+    # the only windows: totals and running counts over the per-(site, second)
+    # histogram, and the rank inside the cut second; no window over raw requests by site
+    assert p.count("Window [") <= 3
+    assert "Exchange hashpartitioning(request_id" not in p

@@ -22,45 +22,51 @@ from pyspark.sql import functions as F
 WEB_SCHEMES = ["http", "https", "ws", "wss", "ftp"]
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
-_SCHEME_RE = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):"
-_AFTER_SCHEME_RE = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*:(.*?)\s*$"
 # characters a host may not contain
 _BAD_HOST_RE = r"[\s<>^|%\[\]\\]"
 
 FIELDS = ["scheme", "host", "port", "path", "query", "origin", "valid"]
 
 
+# One pattern for all parts: scheme, leading slashes, authority, path, ?query, #fragment.
+_MASTER_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):([/\\]*)([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+_SEP = "\u0001"
+
+
 def with_url_parts(df: DataFrame, src: Column | str, out: str) -> DataFrame:
     """Add struct column ``out`` with ``scheme, host, port, path, query, origin, valid``.
 
     Every part is null when the text is not a valid absolute URL (``valid``
-    is then false).
+    is then false).  One regular-expression match splits the text into its
+    parts; the rest is plain string work, computed once per row in stages.
     """
     c = F.col(src) if isinstance(src, str) else src
     t = f"_{out}_"
-    df = df.withColumn(t + "s", F.lower(F.regexp_extract(c, _SCHEME_RE, 1))).withColumn(
-        t + "r", F.regexp_extract(c, _AFTER_SCHEME_RE, 1)
-    ).withColumn(t + "in", c.isNotNull())
-    s, r = F.col(t + "s"), F.col(t + "r")
-    df = df.withColumn(t + "w", s.isin(WEB_SCHEMES)).withColumn(t + "sl", r.startswith("//"))
-    w = F.col(t + "w")
-    df = df.withColumn(
-        t + "a", F.when(w, F.regexp_extract(r, r"^[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(r, r"^//([^/?#]*)", 1))
+    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+    # a text the pattern does not match comes back unchanged: one piece, not six
+    split = F.split(F.regexp_replace(trimmed, _MASTER_RE, _SEP.join(f"${i}" for i in range(1, 7))), _SEP)
+    df = df.withColumn(t + "g", split)
+    df = df.withColumn(t + "g", F.when(F.size(F.col(t + "g")) == 6, F.col(t + "g")))
+    g = F.col(t + "g")
+    s = F.lower(g[0])
+    web = s.isin(WEB_SCHEMES)
+    slashes, auth, rest_path = g[1], g[2], g[3]
+    # non-web schemes have an authority only after exactly "//"; else it all is path
+    has_auth = web | (slashes == "//")
+    df = df.withColumn(t + "s", s).withColumn(t + "w", web).withColumn(
+        t + "hp", F.when(has_auth, F.regexp_replace(auth, r"^.*@", "")).otherwise(F.lit(""))
     ).withColumn(
-        t + "p",
-        F.when(w, F.regexp_replace(F.regexp_extract(r, r"^[/\\]*[^/\\?#]*([^?#]*)", 1), r"\\", "/"))
-        .when(F.col(t + "sl"), F.regexp_extract(r, r"^//[^/?#]*([^?#]*)", 1))
-        .otherwise(F.regexp_extract(r, r"^([^?#]*)", 1)),
-    ).withColumn(t + "q", F.regexp_extract(r, r"^[^?#]*\?([^#]*)", 1))
-    df = df.withColumn(t + "hp", F.regexp_replace(F.col(t + "a"), r"^.*@", ""))
-    hp = F.col(t + "hp")
-    df = df.withColumn(t + "rh", F.regexp_replace(hp, r":[^:\]]*$", "")).withColumn(
-        t + "pt", F.regexp_extract(hp, r":([^:\]]*)$", 1)
+        t + "p", F.when(has_auth, F.regexp_replace(rest_path, r"\\", "/")).otherwise(F.concat(slashes, auth, rest_path))
+    ).withColumn(t + "q", F.substring(g[4], 2, 1 << 30)).withColumn(t + "sl", F.lit(True) & has_auth & ~web)
+    s, w, hp = F.col(t + "s"), F.col(t + "w"), F.col(t + "hp")
+    colon = F.instr(hp, ":")
+    df = df.withColumn(t + "rh", F.when(colon > 0, F.substring_index(hp, ":", 1)).otherwise(hp)).withColumn(
+        t + "pt", F.when(colon > 0, F.substring_index(hp, ":", -1)).otherwise(F.lit(""))
     )
     rh, pt = F.col(t + "rh"), F.col(t + "pt")
     web_ok = (rh != "") & ~rh.rlike(_BAD_HOST_RE) & ((pt == "") | pt.rlike(r"^[0-9]{1,5}$"))
     other_ok = ~rh.rlike(r"\s")
-    df = df.withColumn(t + "ok", F.col(t + "in") & (s != "") & F.when(w, web_ok).otherwise(other_ok))
+    df = df.withColumn(t + "ok", g.isNotNull() & F.when(w, web_ok).otherwise(other_ok))
     ok = F.col(t + "ok")
     df = df.withColumn(t + "h", F.when(w, F.lower(rh)).otherwise(rh))
     h = F.col(t + "h")
@@ -79,8 +85,13 @@ def with_url_parts(df: DataFrame, src: Column | str, out: str) -> DataFrame:
         F.when(ok, origin).alias("origin"),
         ok.alias("valid"),
     )
-    tmp = [t + x for x in ("s", "r", "in", "w", "sl", "a", "p", "q", "hp", "rh", "pt", "ok", "h")]
-    return df.withColumn(out, parts).drop(*tmp)
+    tmp = [t + x for x in ("g", "s", "w", "hp", "p", "q", "sl", "rh", "pt", "ok", "h")]
+    df = df.withColumn(t + "parts", parts).drop(*tmp)
+    # Emit the parts through a one-row generator: the optimizer cannot push a
+    # filter on them below it, so a predicate such as "referer host allowed"
+    # never gets the whole parse inlined (and duplicated) into it.
+    keep = [c for c in df.columns if c != t + "parts"]
+    return df.select(*keep, F.inline(F.array(F.struct(F.col(t + "parts").alias(out)))))
 
 
 def origin_and_path(parts: Column) -> Column:

@@ -117,20 +117,28 @@ def pre_gate_checks(df: DataFrame) -> DataFrame:
 def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance") -> DataFrame:
     """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
 
-    Skew-safe and without a shuffle of the requests by id: a grouped count
-    finds the sites whose eligible requests exceed their allowance (at most
-    one row per site); for those, a per-second histogram (small) locates the
-    second where the allowance runs out, and ranking inside that one second
-    gives the site's cut-off key.  Every request is then compared with its
-    site's cut-off through a join on ``site`` with that small table.
+    Skew-safe and without a shuffle of the requests by id.  One grouped
+    count per (site, second) - combined map-side - gives each site's total
+    and running count; for sites over their allowance it locates the second
+    where the allowance runs out, and ranking inside that one second gives
+    the site's cut-off key (at most one row per site).  Every request is then
+    compared with its site's cut-off through a join on ``site`` with that
+    small table.  Three passes over the requests: histogram, cut second,
+    final comparison.
     """
     sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000))
     e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"))
-    counts = e.groupBy("site").agg(F.count(F.lit(1)).alias("_n"), F.max("_allowance").alias("_allow"))
-    over = counts.filter(F.col("_n") > F.col("_allow")).select("site", "_allow")
-    hist = e.join(sized_broadcast(over), "site").groupBy("site", "_sec", "_allow").agg(F.count(F.lit(1)).alias("_c"))
-    wsum = Window.partitionBy("site").orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(wsum)).withColumn("_before", F.col("_cum") - F.col("_c"))
+    hist = e.groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"), F.max("_allowance").alias("_allow"))
+    by_site = Window.partitionBy("site")
+    running = by_site.orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = (
+        hist.withColumn("_n", F.sum("_c").over(by_site))
+        .withColumn("_allow", F.max("_allow").over(by_site))
+        .withColumn("_cum", F.sum("_c").over(running))
+        .filter(F.col("_n") > F.col("_allow"))
+        .withColumn("_before", F.col("_cum") - F.col("_c"))
+    )
+    over = hist.select("site").distinct()
     cut = hist.filter((F.col("_before") < F.col("_allow")) & (F.col("_cum") >= F.col("_allow"))).select(
         "site", F.col("_sec").alias("_cut_sec"), "_before", "_allow"
     )
@@ -141,7 +149,7 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
         .filter(F.col("_before") + F.col("_rank") == F.col("_allow"))
         .select("site", F.struct("received_at", "request_id").alias("_cutoff"))
     )
-    limits = over.select("site").join(keys, "site", "left").withColumn("_over", F.lit(True))
+    limits = over.join(keys, "site", "left").withColumn("_over", F.lit(True))
     j = df.join(sized_broadcast(limits), "site", "left")
     inside = F.col("_over").isNull() | (
         F.col("_cutoff").isNotNull() & (F.struct("received_at", "request_id") <= F.col("_cutoff"))
@@ -149,9 +157,18 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
     return j.withColumn(out, eligible & inside).drop("_over", "_cutoff")
 
 
-def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:
-    """requests -> requests + site config + ``status``, ``reason``, ``uses_allowance``."""
-    df = pre_gate_checks(with_site(requests, sites))
+def pre_check(requests: DataFrame, sites: DataFrame) -> DataFrame:
+    """Site lookup and the checks before the allowance gate (``_pre_status`` null = passed)."""
+    return pre_gate_checks(with_site(requests, sites))
+
+
+def finish_checks(pre: DataFrame, metered: bool = False) -> DataFrame:
+    """Allowance gate (metered only) and body checks -> ``status``, ``reason``, ``uses_allowance``.
+
+    The gate reads ``pre`` three times (histogram, cut second, comparison);
+    a job persists ``pre`` first so the checks before it run once per row.
+    """
+    df = pre
     eligible = F.col("_pre_status").isNull()
     if metered:
         df = gate_allowance(df, eligible)
@@ -181,6 +198,11 @@ def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> Da
     return out.drop("_pre_status", "_pre_reason", "_within_allowance")
 
 
+def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:
+    """requests -> requests + site config + ``status``, ``reason``, ``uses_allowance``."""
+    return finish_checks(pre_check(requests, sites), metered)
+
+
 def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
     """JSON body -> typed fields ``b_*``; a truthy ``is_initial_event`` marks the first event."""
     b = F.from_json(F.col("body"), S.BODY)

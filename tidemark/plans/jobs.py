@@ -59,9 +59,9 @@ def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, r
     """
     if metered:
         sites = remaining_allowance(spark, sites, root, batch_id)
-    # the parsed batch feeds the gate's several passes: read the source once
-    requests = requests.persist()
-    checked = ingest.validate(requests, sites, metered).persist()
+    # the gate reads the pre-checked batch three times: run the checks before it once
+    pre = ingest.pre_check(requests, sites).persist()
+    checked = ingest.finish_checks(pre, metered).persist()
     try:
         initial, regular, rejects = ingest.split_checked(checked, event_aliases)
         write_lake(initial, root, "initial_events", batch_id, files_per_partition)
@@ -72,5 +72,5 @@ def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, r
         counts = {str(r["status"]): r["n"] for r in checked.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     finally:
         checked.unpersist()
-        requests.unpersist()
+        pre.unpersist()
     return counts

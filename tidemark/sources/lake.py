@@ -39,13 +39,15 @@ def read_initial_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str, streaming: bool = False,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw tracker requests stored as JSON lines (one request per line)."""
+                  max_files_per_trigger: int | None = None, fmt: str = "json") -> DataFrame:
+    """Raw tracker requests: JSON lines (one request per line) or a Parquet landing table."""
     reader = spark.readStream if streaming else spark.read
-    reader = reader.schema(S.REQUEST).option("mode", "PERMISSIVE").option("timestampFormat", JSON_TS)
+    reader = reader.schema(S.REQUEST)
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    if fmt == "parquet":
+        return reader.parquet(path)
+    return reader.option("mode", "PERMISSIVE").option("timestampFormat", JSON_TS).json(path)
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
