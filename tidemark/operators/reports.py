@@ -77,13 +77,13 @@ def exit_pages(a: Analytics) -> DataFrame:
 def _share_of_sessions(a: Analytics, name: Column, hide: str | None = None) -> DataFrame:
     """One value per session (the session group), its count and % of all session groups.
 
-    The total is a one-row aggregate cross-joined by broadcast (its size is 1).
+    The total is a scalar subquery (one row, run once), not a join.
     """
     s = a.sessions.select(name.alias("name"))
     counts = s.groupBy("name").agg(F.count(F.lit(1)).alias("value"))
-    total = s.agg(F.count(F.lit(1)).alias("_total"))
-    out = counts.crossJoin(F.broadcast(total)).select(
-        "name", "value", (F.col("value").cast("double") / F.col("_total") * F.lit(100.0)).alias("percentage")
+    total = s.agg(F.count(F.lit(1))).scalar()
+    out = counts.select(
+        "name", "value", (F.col("value").cast("double") / total * F.lit(100.0)).alias("percentage")
     )
     if hide is not None:
         out = out.filter(F.col("name") != hide)
@@ -114,11 +114,10 @@ def events_report(a: Analytics) -> DataFrame:
     counts = r.groupBy(F.coalesce(F.col("event"), F.lit("Unknown")).alias("name")).agg(
         F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
     )
-    total = a.sessions.agg(F.count(F.col(SID)).alias("_total"))
-    out = counts.crossJoin(F.broadcast(total)).select(
+    total = a.sessions.agg(F.count(F.col(SID))).scalar()
+    out = counts.select(
         "name", "value", "events",
-        F.when(F.col("_total") > 0, F.col("value").cast("double") / F.col("_total") * F.lit(100.0))
-        .otherwise(F.lit(0.0)).alias("percentage"),
+        F.when(total > 0, F.col("value").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias("percentage"),
     )
     return _top(out)
 
@@ -135,11 +134,10 @@ def property_values(a: Analytics, key: str) -> DataFrame:
     agg = e.groupBy(F.col("prop_value").alias("name")).agg(
         F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
     )
-    total = agg.agg(F.sum("value").alias("_total"))
-    out = agg.crossJoin(F.broadcast(total)).select(
+    total = agg.agg(F.sum("value")).scalar()
+    out = agg.select(
         "name", "value", "events",
-        F.when(F.col("_total") > 0, F.col("value").cast("double") / F.col("_total") * F.lit(100.0))
-        .otherwise(F.lit(0.0)).alias("percentage"),
+        F.when(total > 0, F.col("value").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias("percentage"),
     )
     return _top(out)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, format_duration
@@ -24,6 +24,52 @@ def session_facts(a: Analytics) -> DataFrame:
     )
 
 
+# Bit shifts of the radix levels used to find an order statistic of non-negative
+# bigints: each level groups the values still in play by their next 21 bits, so
+# no step holds more than 2**21 small (prefix, count) rows in one task, at any
+# data size.
+RADIX_SHIFTS = (42, 21, 0)
+
+
+def exact_median_frame(values: DataFrame, col: str) -> DataFrame:
+    """One row ``median``: exact (interpolating) median of a non-negative bigint column.
+
+    Same result as ``median`` / ``percentile(col, 0.5)`` (the mean of the two
+    middle values for an even count), but it never merges all distinct values
+    in one task.  A radix descent finds the two middle order statistics: the
+    state (rank, prefix so far, rank left inside it) is a two-row frame; each
+    level joins the values to it by prefix (broadcast, two rows), counts them
+    by their next 21 bits (combined map-side), and keeps the group holding
+    the rank.  No level holds more than 2**21 groups.
+    """
+    v = values.select(F.col(col).cast("bigint").alias("_v")).filter(F.col("_v").isNotNull())
+    n = v.agg(F.count(F.lit(1)).alias("_n"))
+    st = n.select(
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("_r"), (F.floor((F.col("_n") - 1) / 2) + 1).alias("_rem")),
+            F.struct(F.lit(1).alias("_r"), (F.ceil((F.col("_n") - 1) / 2) + 1).alias("_rem")),
+        )).alias("_s")
+    ).select("_s._r", "_s._rem", F.lit(0).cast("bigint").alias("_prefix")).filter(F.col("_rem") >= 1)
+    prev = 63  # every non-negative bigint has prefix 0 above bit 63
+    for sh in RADIX_SHIFTS:
+        cand = v.join(F.broadcast(st), F.shiftright(v["_v"], prev) == st["_prefix"])
+        h = cand.groupBy("_r", "_rem", F.shiftright("_v", sh).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        h = h.withColumn("_cum", F.sum("_c").over(w))
+        st = h.filter((F.col("_cum") - F.col("_c") < F.col("_rem")) & (F.col("_cum") >= F.col("_rem"))).select(
+            "_r", (F.col("_rem") - (F.col("_cum") - F.col("_c"))).alias("_rem"), F.col("_p").alias("_prefix")
+        )
+        prev = sh
+    lo = F.max(F.when(F.col("_r") == 0, F.col("_prefix")))
+    hi = F.max(F.when(F.col("_r") == 1, F.col("_prefix")))
+    return st.agg((lo.cast("double") * 0.5 + hi.cast("double") * 0.5).alias("median"))
+
+
+def exact_median(values: DataFrame, col: str) -> Column:
+    """``exact_median_frame`` as a scalar Column (null when there are no values)."""
+    return exact_median_frame(values, col).select("median").scalar()
+
+
 def stats(a: Analytics) -> DataFrame:
     """One row: visits, page views, unique visitors, median duration (s), bounce rate (%).
 
@@ -33,12 +79,12 @@ def stats(a: Analytics) -> DataFrame:
     """
     s = a.sessions
     dur_us = F.when(F.col("n_rows") > 1, F.unix_micros("last_ts") - F.unix_micros("first_ts"))
+    med = exact_median(s.select(dur_us.alias("_d")), "_d")
     g = s.agg(
         F.count(F.col(SID)).alias("unique_visitors"),
         F.coalesce(F.sum("n_pageviews"), F.lit(0)).cast("bigint").alias("total_pageviews"),
         F.count(F.when(F.col("n_pageviews") == 1, F.col(SID))).alias("bounced_sessions"),
-        F.median(dur_us).alias("_median_us"),
-    )
+    ).withColumn("_median_us", med)
     return g.select(
         F.col("unique_visitors").alias("total_visits"),
         "total_pageviews",
