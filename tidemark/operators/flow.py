@@ -2,9 +2,10 @@
 
 Steps are the session's events in time order, a step equal to the one before
 it is dropped, the rest are numbered, and each step is paired with the next.
-All three windows share one partitioning (the session key the view is already
-hash-partitioned by) and one ordering, so the chain costs no shuffle beyond
-the view's own and one sort.
+The windows run per (session, chunk) with one ordering.  Normal sessions are
+one chunk; sessions above ``HOT_SESSION_ROWS`` rows are cut into one-second
+chunks so a single huge (bot) session is spread over many tasks, and a small
+per-chunk summary repairs the chain across chunk borders.
 """
 
 from __future__ import annotations
@@ -12,12 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizing import sized_broadcast
 from .model import SK, SN, Analytics
 
 # Node marks for page views and for other events.
 PAGE_MARK = "\U0001F4C3 "
 CLICK_MARK = "\U0001F5B1️ "
 
+# A session with more rows than this is cut into time chunks for the window chain.
+HOT_SESSION_ROWS = 1_000_000
+CHUNK_US = 1_000_000   # one second
+
 LINK_LIMIT = 200       # links fetched
 MIN_COUNT = 3          # shown links need at least this count
 DISPLAY_LIMIT = 75     # links shown
@@ -31,23 +37,75 @@ def node_label() -> Column:
     ).otherwise(F.concat(F.lit(CLICK_MARK), F.col("event")))
 
 
-def steps(rows: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Deduplicated, numbered steps: ``_sk, _sn, session_id, node_id, step_idx, target_node``."""
-    order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in rows.columns else [])
-    w = Window.partitionBy(SK, SN).orderBy(*order)
+def _kept(prev: Column, cur: Column) -> Column:
+    """A step is kept when there is no previous step label or it differs (null-safe as SQL)."""
+    return F.coalesce(prev.isNull() | (cur != prev), F.lit(False))
+
+
+def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = None,
+          chunk_us: int = CHUNK_US) -> DataFrame:
+    """Deduplicated, numbered steps: ``_sk, _sn, session_id, node_id, step_idx, target_node``.
+
+    Rows are windowed per (session, chunk).  A normal session is one chunk.
+    Sessions listed in ``hot`` (key columns ``_sk, _sn``) are cut into chunks
+    of ``chunk_us`` microseconds of time, so a session holding a large share
+    of all rows is spread over many tasks; a per-chunk summary (first and
+    last label, kept count) carries the dedupe, the step numbering (a prefix
+    sum) and the pairing across chunk borders.
+    """
     extra = ["timestamp"] + ([seq_col] if seq_col and seq_col in rows.columns else [])
+    order = [F.col(c) for c in extra]
     r = rows.select(SK, SN, "session_id", *extra, node_label().alias("base_node"))
-    r = r.withColumn("_prev", F.lag("base_node").over(w))
-    kept = r.filter(F.col("_prev").isNull() | (F.col("base_node") != F.col("_prev")))
-    kept = kept.withColumn("step_idx", F.row_number().over(w))
+    if hot is not None:
+        flag = hot.select(SK, SN).distinct().withColumn("_hot", F.lit(True))
+        r = r.join(sized_broadcast(flag), [SK, SN], "left")
+        r = r.withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us)))
+                         .otherwise(F.lit(0)).cast("bigint")).drop("_hot")
+    else:
+        r = r.withColumn("_chunk", F.lit(0).cast("bigint"))
+    part = [SK, SN, "_chunk"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    r = r.withColumn("_rn", F.row_number().over(w)).withColumn("_lp", F.lag("base_node").over(w))
+    r = r.withColumn("_inner", (F.col("_rn") > 1) & _kept(F.col("_lp"), F.col("base_node")))
+    ok = F.struct(*order)
+    summ = r.groupBy(*part).agg(
+        F.min_by("base_node", ok).alias("_first"),
+        F.max_by("base_node", ok).alias("_last"),
+        F.count_if("_inner").alias("_inner_n"),
+        F.min_by("base_node", F.when(F.col("_inner"), ok)).alias("_first_inner"),
+    )
+    cw = Window.partitionBy(SK, SN).orderBy("_chunk")
+    summ = summ.withColumn("_first_kept", _kept(F.lag("_last").over(cw), F.col("_first")))
+    summ = summ.withColumn("_kept_n", F.col("_inner_n") + F.col("_first_kept").cast("int"))
+    summ = summ.withColumn(
+        "_offset", F.coalesce(F.sum("_kept_n").over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    first_node = F.when(F.col("_first_kept"), F.col("_first")).otherwise(F.col("_first_inner"))
+    summ = summ.withColumn(
+        "_first_id",
+        F.when(F.col("_kept_n") > 0,
+               F.concat_ws("", first_node, F.lit(" #"), (F.col("_offset") + 1).cast("string"))),
+    )
+    summ = summ.withColumn(
+        "_next_id", F.first("_first_id", ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing))
+    ).select(*part, "_first_kept", "_offset", "_next_id")
+    j = r.join(summ, part)
+    kept = j.filter(F.when(F.col("_rn") == 1, F.col("_first_kept")).otherwise(F.col("_inner")))
+    kept = kept.withColumn("step_idx", F.col("_offset") + F.row_number().over(w))
     # a null label is skipped by the concatenation, not propagated
     kept = kept.withColumn("node_id", F.concat_ws("", F.col("base_node"), F.lit(" #"), F.col("step_idx").cast("string")))
-    return kept.withColumn("target_node", F.lead("node_id").over(w)).drop("_prev")
+    kept = kept.withColumn("target_node", F.coalesce(F.lead("node_id").over(w), F.col("_next_id")))
+    return kept.drop("_rn", "_lp", "_inner", "_first_kept", "_offset", "_next_id")
+
+
+def hot_sessions(a: Analytics, min_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+    """Session keys with more than ``min_rows`` rows (at most total_rows / min_rows of them)."""
+    return a.sessions.filter(F.col("n_rows") > min_rows).select(SK, SN)
 
 
 def transitions(a: Analytics) -> DataFrame:
     """All (source, target) pair counts of the kept sessions."""
-    st = steps(a.event_rows(), a.seq_col)
+    st = steps(a.event_rows(), a.seq_col, hot_sessions(a))
     return (
         st.filter(F.col("target_node").isNotNull())
         .groupBy(F.col("node_id").alias("source_node"), F.col("target_node"))
