@@ -34,3 +34,21 @@ def test_chunk_borders_dedupe(spark):
     got = sorted((r["node_id"], r["target_node"]) for r in flow.steps(a.event_rows(), hot=hot).collect())
     m = flow.PAGE_MARK
     assert got == [(m + "/a #1", m + "/b #2"), (m + "/b #2", m + "/c #3"), (m + "/c #3", None)]
+
+
+def test_salted_join_equals_plain(spark, monkeypatch):
+    from tidemark.operators import reports, stats
+    from tidemark.operators.segments import Segment, apply_segments
+    ini, ev = fixtures.load(spark, SF001)
+    a = model.build(ini, ev, seq_col=fixtures.SEQ)
+    seg = [Segment("channel", "Social")]
+    cols = ["session_id", "event_id", "country", "channel"]
+    want_rows = sorted(tuple(r) for r in a.rows.select(*cols).collect())
+    want_seg = sorted(tuple(r) for r in apply_segments(a, seg).event_rows().select("session_id", "event_id").collect())
+    want_links = sorted(tuple(r) for r in flow.transitions(a).collect())
+    monkeypatch.setattr(model, "HOT_SESSION_ROWS", 2)  # nearly every session is hot now
+    assert model.hot_session_salts(a.sessions).count() > 0
+    assert sorted(tuple(r) for r in a.rows.select(*cols).collect()) == want_rows
+    got_seg = apply_segments(a, seg).event_rows().select("session_id", "event_id").collect()
+    assert sorted(tuple(r) for r in got_seg) == want_seg
+    assert sorted(tuple(r) for r in flow.transitions(a).collect()) == want_links

@@ -20,8 +20,7 @@ from .model import SK, SN, Analytics
 PAGE_MARK = "\U0001F4C3 "
 CLICK_MARK = "\U0001F5B1️ "
 
-# A session with more rows than this is cut into time chunks for the window chain.
-HOT_SESSION_ROWS = 1_000_000
+# Sessions above model.HOT_SESSION_ROWS rows are cut into time chunks for the window chain.
 CHUNK_US = 1_000_000   # one second
 
 LINK_LIMIT = 200       # links fetched
@@ -98,9 +97,10 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     return kept.drop("_rn", "_lp", "_inner", "_first_kept", "_offset", "_next_id")
 
 
-def hot_sessions(a: Analytics, min_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+def hot_sessions(a: Analytics, min_rows: int | None = None) -> DataFrame:
     """Session keys with more than ``min_rows`` rows (at most total_rows / min_rows of them)."""
-    return a.sessions.filter(F.col("n_rows") > min_rows).select(SK, SN)
+    from . import model
+    return a.sessions.filter(F.col("n_rows") > (min_rows or model.HOT_SESSION_ROWS)).select(SK, SN)
 
 
 def transitions(a: Analytics) -> DataFrame:

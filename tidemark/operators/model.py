@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.text import is_blank
+from ..plans.sizing import sized_broadcast
 
 # Referer domains the channel rule matches, as listed in the source product.
 EMAIL_DOMAINS = ["mail.google.com", "com.google.android.gm"]
@@ -146,6 +147,38 @@ def with_session_key(df: DataFrame) -> DataFrame:
     return df.withColumn(SK, F.coalesce(F.col(SESSION_KEY), F.lit(""))).withColumn(SN, F.col(SESSION_KEY).isNull())
 
 
+# A session with more rows than this is salted in joins by session key: its
+# rows are spread over ceil(n_rows / HOT_SESSION_ROWS) join keys.
+HOT_SESSION_ROWS = 1_000_000
+
+
+def hot_session_salts(sessions: DataFrame, min_rows: int | None = None) -> DataFrame:
+    """``_sk, _sn, _salts`` for sessions above ``min_rows`` rows.
+
+    At most total_rows / min_rows sessions qualify, so the frame is small by
+    construction (and still broadcast only behind a size check)."""
+    min_rows = min_rows or HOT_SESSION_ROWS
+    return sessions.filter(F.col("n_rows") > min_rows).select(
+        SK, SN, F.ceil(F.col("n_rows") / F.lit(min_rows)).cast("int").alias("_salts")
+    )
+
+
+def salted_session_join(rows: DataFrame, sess: DataFrame, how: str, hot: DataFrame, spread: list[Column]) -> DataFrame:
+    """Join event rows to a one-row-per-session frame on the session key, with
+    hot sessions salted: their rows get a salt from a hash of ``spread``, and
+    their session row is repeated once per salt, so one huge session is
+    joined by many tasks instead of one."""
+    h = sized_broadcast(hot)
+    r = rows.join(h, [SK, SN], "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")))
+    ).drop("_salts")
+    s = sess.join(h, [SK, SN], "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
+                           .otherwise(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    ).drop("_salts")
+    return r.join(s, [SK, SN, "_salt"], how).drop("_salt")
+
+
 @dataclass(frozen=True)
 class Analytics:
     """The analytics view, kept as raw rows + session table.
@@ -165,11 +198,15 @@ class Analytics:
     seq_col: str | None = None
     narrowed: bool = False
 
+    def _spread(self) -> list[Column]:
+        return [F.col("timestamp")] + ([F.col(self.seq_col)] if self.seq_col else [F.col("event")])
+
     def event_rows(self) -> DataFrame:
         """Raw rows of the kept sessions (event columns only, no fill needed)."""
         if not self.narrowed:
             return self.base
-        return self.base.join(self.sessions.select(SK, SN), [SK, SN], "left_semi")
+        return salted_session_join(self.base, self.sessions.select(SK, SN), "left_semi",
+                                   hot_session_salts(self.sessions), self._spread())
 
     @property
     def rows(self) -> DataFrame:
@@ -177,7 +214,8 @@ class Analytics:
         b = self.base.select(*keep, SK, SN)
         filled = self.sessions.select(SK, SN, *self.static, "channel", "source")
         cols = list(S.EVENT_COLUMNS) + list(self.static) + ["channel", "source"] + keep[len(S.EVENT_COLUMNS):]
-        return b.join(filled, [SK, SN], "inner").select(*cols)
+        j = salted_session_join(b, filled, "inner", hot_session_salts(self.sessions), self._spread())
+        return j.select(*cols)
 
     def with_sessions(self, sessions: DataFrame) -> "Analytics":
         return Analytics(self.base, sessions, self.static, self.seq_col, True)
