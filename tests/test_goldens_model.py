@@ -155,3 +155,13 @@ def test_bundle_unknown_name(spark):
     a = build(spark, [initial_row("z", "2024-01-01T10:00:00")], [])
     with pytest.raises(KeyError):
         reports.bundle(a, "nope")
+
+
+def test_dashboard_property_key_choice(spark):
+    from tidemark.plans.dashboard import dashboard
+    a = build(spark, [initial_row("m", "2024-01-01T10:00:00", properties='{"plan": "pro", "b": 1}')], [])
+    assert dashboard(a, property_key="plan", persist=False).property_key == "plan"
+    assert dashboard(a, property_key="gone", persist=False).property_key == "b"
+    empty = build(spark, [initial_row("m", "2024-01-01T10:00:00", properties="{}")], [])
+    d = dashboard(empty, persist=False)
+    assert d.property_key is None and d.property_values is None

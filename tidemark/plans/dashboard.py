@@ -58,19 +58,23 @@ def _long_part(t: str, df: DataFrame) -> DataFrame:
     )
 
 
-def pick_property_key(keys: list[str], current: str | None) -> str | None:
-    if current and current in keys:
+def pick_property_key(keys: DataFrame, current: str | None) -> str | None:
+    """Keep ``current`` if it is still among the keys, else the first key (sorted), else none.
+
+    Two one-row lookups on the distributed key list; nothing else is collected."""
+    if current and keys.filter(F.col("key") == current).limit(1).count() > 0:
         return current
-    return keys[0] if keys else None
+    first = keys.orderBy("key").limit(1).collect()
+    return first[0]["key"] if first else None
 
 
 def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None = None,
               segments: list[Segment] | None = None, property_key: str | None = None,
-              persist: bool = True, max_keys: int = 1000) -> Dashboard:
+              persist: bool = True) -> Dashboard:
     """Build every report for one segment list.
 
-    Property keys ignore segments (D16) and are collected (a short, bounded
-    list) only to choose the key to break down.
+    Property keys ignore segments (D16); the key to break down is chosen by
+    two one-row lookups, not by collecting the key list.
     """
     seg = apply_segments(a, segments or [])
     cached = []
@@ -78,8 +82,7 @@ def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None
         seg = seg.persist()
         cached.append(seg)
     keys_df = stats.property_keys(a)
-    keys = [r["key"] for r in keys_df.limit(max_keys).collect()]
-    key = pick_property_key(keys, property_key)
+    key = pick_property_key(keys_df, property_key)
     links = flow.flow_links(seg)
     shown = flow.display_links(links)
     return Dashboard(
