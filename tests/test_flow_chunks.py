@@ -52,3 +52,18 @@ def test_salted_join_equals_plain(spark, monkeypatch):
     got_seg = apply_segments(a, seg).event_rows().select("session_id", "event_id").collect()
     assert sorted(tuple(r) for r in got_seg) == want_seg
     assert sorted(tuple(r) for r in flow.transitions(a).collect()) == want_links
+
+
+def test_forward_fill_chunked_equals_plain(spark, monkeypatch):
+    from helpers import event_row, initial_row, tables
+    ini, ev = tables(spark, [initial_row("s", "2024-01-01T10:00:01", country="FR", region="R1"),
+                             initial_row("t", "2024-01-01T10:00:00")],
+                     [event_row("s", "2024-01-01T10:00:00"), event_row("s", "2024-01-01T10:00:02.5"),
+                      event_row("s", "2024-01-01T10:00:04"), event_row("t", "2024-01-01T10:00:03")])
+    u = model.union_events(ini, ev)
+    cols = ["session_id", "timestamp", "country", "region"]
+    plain = sorted(tuple(r) for r in model.fill_session(u, "forward").select(*cols).collect())
+    monkeypatch.setattr(model, "HOT_SESSION_ROWS", 1)   # both sessions hot: one-second chunks
+    chunked = sorted(tuple(r) for r in model.fill_session(u, "forward").select(*cols).collect())
+    assert chunked == plain
+    assert [r[2] for r in plain if r[0] == "s"] == [None, "FR", "FR", "FR"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,14 +270,17 @@ def analytics(initial: DataFrame, events: DataFrame, **kw) -> DataFrame:
     return build(initial, events, **kw).rows
 
 
-def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = None) -> DataFrame:
+def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = None,
+                 chunk_us: int = 1_000_000) -> DataFrame:
     """Spread the visit columns of an already unioned table over each session.
 
     ``first_row`` (what the source product computes, D1): every row takes the
     session's earliest row, nulls included; done with a grouped ``min_by`` and a
     join, so a huge session is reduced map-side.  ``forward``: the documented
-    aim, the last non-null value up to each row; this one is row-dependent and
-    needs a running window, so one session sits in one sorted task.
+    aim, the last non-null value up to each row; a running window per
+    session, with sessions above ``HOT_SESSION_ROWS`` rows cut into time
+    chunks (``chunk_us``) whose last non-null values are carried across chunk
+    borders, so a huge session is spread over many tasks.
     """
     fields = [f for f in S.safe_fields(S.INITIAL_FIELDS) if f.name in df.columns]
     static = [c for c in static_columns(fields) if c != SESSION_KEY]
@@ -289,10 +292,27 @@ def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = N
         out = keyed.drop(*static).join(filled, [SK, SN], "inner")
         return out.select(*df.columns)
     if mode == "forward":
-        from pyspark.sql import Window
-        order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in df.columns else [])
-        w = (Window.partitionBy(SESSION_KEY).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in static else F.col(c)
-                           for c in df.columns])
+        return _forward_fill(df, static, seq_col, chunk_us)
     raise ValueError(f"unknown fill mode {mode!r}")
+
+
+def _forward_fill(df: DataFrame, static: list[str], seq_col: str | None, chunk_us: int) -> DataFrame:
+    keyed = with_session_key(df)
+    order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in df.columns else [])
+    hot = keyed.groupBy(SK, SN).agg(F.count(F.lit(1)).alias("n_rows"))
+    flag = hot_session_salts(hot).select(SK, SN, F.lit(True).alias("_hot"))
+    keyed = keyed.join(sized_broadcast(flag), [SK, SN], "left").withColumn(
+        "_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us))).otherwise(F.lit(0))
+        .cast("bigint")).drop("_hot")
+    part = [SK, SN, "_chunk"]
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ok = F.struct(*order)
+    summ = keyed.groupBy(*part).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ok)).alias(f"_l_{c}")
+                                      for c in static])
+    cw = Window.partitionBy(SK, SN).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*part, *[F.last(f"_l_{c}", ignorenulls=True).over(cw).alias(f"_c_{c}") for c in static])
+    local = keyed.select(*[c for c in keyed.columns if c not in static],
+                         *[F.last(F.col(c), ignorenulls=True).over(w).alias(c) for c in static])
+    j = local.join(summ, part)
+    out = j.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in static else F.col(c) for c in df.columns])
+    return out
