@@ -49,11 +49,15 @@ def adapted(spark: SparkSession, sf: str):
     from tidemark.plans.jobs import _exists
     from tidemark.session import scratch_path
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
+    from tidemark.plans.jobs import publish_once
     root = scratch_path(spark, ADAPTED_VERSION, stamp)
-    if not _exists(spark, root + "/events/_SUCCESS"):
+
+    def write(tmp):
         ini, ev = fixtures.load(spark, sf)
-        ini.write.mode("overwrite").parquet(root + "/initial_events")
-        ev.write.mode("overwrite").parquet(root + "/events")
+        ini.write.parquet(tmp + "/initial_events")
+        ev.write.parquet(tmp + "/events")
+
+    publish_once(spark, root, write)
     return spark.read.parquet(root + "/initial_events"), spark.read.parquet(root + "/events")
 
 
@@ -489,9 +493,9 @@ def _requests(spark, sf):
     from tidemark.session import scratch_path
     from tidemark.sources import lake as _src
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
+    from tidemark.plans.jobs import publish_once
     path = scratch_path(spark, REQUESTS_VERSION, stamp)
-    if not _exists(spark, path + "/_SUCCESS"):
-        fixtures.requests(spark, sf).write.mode("overwrite").parquet(path)
+    publish_once(spark, path, lambda tmp: fixtures.requests(spark, sf).write.parquet(tmp))
     return _src.read_requests(spark, path, fmt="parquet"), fixtures.sites(spark)
 
 
@@ -658,7 +662,7 @@ from tidemark.session import scratch_path  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
 from tidemark.sources import lake as src  # noqa: E402
 
-LAKE_VERSION = "lake-v4"
+LAKE_VERSION = "lake-v5"
 
 
 def lake_root(spark, sf):
@@ -667,13 +671,14 @@ def lake_root(spark, sf):
 
 def ensure_lake(spark, sf):
     """Ingest the fixture requests of ``sf`` into a lake once (batch 0, metered)."""
+    from tidemark.plans.jobs import publish_once
     root = lake_root(spark, sf)
-    marker = root + "/_READY"
-    if not _exists(spark, marker):
+
+    def write(tmp):
         req, sites = _requests(spark, sf)
-        ingest_to_lake(spark, req, sites, root, 0, metered=True)
-        spark.createDataFrame([("ok",)], "s string").coalesce(1).write.mode("overwrite").text(marker)
-    return root
+        ingest_to_lake(spark, req, sites, tmp, 0, metered=True)
+
+    return publish_once(spark, root, write)
 
 
 LAKE_REGULAR = ["site_id", "dt", "event", "pathname", "session_id", "timestamp", "properties"]
@@ -997,13 +1002,16 @@ def q_snk_append_lake_stream(spark, sf):
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
     src_dir = _scratch_dir(spark, sf, "stream_requests")
     root = scratch_path(spark, LAKE_VERSION, stamp, "stream_lake")
-    chk = scratch_path(spark, LAKE_VERSION, stamp, "stream_checkpoint")
-    if not _exists(spark, root + "/_READY"):
+    from tidemark.plans.jobs import publish_once
+
+    def write(tmp):
         req, _ = _requests(spark, sf)
         req.write.mode("overwrite").option("timestampFormat", src.JSON_TS).json(src_dir)
-        q = start_ingest(spark, src_dir, lambda: fixtures.sites(spark), root, checkpoint=chk, available_now=True)
+        q = start_ingest(spark, src_dir, lambda: fixtures.sites(spark), tmp, checkpoint=tmp + "_checkpoint",
+                         available_now=True)
         q.awaitTermination()
-        spark.createDataFrame([("ok",)], "s string").coalesce(1).write.mode("overwrite").text(root + "/_READY")
+
+    publish_once(spark, root, write)
     a = src.read_initial_events(spark, root).select("site_id", "dt", "batch_id")
     b = src.read_events(spark, root).select("site_id", "dt", "batch_id")
     return a.unionByName(b).groupBy("site_id", "dt", "batch_id").agg(F.count(F.lit(1)).alias("n"))

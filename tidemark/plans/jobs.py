@@ -27,6 +27,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def publish_once(spark: SparkSession, path: str, write) -> str:
+    """Build a derived table once: ``write(tmp)`` fills a private folder next to
+    ``path``, which is then renamed into place (an atomic rename on HDFS-like
+    stores).  If another run published ``path`` first, its copy is kept and
+    ours is removed."""
+    import uuid
+    if _exists(spark, path):
+        return path
+    jvm = spark.sparkContext._jvm
+    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+    write(tmp)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    parent = dst.getParent()
+    if parent is not None and not fs.exists(parent):
+        fs.mkdirs(parent)
+    if not fs.rename(src, dst):
+        fs.delete(src, True)
+    return path
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     path = table_path(root, "usage")
     if not _exists(spark, path):
