@@ -47,8 +47,13 @@ def route(df: DataFrame, flag: str = "is_initial_event") -> tuple[DataFrame, Dat
 
 def _writer(df: DataFrame, partitions: list[str], files_per_partition: int | None):
     if files_per_partition:
-        # one shuffle so each lake partition is written by few tasks (few files)
-        df = df.repartition(files_per_partition, *[F.col(c) for c in partitions if c != "batch_id"])
+        # one shuffle so each lake partition gets at most ``files_per_partition``
+        # files; the salt spreads a hot (site, day) over that many tasks instead of one
+        keys = [F.col(c) for c in partitions if c != "batch_id"]
+        atomic = [F.col(f.name) for f in df.schema.fields
+                  if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+        salt = F.pmod(F.xxhash64(*atomic), F.lit(files_per_partition))
+        df = df.repartition(*keys, salt)
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
 
 
@@ -89,8 +94,19 @@ def register_tables(spark: SparkSession, initial: DataFrame, events: DataFrame,
     events.createOrReplaceTempView(names[1])
 
 
-def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, files: int = 1) -> int:
-    """Merge every batch of one (site_id, dt) partition into ``files`` files.
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+
+
+def _partition_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, files: int | None = None) -> int:
+    """Merge every batch of one (site_id, dt) partition into ``files`` files
+    (default: one per 256 MB of input, read from the file-system metadata).
 
     The partition is copied to a staging area in the shared checkpoint folder
     first, then the partition directory is overwritten from the copy (under a
@@ -105,11 +121,13 @@ def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, f
     top = part.agg(F.max("batch_id")).first()[0]
     if top is None:
         return 0
+    target = f"{table_path(root, table)}/site_id={site_id}/dt={dt}"
+    if files is None:
+        files = max(1, -(-_partition_bytes(spark, target) // TARGET_FILE_BYTES))
     (part.select(*cols).withColumn("batch_id", F.lit(top).cast("bigint"))
      .repartition(files).write.mode("overwrite").parquet(stage))
     staged = spark.read.parquet(stage)
     n = staged.count()
-    target = f"{table_path(root, table)}/site_id={site_id}/dt={dt}"
     # static overwrite: the whole (site_id, dt) directory is replaced by the staged copy
     (staged.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy("batch_id").parquet(target))
