@@ -57,17 +57,19 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     r = rows.select(SK, SN, "session_id", *extra, node_label().alias("base_node"))
     if hot is not None:
         flag = hot.select(SK, SN).distinct().withColumn("_hot", F.lit(True))
-        r = r.join(sized_broadcast(flag), [SK, SN], "left")
+        r = r.join(sized_broadcast(flag), [SK, SN], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
         r = r.withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us)))
-                         .otherwise(F.lit(0)).cast("bigint")).drop("_hot")
+                         .otherwise(F.lit(0)).cast("bigint"))
     else:
-        r = r.withColumn("_chunk", F.lit(0).cast("bigint"))
+        r = r.withColumn("_hot", F.lit(False)).withColumn("_chunk", F.lit(0).cast("bigint"))
     part = [SK, SN, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     r = r.withColumn("_rn", F.row_number().over(w)).withColumn("_lp", F.lag("base_node").over(w))
     r = r.withColumn("_inner", (F.col("_rn") > 1) & _kept(F.col("_lp"), F.col("base_node")))
+    # Chunk summary, for hot sessions only (a normal session is a single chunk:
+    # its first step is kept, its numbering starts at 0 and no chunk follows).
     ok = F.struct(*order)
-    summ = r.groupBy(*part).agg(
+    summ = r.filter(F.col("_hot")).groupBy(*part).agg(
         F.min_by("base_node", ok).alias("_first"),
         F.max_by("base_node", ok).alias("_last"),
         F.count_if("_inner").alias("_inner_n"),
@@ -88,13 +90,14 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     summ = summ.withColumn(
         "_next_id", F.first("_first_id", ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing))
     ).select(*part, "_first_kept", "_offset", "_next_id")
-    j = r.join(summ, part)
+    j = r.join(sized_broadcast(summ), part, "left").withColumn(
+        "_first_kept", F.coalesce("_first_kept", F.lit(True))).withColumn("_offset", F.coalesce("_offset", F.lit(0)))
     kept = j.filter(F.when(F.col("_rn") == 1, F.col("_first_kept")).otherwise(F.col("_inner")))
     kept = kept.withColumn("step_idx", F.col("_offset") + F.row_number().over(w))
     # a null label is skipped by the concatenation, not propagated
     kept = kept.withColumn("node_id", F.concat_ws("", F.col("base_node"), F.lit(" #"), F.col("step_idx").cast("string")))
     kept = kept.withColumn("target_node", F.coalesce(F.lead("node_id").over(w), F.col("_next_id")))
-    return kept.drop("_rn", "_lp", "_inner", "_first_kept", "_offset", "_next_id")
+    return kept.drop("_rn", "_lp", "_inner", "_first_kept", "_offset", "_next_id", "_hot")
 
 
 def hot_sessions(a: Analytics, min_rows: int | None = None) -> DataFrame:

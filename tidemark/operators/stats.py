@@ -43,15 +43,21 @@ def exact_median_frame(values: DataFrame, col: str) -> DataFrame:
     the rank.  No level holds more than 2**21 groups.
     """
     v = values.select(F.col(col).cast("bigint").alias("_v")).filter(F.col("_v").isNotNull())
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
-    st = n.select(
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("_r"), (F.floor((F.col("_n") - 1) / 2) + 1).alias("_rem")),
-            F.struct(F.lit(1).alias("_r"), (F.ceil((F.col("_n") - 1) / 2) + 1).alias("_rem")),
-        )).alias("_s")
-    ).select("_s._r", "_s._rem", F.lit(0).cast("bigint").alias("_prefix")).filter(F.col("_rem") >= 1)
-    prev = 63  # every non-negative bigint has prefix 0 above bit 63
-    for sh in RADIX_SHIFTS:
+    # level 1 needs no state: its histogram also gives the count, hence both ranks
+    top = RADIX_SHIFTS[0]
+    h = v.groupBy(F.shiftright("_v", top).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(F.lit(1))
+    h = h.withColumn("_n", F.sum("_c").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    h = h.withColumn("_cum", F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    h = h.select("_p", "_c", "_cum", F.explode(F.array(
+        F.struct(F.lit(0).alias("_r"), (F.floor((F.col("_n") - 1) / 2) + 1).alias("_rem")),
+        F.struct(F.lit(1).alias("_r"), (F.ceil((F.col("_n") - 1) / 2) + 1).alias("_rem")),
+    )).alias("_s")).select("_p", "_c", "_cum", "_s._r", "_s._rem")
+    st = h.filter((F.col("_cum") - F.col("_c") < F.col("_rem")) & (F.col("_cum") >= F.col("_rem"))).select(
+        "_r", (F.col("_rem") - (F.col("_cum") - F.col("_c"))).alias("_rem"), F.col("_p").alias("_prefix")
+    )
+    prev = top
+    for sh in RADIX_SHIFTS[1:]:
         cand = v.join(F.broadcast(st), F.shiftright(v["_v"], prev) == st["_prefix"])
         h = cand.groupBy("_r", "_rem", F.shiftright("_v", sh).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
         w = Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -61,11 +61,12 @@ def _long_part(t: str, df: DataFrame) -> DataFrame:
 def pick_property_key(keys: DataFrame, current: str | None) -> str | None:
     """Keep ``current`` if it is still among the keys, else the first key (sorted), else none.
 
-    Two one-row lookups on the distributed key list; nothing else is collected."""
-    if current and keys.filter(F.col("key") == current).limit(1).count() > 0:
-        return current
-    first = keys.orderBy("key").limit(1).collect()
-    return first[0]["key"] if first else None
+    One global aggregate over the distributed key list returns both candidates."""
+    row = keys.agg(
+        F.max(F.when(F.col("key") == F.lit(current), F.col("key"))).alias("kept"),
+        F.min("key").alias("first"),
+    ).first()
+    return row["kept"] if current and row["kept"] is not None else row["first"]
 
 
 def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None = None,
@@ -74,7 +75,7 @@ def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None
     """Build every report for one segment list.
 
     Property keys ignore segments (D16); the key to break down is chosen by
-    two one-row lookups, not by collecting the key list.
+    one global aggregate, not by collecting the key list.
     """
     seg = apply_segments(a, segments or [])
     cached = []
