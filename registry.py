@@ -16,7 +16,10 @@ import re
 
 import oracles as O
 from tidemark.operators import model, reports, stats
+from tidemark.plans.jobs import publish_once
+from tidemark.session import scratch_path
 from tidemark.sources import fixtures
+from tidemark.sources import lake as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,10 +49,7 @@ def adapted(spark: SparkSession, sf: str):
     """The two event tables derived from the supplied ``events`` (report-layer
     form), stored once as Parquet in the shared checkpoint folder and read
     back whole - as the product reads its lake."""
-    from tidemark.plans.jobs import _exists
-    from tidemark.session import scratch_path
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
-    from tidemark.plans.jobs import publish_once
     root = scratch_path(spark, ADAPTED_VERSION, stamp)
 
     def write(tmp):
@@ -489,14 +489,10 @@ def _requests(spark, sf):
     """The fixture requests, derived once from the supplied tables and kept as a
     Parquet landing table in the shared checkpoint folder (raw requests are
     files in practice; rebuilding them per query would re-run the adapter)."""
-    from tidemark.plans.jobs import _exists
-    from tidemark.session import scratch_path
-    from tidemark.sources import lake as _src
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
-    from tidemark.plans.jobs import publish_once
     path = scratch_path(spark, REQUESTS_VERSION, stamp)
     publish_once(spark, path, lambda tmp: fixtures.requests(spark, sf).write.parquet(tmp))
-    return _src.read_requests(spark, path, fmt="parquet"), fixtures.sites(spark)
+    return src.read_requests(spark, path, fmt="parquet"), fixtures.sites(spark)
 
 
 def _checked(spark, sf, metered=True):
@@ -653,14 +649,11 @@ def q_ing_mark_initial(spark, sf):
 
 
 # ---------------------------------------------------------------- lake: sources, sinks, scoped read
-import re  # noqa: E402
 
 import oracles_tables as OT  # noqa: E402
 from tidemark.operators import billing, scope, sites as site_ops, usage  # noqa: E402
-from tidemark.plans.jobs import _exists, ingest_to_lake  # noqa: E402
-from tidemark.session import scratch_path  # noqa: E402
+from tidemark.plans.jobs import ingest_to_lake  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
-from tidemark.sources import lake as src  # noqa: E402
 
 LAKE_VERSION = "lake-v5"
 
@@ -671,7 +664,6 @@ def lake_root(spark, sf):
 
 def ensure_lake(spark, sf):
     """Ingest the fixture requests of ``sf`` into a lake once (batch 0, metered)."""
-    from tidemark.plans.jobs import publish_once
     root = lake_root(spark, sf)
 
     def write(tmp):
@@ -972,7 +964,6 @@ def q_src_requests(spark, sf):
     "SELECT 'tm_initial_events' AS view, COUNT(*) AS n FROM initial_t UNION ALL "
     "SELECT 'tm_events', COUNT(*) FROM events_t"))
 def q_snk_replace_views(spark, sf):
-    from tidemark.operators.ingest import mark_initial  # noqa: F401
     ini, ev = fixtures.load(spark, sf)
     ini_full = model.union_events(ini, ev.limit(0), _S.INITIAL_FIELDS)
     ev_full = ev.withColumn("properties", F.col("properties"))
@@ -1002,8 +993,6 @@ def q_snk_append_lake_stream(spark, sf):
     stamp = re.sub(r"[^A-Za-z0-9.]+", "_", sf.strip("/"))
     src_dir = _scratch_dir(spark, sf, "stream_requests")
     root = scratch_path(spark, LAKE_VERSION, stamp, "stream_lake")
-    from tidemark.plans.jobs import publish_once
-
     def write(tmp):
         req, _ = _requests(spark, sf)
         req.write.mode("overwrite").option("timestampFormat", src.JSON_TS).json(src_dir)

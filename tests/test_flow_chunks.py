@@ -37,7 +37,7 @@ def test_chunk_borders_dedupe(spark):
 
 
 def test_salted_join_equals_plain(spark, monkeypatch):
-    from tidemark.operators import reports, stats
+
     from tidemark.operators.segments import Segment, apply_segments
     ini, ev = fixtures.load(spark, SF001)
     a = model.build(ini, ev, seq_col=fixtures.SEQ)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .model import SK, SN, Analytics
-from .reports import property_path, screen_size_expr
+from .reports import property_path
 
 
 @dataclass(frozen=True)
