@@ -482,7 +482,7 @@ import oracles_ingest as OI  # noqa: E402
 from tidemark.operators import ingest  # noqa: E402
 
 
-REQUESTS_VERSION = "requests-v1"
+REQUESTS_VERSION = "requests-v2"
 
 
 def _requests(spark, sf):
@@ -655,7 +655,7 @@ from tidemark.operators import billing, scope, sites as site_ops, usage  # noqa:
 from tidemark.plans.jobs import ingest_to_lake  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
 
-LAKE_VERSION = "lake-v5"
+LAKE_VERSION = "lake-v6"
 
 
 def lake_root(spark, sf):

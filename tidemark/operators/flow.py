@@ -46,7 +46,8 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     """Deduplicated, numbered steps: ``_sk, _sn, session_id, node_id, step_idx, target_node``.
 
     Rows are windowed per (session, chunk).  A normal session is one chunk.
-    Sessions listed in ``hot`` (key columns ``_sk, _sn``) are cut into chunks
+    Sessions listed in ``hot`` (key columns ``_sk, _sn``; a short, bounded
+    list, always broadcast) are cut into chunks
     of ``chunk_us`` microseconds of time, so a session holding a large share
     of all rows is spread over many tasks; a per-chunk summary (first and
     last label, kept count) carries the dedupe, the step numbering (a prefix
@@ -57,7 +58,7 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     r = rows.select(SK, SN, "session_id", *extra, node_label().alias("base_node"))
     if hot is not None:
         flag = hot.select(SK, SN).distinct().withColumn("_hot", F.lit(True))
-        r = r.join(sized_broadcast(flag), [SK, SN], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        r = r.join(F.broadcast(flag), [SK, SN], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
         r = r.withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us)))
                          .otherwise(F.lit(0)).cast("bigint"))
     else:
@@ -101,9 +102,10 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
 
 
 def hot_sessions(a: Analytics, min_rows: int | None = None) -> DataFrame:
-    """Session keys with more than ``min_rows`` rows (at most total_rows / min_rows of them)."""
+    """Keys of the largest sessions above ``min_rows`` rows (a bounded top-k,
+    see ``model.hot_session_salts``); ``steps`` broadcasts it."""
     from . import model
-    return a.sessions.filter(F.col("n_rows") > (min_rows or model.HOT_SESSION_ROWS)).select(SK, SN)
+    return model.hot_session_salts(a.sessions, min_rows).select(SK, SN)
 
 
 def transitions(a: Analytics) -> DataFrame:

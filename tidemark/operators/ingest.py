@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import agents, urls
-from ..plans.sizing import sized_broadcast
+from ..plans.sizing import broadcast_if_bounded_by, sized_broadcast
 
 # Status codes and reasons, in check order.
 MISSING_SITE = (400, "Bad Request: Missing site parameter")
@@ -114,7 +114,8 @@ def pre_gate_checks(df: DataFrame) -> DataFrame:
     return df.withColumn("_pre_status", status).withColumn("_pre_reason", reason).drop("_hdr_ref")
 
 
-def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance") -> DataFrame:
+def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance",
+                   sites: DataFrame | None = None) -> DataFrame:
     """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
 
     Skew-safe and without a shuffle of the requests by id.  One grouped
@@ -124,7 +125,8 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
     the site's cut-off key (at most one row per site).  Every request is then
     compared with its site's cut-off through a join on ``site`` with that
     small table.  Three passes over the requests: histogram, cut second,
-    final comparison.
+    final comparison.  The per-site tables have at most one row per site, so
+    they are broadcast when the site table itself is small (``sites``).
     """
     sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000))
     e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"))
@@ -142,7 +144,8 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
     cut = hist.filter((F.col("_before") < F.col("_allow")) & (F.col("_cum") >= F.col("_allow"))).select(
         "site", F.col("_sec").alias("_cut_sec"), "_before", "_allow"
     )
-    in_cut = e.drop("_allowance").join(sized_broadcast(cut), "site").filter(F.col("_sec") == F.col("_cut_sec"))
+    in_cut = e.drop("_allowance").join(broadcast_if_bounded_by(cut, sites), "site").filter(
+        F.col("_sec") == F.col("_cut_sec"))
     wrank = Window.partitionBy("site").orderBy("received_at", "request_id")
     keys = (
         in_cut.withColumn("_rank", F.row_number().over(wrank))
@@ -150,7 +153,7 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
         .select("site", F.struct("received_at", "request_id").alias("_cutoff"))
     )
     limits = over.join(keys, "site", "left").withColumn("_over", F.lit(True))
-    j = df.join(sized_broadcast(limits), "site", "left")
+    j = df.join(broadcast_if_bounded_by(limits, sites), "site", "left")
     inside = F.col("_over").isNull() | (
         F.col("_cutoff").isNotNull() & (F.struct("received_at", "request_id") <= F.col("_cutoff"))
     )
@@ -162,7 +165,7 @@ def pre_check(requests: DataFrame, sites: DataFrame) -> DataFrame:
     return pre_gate_checks(with_site(requests, sites))
 
 
-def finish_checks(pre: DataFrame, metered: bool = False) -> DataFrame:
+def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None = None) -> DataFrame:
     """Allowance gate (metered only) and body checks -> ``status``, ``reason``, ``uses_allowance``.
 
     The gate reads ``pre`` three times (histogram, cut second, comparison);
@@ -171,7 +174,7 @@ def finish_checks(pre: DataFrame, metered: bool = False) -> DataFrame:
     df = pre
     eligible = F.col("_pre_status").isNull()
     if metered:
-        df = gate_allowance(df, eligible)
+        df = gate_allowance(df, eligible, sites=sites)
         gate_fail = eligible & ~F.col("_within_allowance")
         uses = F.col("_within_allowance")
     else:
@@ -200,7 +203,7 @@ def finish_checks(pre: DataFrame, metered: bool = False) -> DataFrame:
 
 def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:
     """requests -> requests + site config + ``status``, ``reason``, ``uses_allowance``."""
-    return finish_checks(pre_check(requests, sites), metered)
+    return finish_checks(pre_check(requests, sites), metered, sites)
 
 
 def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:

@@ -148,18 +148,23 @@ def with_session_key(df: DataFrame) -> DataFrame:
 
 
 # A session with more rows than this is salted in joins by session key: its
-# rows are spread over ceil(n_rows / HOT_SESSION_ROWS) join keys.
+# rows are spread over ceil(n_rows / HOT_SESSION_ROWS) join keys.  At most
+# MAX_HOT_SESSIONS of them (the largest) are salted, so the broadcast list has a
+# proven size; any further ones take the exact, unsalted path.
 HOT_SESSION_ROWS = 1_000_000
+MAX_HOT_SESSIONS = 100_000
 
 
 def hot_session_salts(sessions: DataFrame, min_rows: int | None = None) -> DataFrame:
-    """``_sk, _sn, _salts`` for sessions above ``min_rows`` rows.
+    """``_sk, _sn, _salts`` for the largest sessions above ``min_rows`` rows.
 
-    At most total_rows / min_rows sessions qualify, so the frame is small by
-    construction (and still broadcast only behind a size check)."""
+    At most ``MAX_HOT_SESSIONS`` rows (a global top-k), so broadcasting it is
+    safe at any data size."""
     min_rows = min_rows or HOT_SESSION_ROWS
-    return sessions.filter(F.col("n_rows") > min_rows).select(
-        SK, SN, F.ceil(F.col("n_rows") / F.lit(min_rows)).cast("int").alias("_salts")
+    return (
+        sessions.filter(F.col("n_rows") > min_rows)
+        .orderBy(F.col("n_rows").desc(), SK, SN).limit(MAX_HOT_SESSIONS)
+        .select(SK, SN, F.ceil(F.col("n_rows") / F.lit(min_rows)).cast("int").alias("_salts"))
     )
 
 
@@ -167,8 +172,9 @@ def salted_session_join(rows: DataFrame, sess: DataFrame, how: str, hot: DataFra
     """Join event rows to a one-row-per-session frame on the session key, with
     hot sessions salted: their rows get a salt from a hash of ``spread``, and
     their session row is repeated once per salt, so one huge session is
-    joined by many tasks instead of one."""
-    h = sized_broadcast(hot)
+    joined by many tasks instead of one.  ``hot`` has a proven row bound
+    (``hot_session_salts``), so it is always broadcast."""
+    h = F.broadcast(hot)
     r = rows.join(h, [SK, SN], "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")))
     ).drop("_salts")
@@ -301,7 +307,7 @@ def _forward_fill(df: DataFrame, static: list[str], seq_col: str | None, chunk_u
     order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in df.columns else [])
     hot = keyed.groupBy(SK, SN).agg(F.count(F.lit(1)).alias("n_rows"))
     flag = hot_session_salts(hot).select(SK, SN, F.lit(True).alias("_hot"))
-    keyed = keyed.join(sized_broadcast(flag), [SK, SN], "left").withColumn(
+    keyed = keyed.join(F.broadcast(flag), [SK, SN], "left").withColumn(
         "_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us))).otherwise(F.lit(0))
         .cast("bigint")).drop("_hot")
     part = [SK, SN, "_chunk"]

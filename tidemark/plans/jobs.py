@@ -83,7 +83,7 @@ def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, r
         sites = remaining_allowance(spark, sites, root, batch_id)
     # the gate reads the pre-checked batch three times: run the checks before it once
     pre = ingest.pre_check(requests, sites).persist()
-    checked = ingest.finish_checks(pre, metered).persist()
+    checked = ingest.finish_checks(pre, metered, sites).persist()
     try:
         initial, regular, rejects = ingest.split_checked(checked, event_aliases)
         write_lake(initial, root, "initial_events", batch_id, files_per_partition)

@@ -151,10 +151,19 @@ SITE_ROWS = [
 
 
 def sites(spark: SparkSession) -> DataFrame:
+    """The fixture site table, built from literals (a plan with known size, as a
+    stored dimension table would have)."""
     from .. import schema as S
-    rows = [(sid, own, name, doms, plan, allow, None, lvl, None, None)
-            for sid, own, name, doms, plan, allow, lvl in SITE_ROWS]
-    return spark.createDataFrame(rows, S.SITES)
+    structs = []
+    for sid, own, name, doms, plan, allow, lvl in SITE_ROWS:
+        vals = {"site_id": sid, "owner_sub": own, "name": name, "domains": doms, "plan": plan,
+                "request_allowance": allow, "allowed_fields": [], "compliance_level": lvl,
+                "created_at": None, "updated_at": None}
+        structs.append(F.struct(*[
+            (F.array(*[F.lit(x) for x in vals[f.name]]) if isinstance(vals[f.name], list) else F.lit(vals[f.name]))
+            .cast(f.dataType).alias(f.name) for f in S.SITES.fields
+        ]))
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
