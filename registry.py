@@ -597,7 +597,8 @@ def q_ing_drop_nulls(spark, sf):
 
 
 def _initial_enriched(spark, sf):
-    return _enriched(spark, sf).filter(F.col("is_initial_event"))
+    parsed = ingest.parse_accepted(_checked(spark, sf))
+    return ingest.enrich_visit(parsed.filter(F.col("is_initial_event")))
 
 
 @reg("ing_geo", OI.ing("SELECT request_id, e_city AS city, e_region AS region, e_country AS country, "

@@ -343,23 +343,33 @@ def mask(df: DataFrame, initial: bool, level_col: str = "_level") -> DataFrame:
     return df.select(*out, *extra)
 
 
+def parse_accepted(checked: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
+    """Accepted requests with their parsed body and server time."""
+    return with_server_time(parse_body(checked.filter(F.col("status") == ACCEPTED[0]), event_aliases))
+
+
+def enrich_visit(parsed: DataFrame) -> DataFrame:
+    """Visit fields (geo, device, referer, utm) - only first events keep them."""
+    return with_utm(with_referer(with_device(with_geo(parsed))))
+
+
 def enrich(checked: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
     """Accepted requests -> all event fields (before projection and masking)."""
-    acc = parse_body(checked.filter(F.col("status") == ACCEPTED[0]), event_aliases)
-    acc = with_server_time(acc)
-    acc = with_geo(acc)
-    acc = with_device(acc)
-    acc = with_referer(acc)
-    return with_utm(acc)
+    return enrich_visit(parse_accepted(checked, event_aliases))
 
 
 def split_checked(checked: DataFrame, event_aliases: dict[str, str] | None = None,
                   keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Checked requests -> (initial_events, events, rejects), masked per site level."""
-    acc = enrich(checked, event_aliases)
+    """Checked requests -> (initial_events, events, rejects), masked per site level.
+
+    Only first events go through the visit enrichment (user-agent rules, URL
+    parsing): later events keep the common columns only.
+    """
+    parsed = parse_accepted(checked, event_aliases)
     keep_cols = list(keep or []) + ["_level"]
-    initial = mask(project_initial(acc.filter(F.col("is_initial_event")), keep_cols), True).drop("_level")
-    regular = mask(project_regular(acc.filter(~F.col("is_initial_event")), keep_cols), False).drop("_level")
+    first = enrich_visit(parsed.filter(F.col("is_initial_event")))
+    initial = mask(project_initial(first, keep_cols), True).drop("_level")
+    regular = mask(project_regular(parsed.filter(~F.col("is_initial_event")), keep_cols), False).drop("_level")
     rejects = checked.filter(F.col("status") != ACCEPTED[0]).select(
         "request_id", "received_at", "site", "status", "reason",
         F.date_format(F.col("received_at"), "yyyy-MM-dd").alias("dt"), "body",
