@@ -165,3 +165,16 @@ def test_dashboard_property_key_choice(spark):
     empty = build(spark, [initial_row("m", "2024-01-01T10:00:00", properties="{}")], [])
     d = dashboard(empty, persist=False)
     assert d.property_key is None and d.property_values is None
+
+
+def test_session_key_by_site(spark):
+    from helpers import tables
+    rows = [initial_row("same", "2024-01-01T10:00:00", country="FR")]
+    rows[0]["site_id"] = "a"
+    other = initial_row("same", "2024-01-01T11:00:00", country="DE")
+    other["site_id"] = "b"
+    ini, ev = tables(spark, rows + [other], [])
+    assert stats.stats(model.build(ini, ev)).first()["unique_visitors"] == 1  # D24: keyed by session_id alone
+    scoped = model.build(ini, ev, session_key=("site_id", "session_id"))
+    assert stats.stats(scoped).first()["unique_visitors"] == 2
+    assert sorted(r["country"] for r in scoped.rows.collect()) == ["DE", "FR"]

@@ -256,9 +256,24 @@ def session_table(base: DataFrame, static: list[str], seq_col: str | None = None
     return agg.select(*ordered).withColumn("channel", channel_expr()).withColumn("source", source_expr())
 
 
+def scope_sessions_by_site(df: DataFrame) -> DataFrame:
+    """Make ``session_id`` site-scoped (``site_id:session_id``); a null id stays null."""
+    sid = F.col(SESSION_KEY)
+    return df.withColumn(SESSION_KEY, F.when(sid.isNotNull(), F.concat_ws(":", F.coalesce("site_id", F.lit("")), sid)))
+
+
 def build(initial: DataFrame, events: DataFrame, seq_col: str | None = None,
-          utm_override: bool = True, fields=None) -> Analytics:
-    """Both tables -> Analytics (the view and its session table)."""
+          utm_override: bool = True, fields=None, session_key: tuple[str, ...] = (SESSION_KEY,)) -> Analytics:
+    """Both tables -> Analytics (the view and its session table).
+
+    ``session_key``: ``("session_id",)`` (default, as the source product keys
+    sessions, D24) or ``("site_id", "session_id")`` to keep equal session ids
+    of different sites apart (the view then shows ``site_id:session_id``).
+    """
+    if tuple(session_key) == ("site_id", SESSION_KEY):
+        initial, events = scope_sessions_by_site(initial), scope_sessions_by_site(events)
+    elif tuple(session_key) != (SESSION_KEY,):
+        raise ValueError(f"session_key must be ('session_id',) or ('site_id', 'session_id'), not {session_key!r}")
     fields = fields if fields is not None else S.safe_fields(S.INITIAL_FIELDS)
     static = static_columns(fields)
     if SESSION_KEY not in static:
