@@ -909,8 +909,8 @@ VALUE_SCHEMA = [("session_id", "string"), ("timestamp", "timestamp"), ("properti
 
 
 @reg("snk_value_rows", O.with_view(
-    "SELECT event_id, to_json([session_id, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%g'), country, "
-    "NULL::VARCHAR, referer_domain]) AS \"values\" FROM initial_t"))
+    "SELECT event_id, CAST(to_json([session_id, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%g'), country, "
+    "NULL::VARCHAR, referer_domain]) AS VARCHAR) AS \"values\" FROM initial_t"))
 def q_snk_value_rows(spark, sf):
     ini, _ = fixtures.load(spark, sf)
     ini = model.override_referer(ini)
