@@ -7,8 +7,8 @@ property key is kept if still present, else the first key (sorted), else none.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +18,51 @@ from ..operators.model import Analytics
 from ..operators.segments import Segment, apply_segments
 
 
-@dataclass
 class Dashboard:
-    stats: DataFrame
-    chart: DataFrame
-    property_keys: DataFrame
-    groups: dict[str, dict[str, DataFrame]]
-    property_key: str | None
-    property_values: DataFrame | None
-    flow_links: DataFrame
-    flow_nodes: DataFrame
-    cached: list = field(default_factory=list)
+    """Every report for one segment list, each built on first use.
+
+    The segmented model is shared (and persisted when asked); a report's
+    plan is only analysed when the caller touches it.
+    """
+
+    def __init__(self, seg: Analytics, base: Analytics, start: datetime | None, end: datetime | None,
+                 property_key: str | None, cached: list):
+        self.seg, self.base, self.start, self.end = seg, base, start, end
+        self.requested_key = property_key
+        self.cached = cached
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stats.stats(self.seg)
+
+    @cached_property
+    def chart(self) -> DataFrame:
+        return stats.timeseries(self.seg, self.start, self.end)
+
+    @cached_property
+    def property_keys(self) -> DataFrame:
+        # property keys ignore segments (D16)
+        return stats.property_keys(self.base)
+
+    @cached_property
+    def property_key(self) -> str | None:
+        return pick_property_key(self.property_keys, self.requested_key)
+
+    @cached_property
+    def property_values(self) -> DataFrame | None:
+        return reports.property_values(self.seg, self.property_key) if self.property_key else None
+
+    @cached_property
+    def groups(self) -> dict[str, dict[str, DataFrame]]:
+        return {g: reports.bundle(self.seg, g) for g in reports.BUNDLES}
+
+    @cached_property
+    def flow_links(self) -> DataFrame:
+        return flow.display_links(flow.flow_links(self.seg))
+
+    @cached_property
+    def flow_nodes(self) -> DataFrame:
+        return flow.flow_nodes(self.flow_links)
 
     def long(self) -> DataFrame:
         """All breakdowns (and property values, type ``properties``) in one table."""
@@ -72,7 +106,7 @@ def pick_property_key(keys: DataFrame, current: str | None) -> str | None:
 def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None = None,
               segments: list[Segment] | None = None, property_key: str | None = None,
               persist: bool = True) -> Dashboard:
-    """Build every report for one segment list.
+    """Every report for one segment list (built lazily, see ``Dashboard``).
 
     Property keys ignore segments (D16); the key to break down is chosen by
     one global aggregate, not by collecting the key list.
@@ -82,18 +116,4 @@ def dashboard(a: Analytics, start: datetime | None = None, end: datetime | None
     if persist:
         seg = seg.persist()
         cached.append(seg)
-    keys_df = stats.property_keys(a)
-    key = pick_property_key(keys_df, property_key)
-    links = flow.flow_links(seg)
-    shown = flow.display_links(links)
-    return Dashboard(
-        stats=stats.stats(seg),
-        chart=stats.timeseries(seg, start, end),
-        property_keys=keys_df,
-        groups={g: reports.bundle(seg, g) for g in reports.BUNDLES},
-        property_key=key,
-        property_values=reports.property_values(seg, key) if key else None,
-        flow_links=shown,
-        flow_nodes=flow.flow_nodes(shown),
-        cached=cached,
-    )
+    return Dashboard(seg, a, start, end, property_key, cached)
