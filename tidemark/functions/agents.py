@@ -102,13 +102,13 @@ def with_agent_fields(df: DataFrame, ua: Column | str, prefix: str = "") -> Data
     """Add ``device, browser, browser_version, os, os_version, model, manufacturer``
     (all null when the agent is null).  Rule indexes are computed once per table."""
     u = F.col(ua) if isinstance(ua, str) else ua
-    df = df.withColumn("_ua", u)
+    df = df.withColumns({"_ua": u})
     u = F.col("_ua")
-    df = (
-        df.withColumn("_bi", _rule_index(u, BROWSER_RULES))
-        .withColumn("_oi", _rule_index(u, OS_RULES))
-        .withColumn("_di", _rule_index(u, DEVICE_RULES))
-    )
+    df = df.withColumns({
+        "_bi": _rule_index(u, BROWSER_RULES),
+        "_oi": _rule_index(u, OS_RULES),
+        "_di": _rule_index(u, DEVICE_RULES),
+    })
     bi, oi, di = F.col("_bi"), F.col("_oi"), F.col("_di")
     bver = _extract_by_rule(u, bi, BROWSER_RULES, lambda r: r[2] or None)
     over = _extract_by_rule(u, oi, OS_RULES, lambda r: r[2] or None)
@@ -117,14 +117,14 @@ def with_agent_fields(df: DataFrame, ua: Column | str, prefix: str = "") -> Data
     )
     lit_model = _pick(di, [r[3] if r[3] and not r[3].startswith("$") else None for r in DEVICE_RULES])
     win = F.create_map(*[x for k, v in WINDOWS_VERSIONS.items() for x in (F.lit(k), F.lit(v))])
-    df = (
-        df.withColumn("_bv", F.when(bver != "", F.regexp_replace(bver, "_", ".")))
-        .withColumn("_ov", F.when(over != "", F.regexp_replace(over, "_", ".")))
-        .withColumn("_os", _pick(oi, [r[1] for r in OS_RULES]))
-        .withColumn("_dt", _pick(di, [r[1] for r in DEVICE_RULES]))
-        .withColumn("_vd", _pick(di, [r[2] for r in DEVICE_RULES]))
-        .withColumn("_md", F.coalesce(F.when(mdl != "", mdl), lit_model))
-    )
+    df = df.withColumns({
+        "_bv": F.when(bver != "", F.regexp_replace(bver, "_", ".")),
+        "_ov": F.when(over != "", F.regexp_replace(over, "_", ".")),
+        "_os": _pick(oi, [r[1] for r in OS_RULES]),
+        "_dt": _pick(di, [r[1] for r in DEVICE_RULES]),
+        "_vd": _pick(di, [r[2] for r in DEVICE_RULES]),
+        "_md": F.coalesce(F.when(mdl != "", mdl), lit_model),
+    })
     has = F.col("_ua").isNotNull()
     vm = F.concat_ws(" ", F.col("_vd"), F.coalesce(F.col("_md"), F.lit("undefined")))
     dev = F.when(F.col("_dt").isNotNull(), F.col("_dt")).when(F.col("_vd").isNotNull(), vm).otherwise(F.lit("desktop"))
@@ -137,6 +137,7 @@ def with_agent_fields(df: DataFrame, ua: Column | str, prefix: str = "") -> Data
         "model": F.col("_md"),
         "manufacturer": F.col("_vd"),
     }
-    for k, v in out.items():
-        df = df.withColumn(prefix + k, F.when(has, v))
-    return df.drop("_ua", "_bi", "_oi", "_di", "_bv", "_ov", "_os", "_dt", "_vd", "_md")
+    tmp = {"_ua", "_bi", "_oi", "_di", "_bv", "_ov", "_os", "_dt", "_vd", "_md"}
+    outs = {prefix + k: F.when(has, v) for k, v in out.items()}
+    keep = [F.col(c) for c in df.columns if c not in tmp and c not in outs]
+    return df.select(*keep, *[v.alias(k) for k, v in outs.items()])

@@ -40,58 +40,78 @@ def with_url_parts(df: DataFrame, src: Column | str, out: str) -> DataFrame:
     is then false).  One regular-expression match splits the text into its
     parts; the rest is plain string work, computed once per row in stages.
     """
-    c = F.col(src) if isinstance(src, str) else src
-    t = f"_{out}_"
-    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    # a text the pattern does not match comes back unchanged: one piece, not six
-    split = F.split(F.regexp_replace(trimmed, _MASTER_RE, _SEP.join(f"${i}" for i in range(1, 7))), _SEP)
-    df = df.withColumn(t + "g", split)
-    df = df.withColumn(t + "g", F.when(F.size(F.col(t + "g")) == 6, F.col(t + "g")))
-    g = F.col(t + "g")
-    s = F.lower(g[0])
-    web = s.isin(WEB_SCHEMES)
-    slashes, auth, rest_path = g[1], g[2], g[3]
-    # non-web schemes have an authority only after exactly "//"; else it all is path
-    has_auth = web | (slashes == "//")
-    df = df.withColumn(t + "s", s).withColumn(t + "w", web).withColumn(
-        t + "hp", F.when(has_auth, F.regexp_replace(auth, r"^.*@", "")).otherwise(F.lit(""))
-    ).withColumn(
-        t + "p", F.when(has_auth, F.regexp_replace(rest_path, r"\\", "/")).otherwise(F.concat(slashes, auth, rest_path))
-    ).withColumn(t + "q", F.substring(g[4], 2, 1 << 30)).withColumn(t + "sl", F.lit(True) & has_auth & ~web)
-    s, w, hp = F.col(t + "s"), F.col(t + "w"), F.col(t + "hp")
-    colon = F.instr(hp, ":")
-    df = df.withColumn(t + "rh", F.when(colon > 0, F.substring_index(hp, ":", 1)).otherwise(hp)).withColumn(
-        t + "pt", F.when(colon > 0, F.substring_index(hp, ":", -1)).otherwise(F.lit(""))
-    )
-    rh, pt = F.col(t + "rh"), F.col(t + "pt")
-    web_ok = (rh != "") & ~rh.rlike(_BAD_HOST_RE) & ((pt == "") | pt.rlike(r"^[0-9]{1,5}$"))
-    other_ok = ~rh.rlike(r"\s")
-    df = df.withColumn(t + "ok", g.isNotNull() & F.when(w, web_ok).otherwise(other_ok))
-    ok = F.col(t + "ok")
-    df = df.withColumn(t + "h", F.when(w, F.lower(rh)).otherwise(rh))
-    h = F.col(t + "h")
+    return with_many_url_parts(df, {out: src})
+
+
+def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> DataFrame:
+    """``with_url_parts`` for several columns at once (``{out: src}``), sharing
+    each projection stage between them."""
+    stage: list[dict] = [{} for _ in range(6)]
+    parts = {}
+    tmp = set()
     default = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])
-    keep_port = (pt != "") & (pt != F.coalesce(default[s], F.lit("")))
-    origin = F.when(
-        w, F.concat(s, F.lit("://"), h, F.when(keep_port, F.concat(F.lit(":"), pt)).otherwise(F.lit("")))
-    ).when(F.col(t + "sl"), F.concat(s, F.lit("://"), h)).otherwise(F.lit("null"))
-    path = F.when(w & (F.col(t + "p") == ""), F.lit("/")).otherwise(F.col(t + "p"))
-    parts = F.struct(
-        F.when(ok, s).alias("scheme"),
-        F.when(ok, h).alias("host"),
-        F.when(ok, pt).alias("port"),
-        F.when(ok, path).alias("path"),
-        F.when(ok, F.col(t + "q")).alias("query"),
-        F.when(ok, origin).alias("origin"),
-        ok.alias("valid"),
-    )
-    tmp = [t + x for x in ("g", "s", "w", "hp", "p", "q", "sl", "rh", "pt", "ok", "h")]
-    df = df.withColumn(t + "parts", parts).drop(*tmp)
+    for out, src in sources.items():
+        c = F.col(src) if isinstance(src, str) else src
+        t = f"_{out}_"
+        tmp |= {t + x for x in ("g0", "g", "s", "w", "hp", "p", "q", "sl", "rh", "pt", "ok", "h")}
+        trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+        # a text the pattern does not match comes back unchanged: one piece, not six
+        stage[0][t + "g0"] = F.split(
+            F.regexp_replace(trimmed, _MASTER_RE, _SEP.join(f"${i}" for i in range(1, 7))), _SEP)
+        stage[1][t + "g"] = F.when(F.size(F.col(t + "g0")) == 6, F.col(t + "g0"))
+        g = F.col(t + "g")
+        s0 = F.lower(g[0])
+        web = s0.isin(WEB_SCHEMES)
+        slashes, auth, rest_path = g[1], g[2], g[3]
+        # non-web schemes have an authority only after exactly "//"; else it all is path
+        has_auth = web | (slashes == "//")
+        stage[2].update({
+            t + "s": s0,
+            t + "w": web,
+            t + "hp": F.when(has_auth, F.regexp_replace(auth, r"^.*@", "")).otherwise(F.lit("")),
+            t + "p": F.when(has_auth, F.regexp_replace(rest_path, r"\\", "/")).otherwise(
+                F.concat(slashes, auth, rest_path)),
+            t + "q": F.substring(g[4], 2, 1 << 30),
+            t + "sl": has_auth & ~web,
+        })
+        s, w, hp = F.col(t + "s"), F.col(t + "w"), F.col(t + "hp")
+        colon = F.instr(hp, ":")
+        stage[3].update({
+            t + "rh": F.when(colon > 0, F.substring_index(hp, ":", 1)).otherwise(hp),
+            t + "pt": F.when(colon > 0, F.substring_index(hp, ":", -1)).otherwise(F.lit("")),
+        })
+        rh, pt = F.col(t + "rh"), F.col(t + "pt")
+        web_ok = (rh != "") & ~rh.rlike(_BAD_HOST_RE) & ((pt == "") | pt.rlike(r"^[0-9]{1,5}$"))
+        other_ok = ~rh.rlike(r"\s")
+        stage[4].update({
+            t + "ok": g.isNotNull() & F.when(w, web_ok).otherwise(other_ok),
+            t + "h": F.when(w, F.lower(rh)).otherwise(rh),
+        })
+        ok, h = F.col(t + "ok"), F.col(t + "h")
+        keep_port = (pt != "") & (pt != F.coalesce(default[s], F.lit("")))
+        origin = F.when(
+            w, F.concat(s, F.lit("://"), h, F.when(keep_port, F.concat(F.lit(":"), pt)).otherwise(F.lit("")))
+        ).when(F.col(t + "sl"), F.concat(s, F.lit("://"), h)).otherwise(F.lit("null"))
+        path = F.when(w & (F.col(t + "p") == ""), F.lit("/")).otherwise(F.col(t + "p"))
+        parts[out] = F.struct(
+            F.when(ok, s).alias("scheme"),
+            F.when(ok, h).alias("host"),
+            F.when(ok, pt).alias("port"),
+            F.when(ok, path).alias("path"),
+            F.when(ok, F.col(t + "q")).alias("query"),
+            F.when(ok, origin).alias("origin"),
+            ok.alias("valid"),
+        )
+    # one projection per dependency level (each withColumns is one analysis)
+    for cols in stage:
+        if cols:
+            df = df.withColumns(cols)
+    keep = [F.col(x) for x in df.columns if x not in tmp and x not in parts]
     # Emit the parts through a one-row generator: the optimizer cannot push a
     # filter on them below it, so a predicate such as "referer host allowed"
     # never gets the whole parse inlined (and duplicated) into it.
-    keep = [c for c in df.columns if c != t + "parts"]
-    return df.select(*keep, F.inline(F.array(F.struct(F.col(t + "parts").alias(out)))))
+    gen = F.struct(*[p.alias(out) for out, p in parts.items()])
+    return df.select(*keep, F.inline(F.array(gen)))
 
 
 def origin_and_path(parts: Column) -> Column:

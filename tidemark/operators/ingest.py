@@ -220,19 +220,18 @@ def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> Da
 
 def with_server_time(df: DataFrame) -> DataFrame:
     """``timestamp`` = server receive time; ``dt`` = its UTC date (client time ignored)."""
-    return df.withColumn("timestamp", F.col("received_at")).withColumn(
-        "dt", F.date_format(F.col("received_at"), "yyyy-MM-dd")
-    )
+    return df.withColumns({"timestamp": F.col("received_at"),
+                           "dt": F.date_format(F.col("received_at"), "yyyy-MM-dd")})
 
 
 def with_geo(df: DataFrame) -> DataFrame:
     h = F.col("headers")
-    return (
-        df.withColumn("city", h[GEO_HEADERS["city"]])
-        .withColumn("region", F.coalesce(nonempty(h[GEO_HEADERS["region_name"]]), h[GEO_HEADERS["region_code"]]))
-        .withColumn("country", h[GEO_HEADERS["country"]])
-        .withColumn("timezone", h[GEO_HEADERS["timezone"]])
-    )
+    return df.withColumns({
+        "city": h[GEO_HEADERS["city"]],
+        "region": F.coalesce(nonempty(h[GEO_HEADERS["region_name"]]), h[GEO_HEADERS["region_code"]]),
+        "country": h[GEO_HEADERS["country"]],
+        "timezone": h[GEO_HEADERS["timezone"]],
+    })
 
 
 def user_agent() -> Column:
@@ -249,6 +248,18 @@ def level() -> Column:
     return F.coalesce(F.col("_level"), F.lit("maybe"))
 
 
+def _visit_urls(df: DataFrame, page: bool = True) -> DataFrame:
+    """Parse the referer (body, else header), the origin header and the page URL together."""
+    df = df.withColumns({
+        "_raw_ref": F.coalesce(nonempty(F.col("b_referer")), nonempty(F.col("headers")["referer"])),
+        "_org": nonempty(F.col("headers")["origin"]),
+    })
+    srcs = {"_rp": "_raw_ref", "_op": "_org"}
+    if page and "b_url" in df.columns:
+        srcs["_page"] = "b_url"
+    return urls.with_many_url_parts(df, srcs)
+
+
 def with_referer(df: DataFrame) -> DataFrame:
     """``referer`` and ``referer_domain`` from the body referer, else the header.
 
@@ -257,9 +268,8 @@ def with_referer(df: DataFrame) -> DataFrame:
     the raw text kept; else the host, and at level yes/maybe the referer is cut
     to origin + path (query and fragment dropped).
     """
-    df = df.withColumn("_raw_ref", F.coalesce(nonempty(F.col("b_referer")), nonempty(F.col("headers")["referer"])))
-    df = df.withColumn("_org", nonempty(F.col("headers")["origin"]))
-    df = urls.with_url_parts(urls.with_url_parts(df, "_raw_ref", "_rp"), "_org", "_op")
+    if "_rp" not in df.columns:
+        df = _visit_urls(df, page=False)
     raw, org, rp, op = F.col("_raw_ref"), F.col("_org"), F.col("_rp"), F.col("_op")
     direct = raw.isNull() | (raw == "$direct")
     invalid = ~rp["valid"] | (org.isNotNull() & ~op["valid"])
@@ -273,22 +283,24 @@ def with_referer(df: DataFrame) -> DataFrame:
         F.when(direct, F.lit("$direct")).when(invalid, F.lit("$invalid")).when(same, F.lit("$direct"))
         .otherwise(rp["host"])
     )
-    return df.withColumn("referer", referer).withColumn("referer_domain", domain).drop("_raw_ref", "_org", "_rp", "_op")
+    keep = [F.col(c) for c in df.columns if c not in ("_raw_ref", "_org", "_rp", "_op", "referer", "referer_domain")]
+    return df.select(*keep, referer.alias("referer"), domain.alias("referer_domain"))
 
 
 def with_utm(df: DataFrame, from_url: bool = True) -> DataFrame:
     """utm_* from the body; for first events lacking them, from the page URL query (``b_url``)."""
     use_url = from_url and "b_url" in df.columns
-    if use_url:
+    if use_url and "_page" not in df.columns:
         df = urls.with_url_parts(df, "b_url", "_page")
+    vals = {}
     for k in UTM_FIELDS:
         body = F.col(f"b_{k}")
         if use_url:
-            val = F.coalesce(body, F.when(F.col("is_initial_event"), urls.query_param(F.col("_page")["query"], k)))
+            vals[k] = F.coalesce(body, F.when(F.col("is_initial_event"), urls.query_param(F.col("_page")["query"], k)))
         else:
-            val = body
-        df = df.withColumn(k, val)
-    return df.drop("_page") if use_url else df
+            vals[k] = body
+    keep = [F.col(c) for c in df.columns if c not in vals and c != "_page"]
+    return df.select(*keep, *[v.alias(k) for k, v in vals.items()])
 
 
 def _common_values() -> dict[str, Column]:
@@ -350,7 +362,7 @@ def parse_accepted(checked: DataFrame, event_aliases: dict[str, str] | None = No
 
 def enrich_visit(parsed: DataFrame) -> DataFrame:
     """Visit fields (geo, device, referer, utm) - only first events keep them."""
-    return with_utm(with_referer(with_device(with_geo(parsed))))
+    return with_utm(with_referer(_visit_urls(with_device(with_geo(parsed)))))
 
 
 def enrich(checked: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
