@@ -195,3 +195,17 @@ def test_date_bounds_and_ranges():
 def test_allowed_fields():
     assert "properties" not in S.allowed_fields("yes", False)
     assert "model" in S.allowed_fields("no", True) and "model" not in S.allowed_fields(None, True)
+
+
+def test_resolve_scope_list_or_frame(spark):
+    from tidemark.operators import scope
+    rows = [(f"s{i}", "o1" if i % 2 else "o2", "n", ["a.com"], "free_tier", 1, None, "maybe", None, None) for i in range(6)]
+    sites = spark.createDataFrame(rows, S.SITES)
+    assert scope.resolve_scope(sites, "o1", " s1, ,s2,s3 ") == ["s1", "s3"]
+    with pytest.raises(PermissionError):
+        scope.resolve_scope(sites, "o1", "s2")
+    big = scope.resolve_scope(sites, "o1", max_listed=2)
+    assert not isinstance(big, list)
+    ev = spark.createDataFrame([("s1", "2024-01-02"), ("s2", "2024-01-02"), ("s3", "2024-02-01")], "site_id string, dt string")
+    got = sorted(r[0] for r in scope.scope(ev, big, "2024-01-01", "2024-01-31").collect())
+    assert got == ["s1"]

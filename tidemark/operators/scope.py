@@ -37,25 +37,30 @@ def site_scope(sites: DataFrame, owner: str, requested: str | None = None) -> Da
     return owned.filter(F.col("site_id").isin(ids))
 
 
-def resolve_scope(sites: DataFrame, owner: str, requested: str | None = None, max_sites: int = 100_000) -> list[str]:
-    """The scope as a short id list for partition pruning.
-
-    Raises PermissionError when specific ids were requested and none is
-    owned.  The list is bounded by the sites one owner has (``max_sites``).
-    """
-    rows = site_scope(sites, owner, requested).distinct().limit(max_sites + 1).collect()
-    ids = sorted(r["site_id"] for r in rows)
-    if len(ids) > max_sites:
-        raise ValueError(f"scope has more than {max_sites} sites; pass a narrower request")
+def resolve_scope(sites: DataFrame, owner: str, requested: str | None = None,
+                  max_listed: int = 10_000) -> list[str] | DataFrame:
+    """The scope: a short id list (a literal ``IN`` for static partition
+    pruning) when it has at most ``max_listed`` ids, else the scope itself as
+    a DataFrame (``scope`` then semi-joins it; dynamic partition pruning still
+    applies).  Raises PermissionError when specific ids were requested and
+    none is owned."""
+    ids_df = site_scope(sites, owner, requested).distinct()
+    rows = ids_df.limit(max_listed + 1).collect()
     req = parse_requested(requested)
-    if req and not ids:
+    if req and not rows:
         raise PermissionError("You do not have permission to access the requested site IDs.")
-    return ids
+    if len(rows) > max_listed:
+        return ids_df
+    return sorted(r["site_id"] for r in rows)
 
 
-def scope(df: DataFrame, ids: list[str], start: str, end: str) -> DataFrame:
-    """``dt BETWEEN start AND end`` (strings, inclusive) and ``site_id IN ids``."""
-    return df.where(F.col("dt").between(start, end) & F.col("site_id").isin(list(ids)))
+def scope(df: DataFrame, ids: list[str] | DataFrame, start: str, end: str) -> DataFrame:
+    """``dt BETWEEN start AND end`` (strings, inclusive) and ``site_id IN ids``
+    (a literal list, or a DataFrame of ``site_id`` joined as a semi join)."""
+    out = df.where(F.col("dt").between(start, end))
+    if isinstance(ids, DataFrame):
+        return out.join(ids.select("site_id").distinct(), "site_id", "left_semi")
+    return out.where(F.col("site_id").isin(list(ids)))
 
 
 def safe_select(df: DataFrame, fields) -> DataFrame:
@@ -84,7 +89,8 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc())
 
 
-def fetch(spark: SparkSession, root: str, ids: list[str], start: str, end: str) -> tuple[DataFrame, DataFrame]:
+def fetch(spark: SparkSession, root: str, ids: list[str] | DataFrame, start: str, end: str
+          ) -> tuple[DataFrame, DataFrame]:
     """(initial_events, events) of one scope, safe columns only, report-layer types."""
     ini = typed_select(safe_select(scope(read_initial_events(spark, root), ids, start, end), S.INITIAL_FIELDS))
     ev = typed_select(safe_select(scope(read_events(spark, root), ids, start, end), S.COMMON_FIELDS))
