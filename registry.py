@@ -980,7 +980,15 @@ COMPACT_SITE, COMPACT_DT = "site-1", "2024-01-05"
 @reg("snk_compact", OI.ing(
     _cols_sql(LAKE_REGULAR, "ing_regular") + f" WHERE site_id = '{COMPACT_SITE}' AND dt = '{COMPACT_DT}'"))
 def q_snk_compact(spark, sf):
-    root = ensure_lake(spark, sf)
+    # a lake of its own: compaction rewrites a partition in place, and the
+    # shared fixture lake may be read by other queries at the same time
+    root = lake_root(spark, sf) + "_compact"
+
+    def write(tmp):
+        req, sites = _requests(spark, sf)
+        ingest_to_lake(spark, req, sites, tmp, 0, metered=True)
+
+    publish_once(spark, root, write)
     sink.compact(spark, root, "events", COMPACT_SITE, COMPACT_DT, files=1)
     ev = src.read_events(spark, root).where((F.col("site_id") == COMPACT_SITE) & (F.col("dt") == COMPACT_DT))
     return _lake_rows(ev, LAKE_REGULAR)
