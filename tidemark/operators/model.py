@@ -17,6 +17,7 @@ raw rows, and most reports run on the much smaller session table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,12 +210,17 @@ class Analytics:
 
     def event_rows(self) -> DataFrame:
         """Raw rows of the kept sessions (event columns only, no fill needed)."""
+        return self._event_rows
+
+    @cached_property
+    def _event_rows(self) -> DataFrame:
+        # built once per instance, so all reports on it share one plan
         if not self.narrowed:
             return self.base
         return salted_session_join(self.base, self.sessions.select(SK, SN), "left_semi",
                                    hot_session_salts(self.sessions), self._spread())
 
-    @property
+    @cached_property
     def rows(self) -> DataFrame:
         keep = list(S.EVENT_COLUMNS) + ([self.seq_col] if self.seq_col else [])
         b = self.base.select(*keep, SK, SN)
