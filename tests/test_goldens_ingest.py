@@ -209,3 +209,14 @@ def test_resolve_scope_list_or_frame(spark):
     ev = spark.createDataFrame([("s1", "2024-01-02"), ("s2", "2024-01-02"), ("s3", "2024-02-01")], "site_id string, dt string")
     got = sorted(r[0] for r in scope.scope(ev, big, "2024-01-01", "2024-01-31").collect())
     assert got == ["s1"]
+
+
+def test_publish_once_keeps_first_copy(spark, scratch):
+    import glob
+
+    from tidemark.plans.jobs import publish_once
+    target = scratch + "/table"
+    publish_once(spark, target, lambda tmp: spark.range(3).write.parquet(tmp))
+    publish_once(spark, target, lambda tmp: spark.range(10).write.parquet(tmp))  # already there: not rebuilt
+    assert spark.read.parquet(target).count() == 3
+    assert not glob.glob(target.replace("file:", "") + ".tmp-*")
