@@ -10,6 +10,7 @@ same sites would race on the ledger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,10 @@ def start_ingest(spark: SparkSession, source: str, sites: Callable[[], DataFrame
     def run_batch(df: DataFrame, batch_id: int) -> None:
         ingest_to_lake(spark, df, sites(), root, int(batch_id), metered=metered)
 
-    w = reqs.writeStream.foreachBatch(run_batch).option(
-        "checkpointLocation", checkpoint or scratch_path(spark, "streams", "ingest")
-    )
+    if checkpoint is None:
+        # one checkpoint per (source, lake): two streams never share progress
+        key = hashlib.sha1(f"{source}|{root}".encode()).hexdigest()[:16]
+        checkpoint = scratch_path(spark, "streams", f"ingest-{key}")
+    w = reqs.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
