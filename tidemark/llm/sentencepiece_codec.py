@@ -177,17 +177,18 @@ class PieceModel:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes; an empty text has none."""
         cut = [self.chunks(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        get = self.cache.get
+        found = [list(map(get, x)) for x in cut]
         groups: dict[int, list[str]] = {}
-        for c in set().union(*cut).difference(cache):
+        for c in {c for x, ids in zip(cut, found) if None in ids for c, y in zip(x, ids) if y is None}:
             groups.setdefault(len(c), []).append(c)
         for width, chunks in groups.items():
             step = max(1, CELLS // (width + 1))
             for k in range(0, len(chunks), step):
                 self._viterbi(chunks[k:k + step])
-        return [b"".join(map(cache.__getitem__, x)) for x in cut]
+        return [b"".join([y if y is not None else get(c) for c, y in zip(x, ids)] if None in ids else ids) for x, ids in zip(cut, found)]
 
     def decode(self, ids) -> str:
         """The text of the ids: pieces joined, byte pieces back to characters, markers to blanks,

@@ -28,7 +28,7 @@ from tidemark.llm.common import CACHE_ENTRIES, fresh_path, id_text, texts_of, to
 #: Appended to each document.
 END_ID = 2
 #: A shard is closed once it holds this many ids; a longer document makes a longer shard.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 BLOCK = 512
 HEAD = struct.Struct("<4sIQQ")
 MAGIC = b"WMX1"
@@ -172,26 +172,53 @@ def open_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which encodes each distinct chunk once (bounded cache)."""
+    """Ids of texts by the tokenizers library, which encodes each distinct piece once (bounded caches).
+
+    New pieces are encoded as one text with blanks between them; a piece's last id is the one whose token
+    carries the end-of-word mark."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(word_bpe.END)]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Put the chunks' ids into the cache."""
+        if len(self.chunks) + len(chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
+        cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
+        new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+            blob, last = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) != len(new):
+                raise ValueError("a piece was encoded as several")
+            self.pieces.update(zip(new, [blob[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())]))
+        known = self.pieces
+        self.chunks.update((c, known[c] if ps == (c,) else b"".join([known[p] for p in ps])) for c, ps in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain = [t.lower().split() if word_bpe.is_plain(t) else None for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = list(set().union(*(w for w in plain if w is not None)).difference(self.cache))
-        self.cache.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([t for t, w in zip(texts, plain) if w is None]))
-        return [next(whole) if w is None else b"".join(map(self.cache.__getitem__, w)) for w in plain]
+        out: list = []
+        cut = [t.lower().split() if word_bpe.is_plain(t) else None for t in texts]
+        get = self.chunks.get
+        found = [None if w is None else list(map(get, w)) for w in cut]
+        new = {c for w, ids in zip(cut, found) if ids and None in ids for c, x in zip(w, ids) if x is None}
+        if new:
+            self._learn(new)
+        for text, w, ids in zip(texts, cut, found):
+            if w is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes())
+            else:
+                out.append(b"".join([x if x is not None else get(c) for c, x in zip(w, ids)] if None in ids else ids))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
