@@ -3,7 +3,7 @@
 A text's k-mers are its five-word windows, each labelled with its occurrence number.  A sketch entry takes the three
 k-mers of least hash under one hash function and keeps them in text order, so it is equal for two texts only if they
 share the k-mers and their order.  Texts that share an entry are candidates: each is compared with the most central
-text of the bucket, and what that leaves apart is compared pairwise.  A candidate pair is linked if a
+text of the bucket, those left apart with random ones, and what is still apart pairwise.  A candidate pair is linked if a
 banded alignment of the words keeps at least 0.8 of the two texts' windows in place (kept / (all - kept)).
 Equal texts are one node from the start, whatever their number.
 """
@@ -30,6 +30,10 @@ ENTRIES, PER_ENTRY = 16, 3
 #: Places of the size signature: two bits of the least hash in each of so many hash ranges.  At similarity 0.8, 15 % of
 #: them differ; pairs of which more than 30 % differ are no candidates of the pairwise step (over 3.5 standard deviations).
 LANES, MAX_DIFFERENT = 128, 38
+#: Rounds in which members that their bucket's leader leaves apart try random ones before they are compared pairwise.
+RANDOM_ROUNDS = 2
+#: Entries on which a pair of the pairwise step must agree: at similarity 0.8 it is 8 of 16, and fewer than 3 with probability 0.0016.
+MIN_AGREEING = 3
 WORD = regex.compile(r"\w+")
 
 _rng = np.random.default_rng(20240229)
@@ -230,16 +234,29 @@ def _classes(docs: DataFrame) -> DataFrame:
              .select("key", "text").dropDuplicates(["key"]))
     texts = stored(texts, "texts")
     edges = stored(_linked(first, texts), "links")
-    labels = components(edges)
-    # what the leaders leave apart: members of one bucket in different components
-    apart = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-    split = apart.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    apart = stored(apart.join(split, "bucket").join(nodes.select("key", "n", "lanes"), "key"), "apart")
+    labels, tested, apart = components(edges), first, None
+    for seed in range(1, RANDOM_ROUNDS + 1):
+        apart = _apart(members, labels, nodes)
+        if apart.isEmpty():
+            break
+        # members that their leader leaves apart try a random one, also in the finer buckets of two neighbouring entries
+        fine = apart.dropDuplicates(["key"]).select("key", "label", F.explode(F.transform(
+            "entries", lambda e, i: F.xxhash64(i, e, F.get("entries", F.pmod(i + 1, F.size("entries")))))).alias("bucket"))
+        groups = apart.select("key", "label", "bucket").unionByName(fine)
+        lead = groups.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("key", "bucket", F.lit(seed)).alias("h"), "key", "label")).alias("m"))
+        pairs = groups.join(lead, "bucket").where(F.col("label") != F.col("m.label"))
+        pairs = pairs.select(F.least("key", "m.key").alias("a"), F.greatest("key", "m.key").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, apart = tested.union(pairs), None
+        edges = stored(edges.union(_linked(pairs, texts)), "links")
+        labels = components(edges)
+    apart = _apart(members, labels, nodes) if apart is None else apart
     x, y = apart.alias("x"), apart.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
-                  & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY)) & (_different("x.lanes", "y.lanes") <= MAX_DIFFERENT))
+                  & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY)) & (_different("x.lanes", "y.lanes") <= MAX_DIFFERENT)
+                  & (_agreeing("x.entries", "y.entries") >= F.least(F.lit(MIN_AGREEING), F.size("x.entries"))))
     rest = rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         edges = stored(edges.union(_linked(rest, texts)), "links")
         labels = components(edges)
@@ -248,7 +265,19 @@ def _classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key").join(classed.join(sums, "label").select("key", "class_id", "class_size"), "key")
 
 
-def _different(a: str, b: str):
+def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    split = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    return stored(own.join(split, "bucket").join(nodes.select("key", "n", "entries", "lanes"), "key"), "apart")
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """Entries in which two sketches agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def _different(a: str, b: str) -> Column:
     """Lanes in which two signatures differ."""
     total = F.lit(0)
     for k in range(LANES // 32):
