@@ -3,7 +3,7 @@
 A text's k-mers are its five-word windows, each labelled with its occurrence number.  A sketch entry takes the three
 k-mers of least hash under one hash function and keeps them in text order, so it is equal for two texts only if they
 share the k-mers and their order.  Texts that share an entry are candidates: each is compared with the most central
-text of the bucket, those left apart with random ones, and what is still apart pairwise.  A candidate pair is linked if a
+text of the bucket, and those left apart with the others that share one of their rare k-mers (an exact prefix filter).  A candidate pair is linked if a
 banded alignment of the words keeps at least 0.8 of the two texts' windows in place (kept / (all - kept)).
 Equal texts are one node from the start, whatever their number.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordCache, id_text, stored, texts_of
@@ -27,13 +27,6 @@ K, SIMILARITY = 5, 0.8
 #: Sketch entries and k-mers per entry: at similarity 0.8 an entry agrees with probability 0.8**3, so a pair is
 #: missed with probability 0.488**16, one in a hundred thousand.
 ENTRIES, PER_ENTRY = 16, 3
-#: Places of the size signature: two bits of the least hash in each of so many hash ranges.  At similarity 0.8, 15 % of
-#: them differ; pairs of which more than 30 % differ are no candidates of the pairwise step (over 3.5 standard deviations).
-LANES, MAX_DIFFERENT = 128, 38
-#: Rounds in which members that their bucket's leader leaves apart try random ones before they are compared pairwise.
-RANDOM_ROUNDS = 2
-#: Entries on which a pair of the pairwise step must agree: at similarity 0.8 it is 8 of 16, and fewer than 3 with probability 0.0016.
-MIN_AGREEING = 3
 WORD = regex.compile(r"\w+")
 
 _rng = np.random.default_rng(20240229)
@@ -76,10 +69,10 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, _mix(h + nth * np.uint64(0x9E3779B97F4A7C15)), h)
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The Order MinHash entries and the size signature (as int64 words) of labelled k-mers."""
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The Order MinHash entries (as int64) of labelled k-mers."""
     if not h.size:
-        return np.zeros(0, np.int64), np.zeros(LANES // 32, np.int64)
+        return np.zeros(0, np.int64)
     x = h[None, :] * _MULTIPLY[:, None] + _ADD[:, None]
     x ^= x >> np.uint64(29)
     rows, picks = np.arange(ENTRIES), []
@@ -90,13 +83,7 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     entry = np.zeros(ENTRIES, np.uint64)
     for at in np.sort(np.array(picks), axis=0):
         entry = _mix(entry * np.uint64(31) + h[at])
-    s = np.sort(h)
-    lane = (s >> np.uint64(57)).astype(np.int64)
-    first = np.concatenate([[True], lane[1:] != lane[:-1]])
-    lanes = np.zeros(LANES, np.uint64)
-    lanes[lane[first]] = (s[first] & np.uint64(1)) + np.uint64(1)
-    packed = (lanes.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
-    return entry.view(np.int64), packed.view(np.int64)
+    return entry.view(np.int64)
 
 
 def matched_runs(a: list, b: list, limit: int) -> list[int] | None:
@@ -160,21 +147,15 @@ def similarity(a: list[str], b: list[str], least: float = SIMILARITY) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n, entries, lanes`` of every row; ``key`` is the text's MD5, a null text's is its own."""
+    """``doc_id, key, n, entries`` of every row; ``key`` is the text's MD5, a null text's is its own."""
     def rows(batches):
         for batch in batches:
-            cols = [[], [], []]
-            for text in texts_of(batch):
-                h = labelled(kmers(text))
-                entries, lanes = sketch(h)
-                for c, v in zip(cols, (len(h), entries, lanes)):
-                    c.append(v)
+            hashes = [labelled(kmers(t)) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(cols[0], pa.int32()),
-                 pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))],
-                ["doc_id", "key", "n", "entries", "lanes"])
+                [batch.column("doc_id"), batch.column("key"), pa.array([len(h) for h in hashes], pa.int32()),
+                 pa.array([sketch(h) for h in hashes], pa.list_(pa.int64()))], ["doc_id", "key", "n", "entries"])
 
-    return id_text(docs).withColumn("key", text_key()).mapInArrow(rows, "doc_id long, key binary, n int, entries array<long>, lanes array<long>")
+    return id_text(docs).withColumn("key", text_key()).mapInArrow(rows, "doc_id long, key binary, n int, entries array<long>")
 
 
 def text_key() -> Column:
@@ -218,7 +199,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """``doc_id, key, class_id, class_size`` of every row."""
     rows = stored(_sketches(docs), "sketches")
     nodes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                    F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("lanes").alias("lanes"))
+                                    F.first("n").alias("n"), F.first("entries").alias("entries"))
     nodes = stored(nodes, "nodes")
     buckets = nodes.select("key", F.posexplode("entries").alias("i", "e")).select("key", F.xxhash64("i", "e").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -234,29 +215,8 @@ def _classes(docs: DataFrame) -> DataFrame:
              .select("key", "text").dropDuplicates(["key"]))
     texts = stored(texts, "texts")
     edges = stored(_linked(first, texts), "links")
-    labels, tested, apart = components(edges), first, None
-    for seed in range(1, RANDOM_ROUNDS + 1):
-        apart = _apart(members, labels, nodes)
-        if apart.isEmpty():
-            break
-        # members that their leader leaves apart try a random one, also in the finer buckets of two neighbouring entries
-        fine = apart.dropDuplicates(["key"]).select("key", "label", F.explode(F.transform(
-            "entries", lambda e, i: F.xxhash64(i, e, F.get("entries", F.pmod(i + 1, F.size("entries")))))).alias("bucket"))
-        groups = apart.select("key", "label", "bucket").unionByName(fine)
-        lead = groups.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("key", "bucket", F.lit(seed)).alias("h"), "key", "label")).alias("m"))
-        pairs = groups.join(lead, "bucket").where(F.col("label") != F.col("m.label"))
-        pairs = pairs.select(F.least("key", "m.key").alias("a"), F.greatest("key", "m.key").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, apart = tested.union(pairs), None
-        edges = stored(edges.union(_linked(pairs, texts)), "links")
-        labels = components(edges)
-    apart = _apart(members, labels, nodes) if apart is None else apart
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
-                  & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY)) & (_different("x.lanes", "y.lanes") <= MAX_DIFFERENT)
-                  & (_agreeing("x.entries", "y.entries") >= F.least(F.lit(MIN_AGREEING), F.size("x.entries"))))
-    rest = rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    labels = components(edges)
+    rest = stored(_rare_pairs(members, labels, nodes, texts).join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         edges = stored(edges.union(_linked(rest, texts)), "links")
         labels = components(edges)
@@ -265,25 +225,38 @@ def _classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key").join(classed.join(sums, "label").select("key", "class_id", "class_size"), "key")
 
 
-def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
+def _rare_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (``a, b``) of texts that share a bucket with another component and could still be similar.
+
+    Exact prefix filter: in any order of k-mers that all texts share, two texts of similarity ``t`` have a k-mer in common
+    among the first ``n - ceil(t * n) + 1`` of each.  The order is by frequency, rarest first: a text that differs from all
+    others by words of its own meets nobody there, however many texts its bucket holds.
+    """
     own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     split = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    return stored(own.join(split, "bucket").join(nodes.select("key", "n", "entries", "lanes"), "key"), "apart")
-
+    apart = own.join(split, "bucket").select("key", "label").distinct().join(nodes.select("key", "n"), "key")
 
-def _agreeing(a: str, b: str) -> Column:
-    """Entries in which two sketches agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
-
-
-def _different(a: str, b: str) -> Column:
-    """Lanes in which two signatures differ."""
-    total = F.lit(0)
-    for k in range(LANES // 32):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+    def rows(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                lists = [labelled(kmers(t)).view(np.int64) for t in texts_of(part)]
+                at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(at) for c in ("key", "label", "n")] + [pa.array(np.concatenate(lists))], ["key", "label", "n", "kmer"])
+
+    schema = "key binary, label binary, n int, kmer long"
+    all_kmers = stored(texts.join(apart, "key").select("key", "label", "n", "text").mapInArrow(rows, schema), "kmers")
+    often = all_kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # all k-mers take part in the order, also those of one text or component, which no join needs
+    order = Window.partitionBy("key").orderBy("texts", "kmer")
+    ranked = all_kmers.join(often, "kmer").withColumn("nth", F.row_number().over(order))
+    prefix = stored(ranked.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY)) + 1) & (F.col("low") != F.col("high")))
+                    .select("key", "label", "n", "kmer"), "prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    pairs = x.join(y, (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.label") < F.col("y.label"))
+                   & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY)))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
