@@ -252,10 +252,12 @@ def _rare_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     order = Window.partitionBy("key").orderBy("texts", "kmer")
     ranked = all_kmers.join(often, "kmer").withColumn("nth", F.row_number().over(order))
     prefix = stored(ranked.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY)) + 1) & (F.col("low") != F.col("high")))
-                    .select("key", "label", "n", "kmer"), "prefixes")
+                    .select("key", "label", "n", "kmer", (F.col("n") - F.col("nth")).alias("after")), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     pairs = x.join(y, (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.label") < F.col("y.label"))
-                   & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY)))
+                   & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(SIMILARITY))
+                   # behind the first common k-mer there must be room for all the others that the similarity asks for
+                   & ((F.least("x.after", "y.after") + 1) * F.lit(1 + SIMILARITY) + F.lit(1e-6) >= (F.col("x.n") + F.col("y.n")) * F.lit(SIMILARITY)))
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
