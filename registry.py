@@ -656,7 +656,7 @@ from tidemark.operators import billing, scope, sites as site_ops, usage  # noqa:
 from tidemark.plans.jobs import ingest_to_lake  # noqa: E402
 from tidemark.sinks import lake as sink  # noqa: E402
 
-LAKE_VERSION = "lake-v7"
+LAKE_VERSION = "lake-v7b"
 
 
 def lake_root(spark, sf):

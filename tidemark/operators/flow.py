@@ -53,7 +53,9 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
     last label, kept count) carries the dedupe, the step numbering (a prefix
     sum) and the pairing across chunk borders.
     """
+    # time, sequence, then event and path: rows that still tie have the same label, so their order is immaterial
     extra = ["timestamp"] + ([seq_col] if seq_col and seq_col in rows.columns else [])
+    extra += [c for c in ("event", "pathname") if c in rows.columns]
     order = [F.col(c) for c in extra]
     r = rows.select(SK, SN, "session_id", *extra, node_label().alias("base_node"))
     if hot is not None:

@@ -326,6 +326,7 @@ def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = N
 def _forward_fill(df: DataFrame, static: list[str], seq_col: str | None, chunk_us: int) -> DataFrame:
     keyed = with_session_key(df)
     order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in df.columns else [])
+    order += [F.col(c) for c in ("event", "pathname") if c in df.columns]
     hot = keyed.groupBy(SK, SN).agg(F.count(F.lit(1)).alias("n_rows"))
     flag = hot_session_salts(hot).select(SK, SN, F.lit(True).alias("_hot"))
     keyed = keyed.join(F.broadcast(flag), [SK, SN], "left").withColumn(

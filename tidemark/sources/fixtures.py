@@ -142,10 +142,12 @@ UA_SAMPLES = [
 FAULTS = {7: "no_site", 13: "unknown_site", 17: "foreign_referer", 19: "bad_referer", 23: "no_body", 29: "bad_json"}
 FAULT_MOD = 101
 
-# Site dimension for the fixture sites: one per privacy level; site-2 is metered tight.
+# Site dimension for the fixture sites: one per privacy level; the first two have an allowance
+# above any data size, so their requests all pass the gate at every scale; site-2 is metered tight.
+UNMETERED = 10**12
 SITE_ROWS = [
-    ("site-0", "owner-a", "Shop", ["site-0.example"], "free_tier", 10000, "yes"),
-    ("site-1", "owner-a", "Blog", ["site-1.example"], "free_tier", 10000, None),
+    ("site-0", "owner-a", "Shop", ["site-0.example"], "free_tier", UNMETERED, "yes"),
+    ("site-1", "owner-a", "Blog", ["site-1.example"], "free_tier", UNMETERED, None),
     ("site-2", "owner-b", "News", ["site-2.example", "www.site-2.example"], "needs_payment", 500, "no"),
 ]
 
