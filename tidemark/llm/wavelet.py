@@ -196,7 +196,7 @@ class Encoder:
         cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
         new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             blob, last = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(new):
                 raise ValueError("a piece was encoded as several")
