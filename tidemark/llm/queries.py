@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import classifier, decontam, licenses, near_dup, pii, quality, sentencepiece_codec, sharding, token_count, wavelet
 from tidemark.llm.common import documents
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_near_dup, op3_quality_rules, op4_pii, op5_token_counts, op6_license_scan,
     op7_quality_classifier, op8_sentencepiece, op9_sharding, op10_token_files, pipeline)}
-
-#: DuckDB twins; the other queries are held against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {}
