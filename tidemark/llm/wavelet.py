@@ -175,12 +175,16 @@ class Encoder:
     """Ids of texts by the tokenizers library, which encodes each distinct piece once (bounded caches).
 
     New pieces are encoded as one text with blanks between them; a piece's last id is the one whose token
-    carries the end-of-word mark."""
+    carries the end-of-word mark.  They are normalised and split already, so the tokenizer that encodes them only
+    cuts at blanks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_bpe.END)]] = True
@@ -196,7 +200,7 @@ class Encoder:
         cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
         new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
         if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.merger.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             blob, last = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(new):
                 raise ValueError("a piece was encoded as several")
