@@ -340,6 +340,30 @@ def test_near_duplicates_odd(odd):
     assert len(kept) == len(ODD) and len({(r["doc_id"], r["text"]) for r in kept}) == len(kept)
 
 
+def test_near_duplicates_null_and_shared_ids(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(900)]
+    bases = [rng.choices(vocabulary, k=120) for _ in range(5)]
+    a, b, c, d, e = (" ".join(x) for x in bases)
+    near = [" ".join(edit(x, rng, 1)) for x in bases]
+    rows = [(None, a), (None, near[0]), (None, near[0]), (None, b), (None, "!!"), (None, None),  # classes without an id
+            (5, c), (5, d), (7, near[2]), (8, d), (9, near[3]),  # one id, two classes
+            (20, e), (20, near[4]), (None, e)]  # one id, two texts of one class
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [{a, near[0]}, {b}, {"!!"}, {None}, {c, near[2]}, {d, near[3]}, {e, near[4]}]
+    sizes = [3, 1, 1, 1, 2, 3, 3]
+    found = near_dup.near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    assert sorted(Counter(r["class_key"] for r in found).values()) == sorted(sizes)
+    assert all(n == r["class_size"] for r in found for n in [sum(x["class_key"] == r["class_key"] for x in found)])
+    own = {r["class_key"]: r["class_id"] for r in found}
+    assert sorted(x for x in own.values() if x >= 0) == [5, 5, 20] and len({x for x in own.values() if x < 0}) == 4
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.deduplicate(df).collect()]
+    assert sorted(next(i for i, x in enumerate(classes) if t in x) for _, t in kept) == list(range(7))
+    assert Counter(x for x, _ in kept) == {None: 4, 5: 2, 20: 1}
+    assert {r["class_key"] for r in found if r["is_first"]} == set(own)
+
+
 def test_alignment_keeps_windows():
     rng = random.Random(4)
     for _ in range(200):

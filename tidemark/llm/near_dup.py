@@ -185,18 +185,20 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_size, is_first``, one row per input row.
+    """``doc_id, class_id, class_size, is_first, class_key``, one row per input row.
 
-    ``class_id`` is the least ``doc_id`` among the documents that chains of links connect; ``is_first`` says that the row
-    is the one to keep (its ``doc_id`` is ``class_id``).  Equal texts share a class, empty ones too; a null text shares a class
+    ``class_id`` is the least ``doc_id`` among the documents that chains of links connect, or a negative hash of
+    ``class_key`` if none of them has an id.  ``class_key`` names the class itself: classes that share a least ``doc_id``, as an id
+    came with unrelated texts, differ in it.  ``is_first`` says that the row is the one to keep: the least ``doc_id`` of
+    its class, and of several texts under that id the least key.  Equal texts share a class, empty ones too; a null text shares a class
     only with rows of its own ``doc_id``.  Texts without words link to equal texts only.  Rows that repeat an id
     and a text get the same answer.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _classes(docs).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
+    return _classes(docs).select("doc_id", "class_id", "class_size", "is_first", F.lower(F.hex("label")).alias("class_key"))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, class_id, class_size`` of every row."""
+    """``doc_id, key, label, class_id, class_size, is_first`` of every row; ``label`` is the class's least key."""
     rows = stored(_sketches(docs), "sketches")
     nodes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                     F.first("n").alias("n"), F.first("entries").alias("entries"))
@@ -211,7 +213,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     first = members.join(leaders, "bucket").where(F.col("key") != F.col("leader"))
     first = stored(first.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), "pairs")
     needed = members.select("key").distinct()
-    texts = (id_text(docs).withColumn("key", text_key()).join(needed, "key").join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"])
+    reps = nodes.select(F.col("key").alias("rep_key"), "rep")
+    texts = (id_text(docs).withColumn("key", text_key()).join(needed, "key")
+             .join(reps, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
              .select("key", "text").dropDuplicates(["key"]))
     texts = stored(texts, "texts")
     edges = stored(_linked(first, texts), "links")
@@ -221,8 +225,13 @@ def _classes(docs: DataFrame) -> DataFrame:
         edges = stored(edges.union(_linked(rest, texts)), "links")
         labels = components(edges)
     classed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))
-    sums = classed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    return rows.select("doc_id", "key").join(classed.join(sums, "label").select("key", "class_id", "class_size"), "key")
+    # the row to keep has the least id, if there is one, and of several texts under that id the least key
+    sums = (classed.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "key")).alias("first"),
+                                         F.sum("copies").alias("class_size")))
+    own = F.lit(-1) - F.xxhash64("label").bitwiseAND(F.lit((1 << 63) - 1))
+    answers = classed.join(sums, "label").select("key", "label", F.coalesce("first.rep", own).alias("class_id"), "class_size", "first")
+    is_first = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.rep"))
+    return rows.select("doc_id", "key").join(answers, "key").select("doc_id", "key", "label", "class_id", "class_size", is_first.alias("is_first"))
 
 
 def _rare_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -262,12 +271,9 @@ def _rare_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: the one of least ``doc_id`` (of rows that repeat an id
-    within a class, one)."""
-    first = _classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # one text per class, should an id come with several
-    first = first.groupBy("class_id").agg(F.min("key").alias("__key")).select(F.col("class_id").alias("__id"), "__key")
+    """One document of each class, with all its columns: the one that ``near_duplicates`` marks as first (of rows that
+    repeat its id and text, one)."""
+    first = _classes(docs).where("is_first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__first")).distinct()
     keyed = docs.withColumn("__key", text_key())
-    kept = keyed.join(first, (F.col("__id").eqNullSafe(F.col("doc_id").cast("long"))) & (first["__key"] == keyed["__key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
-
+    kept = keyed.join(first, F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__first") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
