@@ -145,6 +145,19 @@ def test_licenses_brute(spark, odd, docs):
     assert r[2]["labels"] == "" and all(0 <= x["score"] <= 1 for x in r.values())
 
 
+def test_licenses_many_notices(spark):
+    wordings = [x for _, x, _ in licenses.TEMPLATES]
+    mit = wordings[7]
+    rows = [(1, f"{mit}. Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."),
+            (2, f"{mit}\nLicensed under the GNU General Public License version 3"),
+            (3, " ; ".join(wordings)), (4, "license " * 4000 + "; ".join(wordings[::-1])), (5, mit.replace("charge", "cost"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    assert got[1]["labels"] == "apache,apache-2.0,cc-by,cc-by-nc,mit" and got[2]["labels"] == "gpl,gpl-3.0,mit" and got[5]["labels"] == ""
+    for i in (3, 4):
+        assert set(got[i]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | set(licenses.BASE.values())
+
+
 def test_classifier_held_out(spark, odd):
     sf = SF001.replace("0.001", "0.01")
     d, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")

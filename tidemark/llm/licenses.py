@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-A template is a licence's characteristic wording.  Its content words have postings (template,
-position).  Each file looks up the licence words it holds that are rarest in the corpus, subtracts the
-template position from its own, and keeps the alignments on which two words agree.  An alignment counts
-if enough of the template stands in place and the template's key phrase is there in full.
+A template is a licence's characteristic wording.  Each template is looked up by the word of its key phrase
+that is rarest in the corpus, so every file tries every template at every place where that word stands, however
+many notices it holds.  The word's position in the template subtracted from its own gives an alignment.  It counts if
+the template's key phrase is there in full, two content words agree and enough of the template stands in place.
+The key phrase is required, so an alignment without the looked-up word could not count: nothing is missed.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ TEMPLATES = [
 FUNCTION_WORDS = set("a all and any are as at by can code copy file files following for form forms free has http in into is it made met "
                      "of or org person possible program public related rights sa nc nd subject that the this to under use version v "
                      "with work www you your 0 2 3 4 may not author available materials conditions law extent".split())
-#: A file looks up this many of its rarest licence words.
+#: Words that the SQL twin looks up per file; the operator looks up one per template and has no such limit.
 LOOKUPS = 8
-#: Looked-up words that must agree on a relative position.
+#: Content words of a template that must stand in place.
 AGREE = 2
 #: Share of a template's words that must stand in place.
 MIN_MATCH = 0.7
@@ -94,23 +95,26 @@ def words_by_rarity(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _alignments(words: Column, lookups: Column, templates) -> Column:
-    """Distinct (template, offset) on which :data:`AGREE` or more looked-up words agree, as structs t, o."""
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, wording, _) in enumerate(templates):
-        for p, w in enumerate(wording.split()):
-            if w not in FUNCTION_WORDS:
-                postings.setdefault(w, []).append((t, p))
+def _anchors(rarest: list[str], templates) -> dict[str, list[tuple[int, int]]]:
+    """Per looked-up word the (template, position in it): of each template's key phrase the rarest content word, or the
+    first word if it has none."""
+    rank = {w: i for i, w in enumerate(rarest)}
+    anchors: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, wording, phrase) in enumerate(templates):
+        parts = phrase.split()
+        k = min(range(len(parts)), key=lambda i: (rank.get(parts[i], len(rank)), i))
+        anchors.setdefault(parts[k], []).append((t, _position(wording, phrase) + k))
+    return anchors
+
+
+def _alignments(words: Column, anchors: dict[str, list[tuple[int, int]]]) -> Column:
+    """All (template, offset) at which a template's looked-up word stands in its place, as structs t, o."""
     index = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]).alias("at"))
-                      for w, ps in sorted(postings.items())])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                    lambda x: F.array_contains(lookups, x["w"]))
-    votes = F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(
+                      for w, ps in sorted(anchors.items())])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*sorted(anchors)))
+    return F.flatten(F.transform(hits, lambda x: F.transform(
         F.get(F.filter(index, lambda e: e["w"] == x["w"]), F.lit(0))["at"],
-        lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o"))))))
-    # sorted: a vote equals the one AGREE - 1 places before it exactly if that many words agree
-    return let(votes, lambda vs: F.transform(
-        vs, lambda v, k: F.when((k >= AGREE - 1) & (F.get(vs, k - (AGREE - 1)) == v), v)))
+        lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o")))))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: list[str] | None = None) -> DataFrame:
@@ -129,21 +133,23 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: list[str] | N
         F.transform(w, lambda x, i: F.when(x.isin(*sorted({p.split()[0] for p in BASE})), F.struct(
             i.alias("i"), F.array_compact(F.array(*[F.when(_stands(w, i, p), F.lit(label)) for p, label in BASE.items()])).alias("l")))),
         lambda s: F.size(s["l"]) > 0)
-    lookups = F.slice(F.array_intersect(_strings(rarest), w), 1, LOOKUPS)
+    anchors = _anchors(rarest, templates)
     df = df.select("*", F.when(F.arrays_overlap(w, _strings(sorted({p.split()[0] for p in BASE}))), starts).alias("s"),
-                   lookups.alias("r"))
-    df = df.select("*", F.when(F.size("r") >= AGREE, F.array_distinct(F.array_compact(_alignments(w, F.col("r"), templates)))).alias("a"))
+                   F.when(F.arrays_overlap(w, _strings(sorted(anchors))), _alignments(w, anchors)).alias("a"))
     wordings = F.array(*[_strings(x.split()) for _, x, _ in templates])
+    contents = F.array(*[F.array(*[F.lit(x not in FUNCTION_WORDS) for x in wording.split()]) for _, wording, _ in templates])
 
     def checked(a: Column) -> Column:
         wording = F.get(wordings, a["t"])
-        there = F.size(F.filter(F.transform(wording, lambda x, p: F.get(w, a["o"] + p) == x), lambda x: x)) / F.size(wording)
+        stands = lambda p: F.get(w, a["o"] + p) == F.get(wording, p)
+        there = F.size(F.filter(F.transform(wording, lambda _, p: stands(p)), lambda x: x)) / F.size(wording)
+        agree = F.size(F.filter(F.transform(F.get(contents, a["t"]), lambda c, p: c & stands(p)), lambda x: x))
         key = F.lit(False)
         for t, (_, text, phrase) in enumerate(templates):
             at = _position(text, phrase)
             key = F.when(a["t"] == t, _stands(w, a["o"] + at, phrase)).otherwise(key)
         label = F.get(_strings([x for x, _, _ in templates]), a["t"])
-        return F.when(key & (there >= MIN_MATCH), F.struct(label.alias("l"), there.alias("share")))
+        return F.when(key & (agree >= AGREE) & (there >= MIN_MATCH), F.struct(label.alias("l"), there.alias("share")))
 
     df = df.select("*", F.array_compact(F.transform("a", checked)).alias("m"))
     none = F.array().cast("array<string>")
