@@ -5,6 +5,11 @@ social-security number by its ranges, phone by its form), dates that exist, e-ma
 replaced by a value of the same format.  Each value is a list of digits of mixed radix; a Feistel network
 with a keyed hash as round function permutes the values of a format, so equal values get equal pseudonyms
 in every document and different values stay different.
+
+Secrets are the providers' forms (AKIA/ASIA, gh?_, sk-) and what follows a key word (token, secret, api key, passwd, password; in
+any case, quoted or not) and ``=`` or ``:`` with at most :data:`BLANKS` blanks on either side: a run of 8 or more letters,
+digits and ``+/_-``, of any length and with its dotted parts.  IBANs stand together or in groups of four, cards in their
+usual groups; a date may be followed by a time (``T10:00``).  Other wordings and forms stay in clear.
 """
 
 from __future__ import annotations
@@ -17,12 +22,34 @@ from tidemark.llm.common import barrier, id_text, let
 #: Key of the permutations; give your own.
 DEFAULT_KEY = "tidemark-example-key"
 ROUNDS = 8
+#: Digits of half a value from which on the half's hash stands for it.
+LONG = 64
+#: Words that name a secret, and the blanks around the sign between word and secret (Java looks back over a bounded length).
+KEY_WORDS, BLANKS = r"(?i:token|secret|api[_-]?key|passw(?:or)?d)", 8
+_BLANKS = rf"[ \t]{{0,{BLANKS}}}"
+#: What a provider's secret starts with.
+PROVIDERS = ("AKIA", "ASIA", "gh[pousr]_", "sk-")
+#: Rest of a run of unbounded length: possessive, so that no shorter part of a secret is ever taken.
+_RUN = r"[A-Za-z0-9+/_-]"
+_DOTTED = rf"(?:\.{_RUN}++)*+"
+PROVIDER_SECRET = rf"(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk-[A-Za-z0-9]{{20}}{_RUN}*+{_DOTTED}"
+#: The two looks ahead and back in front only spare the long look back at most places.
+KEYED_SECRET = (rf"(?={_RUN}{{8}})(?<=[=:]{_BLANKS}[\"']?)(?<={KEY_WORDS}[\"']?{_BLANKS}[=:]{_BLANKS}[\"']?)"
+                rf"{_RUN}{{8,}}+{_DOTTED}")
+#: Length of each country's IBANs: only it tells where one in groups ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+GROUPED_IBAN = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, c in IBAN_LENGTHS.items())
 #: Java patterns by kind, in order of precedence; each needs an edge on both sides.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}"
-              r"|(?<=(?:token|secret|api_key|apikey|passwd|password)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,128}",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "secret": f"{PROVIDER_SECRET}|{KEYED_SECRET}",
+    "iban": f"{GROUPED_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
@@ -32,6 +59,10 @@ PATTERNS = {
 }
 #: No letter, digit or joined number may stand next to a value.
 EDGES = (r"(?<![A-Za-z0-9])(?<![0-9][.-])", r"(?![A-Za-z0-9])(?![.-][0-9])")
+#: A time may follow a date.
+RIGHT_EDGES = {"date": f"(?:{EDGES[1]}|(?=[Tt][0-9]{{2}}))"}
+#: Every value holds one of these: digits, the sign of an address, or how a secret starts.
+ANY_SIGN = f"[0-9@]|{'|'.join(PROVIDERS)}|{KEY_WORDS}"
 #: Dates from 1900-01-01 on: 200 years are 73,049 days, the product of these radices.
 DATE_RADICES = (319, 229)
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d\d\.": "dd.MM.yyyy", r"^\d\d/": "MM/dd/yyyy"}
@@ -39,7 +70,7 @@ UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def any_value() -> str:
-    return EDGES[0] + "(?:" + "|".join(PATTERNS.values()) + ")" + EDGES[1]
+    return EDGES[0] + "(?:" + "|".join(f"(?:{p}){RIGHT_EDGES.get(k, EDGES[1])}" for k, p in PATTERNS.items()) + ")"
 
 
 def _chars(s: Column) -> Column:
@@ -58,6 +89,8 @@ def _feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
 
     def moved(part: Column, first: Column, other: Column, r: Column) -> Column:
         seed = F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        # a long half is hashed once, so the work grows with a value's length, not with its square
+        seed = F.when(F.size(other) > LONG, F.sha2(seed.cast("binary"), 256)).otherwise(seed)
         return let(seed, lambda q: F.transform(part, lambda x, i: F.pmod(
             x + F.conv(F.substring(F.sha2(F.concat_ws("|", q, i.cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("long"),
             F.get(radices, i + first)).cast("long")))
@@ -136,10 +169,18 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(s: Column, key: str) -> Column:
+    """Together or in groups of four; the same number gets the same pseudonym either way."""
+    return let(F.struct(F.replace(s, F.lit(" "), F.lit("")).alias("s"), F.contains(s, F.lit(" ")).alias("g")),
+               lambda x: _whole_iban(x["s"], x["g"], key))
+
+
+def _whole_iban(s: Column, grouped: Column, key: str) -> Column:
     country = F.substring(s, 1, 2)
     check = lambda body: F.lit(98) - _mod97(F.concat(country, F.lit("00"), body))
-    return F.when(_mod97(s) == 1, let(permuted_text(F.substring(s, F.lit(5), F.length(s) - 4), key, "iban"), lambda body: F.concat(
+    new = F.when(_mod97(s) == 1, let(permuted_text(F.substring(s, F.lit(5), F.length(s) - 4), key, "iban"), lambda body: F.concat(
         country, F.lpad(check(body).cast("string"), 2, "0"), body)))
+    # every group of four has its blank again
+    return F.when(grouped, F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -201,18 +242,23 @@ def pseudonym(value: Column, key: str) -> Column:
     others = "^(?:" + "|".join(p for k, p in PATTERNS.items() if k != "secret") + ")$"
     kinds = []
     for kind, pattern in PATTERNS.items():
-        bare = pattern.rsplit("|(?<=", 1)[0] if kind == "secret" else pattern
+        bare = PROVIDER_SECRET if kind == "secret" else pattern
         form = F.rlike(value, F.lit(f"^(?:{bare})$"))
         if kind == "secret":  # what follows a key word has no form of its own: it is a secret if nothing else
             form = form | ~F.rlike(value, F.lit(others))
-        kinds.append(F.struct(F.lit(kind).alias("kind"), F.when(form, REPLACERS[kind](value, key)).alias("new")))
+        new = F.when(form, REPLACERS[kind](value, key))
+        if kind == "card":  # groups that look like an IBAN and are none may hold a card
+            target = F.when(form, value).otherwise(F.when(F.rlike(value, F.lit(f"^(?:{GROUPED_IBAN})$")), F.nullif(
+                F.regexp_extract(value, EDGES[0] + "[0-9]{4}(?: [0-9]{4}){3}" + EDGES[1], 0), F.lit(""))))
+            new = let(target, lambda t: F.replace(value, t, _card(t, key)))
+        kinds.append(F.struct(F.lit(kind).alias("kind"), new.alias("new")))
     return F.get(F.filter(F.array(*kinds), lambda x: x["new"].isNotNull()), F.lit(0))
 
 
 def _with_found(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``__gaps`` (the text between values) and ``__new`` (per value: struct kind, new, old)."""
     pattern = F.lit(any_value())
-    has = F.rlike("text", F.lit("[0-9@]|(?:token|secret|api_?key|passw(?:or)?d)")) & F.rlike("text", pattern)
+    has = F.rlike("text", F.lit(ANY_SIGN)) & F.rlike("text", pattern)
     df = docs.select("*", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).alias("__old"),
                      F.when(has, F.split("text", any_value(), -1)).alias("__gaps"))
     return barrier(df.select("*", F.transform("__old", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p"))).alias("__new")))
