@@ -260,6 +260,13 @@ def test_sharding(spark, odd, docs):
     assert all(r["s"] == jump(r["id"], 100) and r["m"] == jump(-r["id"] % 2**64, 100) for r in ids.collect())
 
 
+def test_sharding_copies_of_one_row(spark):
+    df = spark.range(20_500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = sharding.shard_documents(df, bucket_rows=1000).select("slot", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["slot"] for r in out) == list(range(20_500))
+    assert max(Counter(r["task"] for r in out).values()) < 20_500 / 2
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 8, 513, 3000):

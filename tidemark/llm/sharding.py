@@ -18,6 +18,8 @@ MULTIPLIER = 2862933555777941757
 MASK = (1 << 22) - 1
 #: Rows that share one numbering bucket, about; bounds the sort of any task.
 BUCKET_ROWS = 20_000
+#: Copies of one row that are written out together.
+RUN_ROWS = 1_000
 
 
 def _next_key(k: Column) -> Column:
@@ -55,8 +57,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_
     bytes plus one (null text: 1, CRC of nothing: 0).  ``slot`` numbers a shard's rows from 0
     without gaps.  Equal rows are counted before anything moves, distinct rows are numbered inside
     small buckets of their hash, and a bucket's first slot is the sum of the counts before it:
-    no task sorts a whole shard or gathers the copies of one row.  Equal rows get any order
-    among themselves.
+    no task sorts a whole shard or gathers the copies of one row.  The copies are written out in runs of
+    :data:`RUN_ROWS`, dealt over the tasks.  Equal rows get any order among themselves.
     A null ``doc_id`` is placed like 0; an empty table gives an empty result.
     """
     rows = id_text(docs).select(
@@ -73,6 +75,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_
     inside = (Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
               .rowsBetween(Window.unboundedPreceding, 0))
     last = F.col("first") + F.col("upto") - 1
-    return (distinct.withColumn("upto", F.sum("copies").over(inside)).join(firsts, ["shard", "bucket"])
+    numbered = distinct.withColumn("upto", F.sum("copies").over(inside)).join(firsts, ["shard", "bucket"]).withColumn("last", last)
+    low = F.col("last") - F.col("copies") + 1
+    runs = numbered.withColumn("low", F.explode(F.sequence(low, F.col("last"), F.lit(RUN_ROWS).cast("long"))))
+    # a given number of partitions, as adaptive execution would merge the few bytes of many runs into one task again
+    n_tasks = min(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (runs.repartition(n_tasks, "shard", "low")
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    F.explode(F.sequence(last - F.col("copies") + 1, last)).alias("slot"), "grown_shard"))
+                    F.explode(F.sequence("low", F.least(F.col("last"), F.col("low") + RUN_ROWS - 1))).alias("slot"), "grown_shard"))
