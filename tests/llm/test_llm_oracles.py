@@ -32,7 +32,7 @@ def table(request, spark, tmp_path_factory):
     return spark.read.parquet(path), f"{path}/*.parquet"
 
 
-@pytest.mark.parametrize("key", ORACLES)
+@pytest.mark.parametrize("key", OPERATORS)
 def test_operator_equals_twin(table, key):
     docs, files = table
     df = OPERATORS[key](docs)

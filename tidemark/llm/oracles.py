@@ -5,7 +5,7 @@ They work on relations of words and lines (one row each, joined and grouped), wh
 
 from __future__ import annotations
 
-from tidemark.llm import licenses, quality
+from tidemark.llm import licenses, quality, url_rules
 
 
 def _text(value: str) -> str:
@@ -83,5 +83,49 @@ SELECT doc_id, len(ws) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, la
 FROM docs LEFT JOIN base_sums USING (rid) LEFT JOIN named USING (rid) LEFT JOIN scores USING (rid)"""
 
 
+def _url_sql() -> str:
+    upper = url_rules.UPPER
+    rules = ", ".join(f"({_text(h)}, {_text(p)}, {_text(v)})" for h, p, v in url_rules.RULES)
+
+    def kind(name: str, values: str) -> str:
+        return f"list_transform(list_filter({values}, lambda x: x <> ''), lambda x: '{name}:' || x)"
+
+    return f"""WITH rules(rule_host, rule_path, verdict) AS (VALUES {rules}),
+cut AS (SELECT row_number() OVER () AS rid, page_id, COALESCE(url, '') AS u,
+    translate(regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+    regexp_extract(COALESCE(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+masked AS (SELECT rid, u, regexp_replace(translate(u, '{upper}', '{upper.lower()}'), '[0-9]+', '0', 'g') AS m FROM cut),
+tokens AS (SELECT rid, CASE WHEN NOT contains(m, '://') THEN [] ELSE list_sort(list_distinct(list_concat(
+    {kind("scheme", "[regexp_extract(m, '(?s)^(.*?)://', 1)]")},
+    {kind("site", "[regexp_extract(m, '(?s)^.*?://([^/?#]*)', 1)]")},
+    {kind("host", "string_split(regexp_extract(m, '(?s)^.*?://([^/?#]*)', 1), '.')")},
+    {kind("path", "string_split(regexp_extract(m, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/')")},
+    {kind("query", "list_transform(string_split(regexp_extract(m, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1))")},
+    {kind("mark", "[regexp_extract(m, '(?s)^.*?://[^#]*(#)', 1)]")}))) END AS ts FROM masked),
+marks AS (SELECT doc_id::BIGINT AS doc, bool_or(quality = 0 OR toxic = 1) AS blocked FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+labelled AS (SELECT rid, ts, blocked FROM cut JOIN tokens USING (rid)
+    JOIN marks ON TRY_CAST(regexp_extract(path, '(?s)([0-9]+)[^0-9]*$', 1) AS BIGINT) = doc WHERE blocked IS NOT NULL),
+total AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (blocked) AS b, greatest({url_rules.MIN_URLS}, (COUNT(*) + {url_rules.ONE_IN} - 1) // {url_rules.ONE_IN})::BIGINT AS least FROM labelled),
+counted AS (SELECT token, COUNT(*) AS n_token, COUNT(*) FILTER (blocked) AS b_token
+    FROM (SELECT blocked, unnest(ts) AS token FROM labelled) t GROUP BY token HAVING COUNT(*) >= (SELECT least FROM total)),
+chosen AS (SELECT rid, blocked, list_sort(list(token)) AS items FROM (
+    SELECT rid, blocked, token FROM (SELECT rid, blocked, unnest(ts) AS token FROM labelled) t JOIN counted USING (token), total
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY abs(b_token * n - n_token * b) DESC, token) <= {url_rules.MINED_TOKENS}) q GROUP BY rid, blocked),
+masks AS (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM chosen),
+sets AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS needs, COUNT(*) AS n_urls, COUNT(*) FILTER (blocked) AS n_blocked
+    FROM masks GROUP BY 1),
+sure AS (SELECT needs, n_blocked::DOUBLE / n_urls AS confidence FROM sets
+    WHERE n_blocked >= (SELECT least FROM total) AND n_blocked::DOUBLE / n_urls >= {url_rules.MIN_CONFIDENCE}),
+minimal AS (SELECT * FROM sure a WHERE NOT EXISTS (SELECT 1 FROM sure b WHERE len(b.needs) < len(a.needs) AND list_has_all(a.needs, b.needs))),
+hits AS (SELECT rid, arg_min(array_to_string(needs, ' '), (-confidence, array_to_string(needs, ' '))) AS mined
+    FROM tokens, minimal WHERE list_has_all(ts, needs) GROUP BY rid),
+written AS (SELECT rid, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule, arg_max(verdict, len(rule_host || rule_path)) AS verdict
+    FROM cut, rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid)
+SELECT page_id, host, path, rule, COALESCE(verdict, CASE WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+    CASE WHEN rule IS NULL THEN mined END AS mined
+FROM cut LEFT JOIN written USING (rid) LEFT JOIN hits USING (rid)"""
+
+
 #: The other queries are held against brute-force versions in tests/llm.
-ORACLES = {"op3_quality_rules": _quality_sql(), "op6_license_scan": _license_sql()}
+ORACLES = {"op3_quality_rules": _quality_sql(), "op6_license_scan": _license_sql(),
+           "op13_url_rules": _url_sql()}

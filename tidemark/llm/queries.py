@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, decontam, licenses, near_dup, pii, quality, sentencepiece_codec, sharding, token_count, wavelet
+from tidemark.llm import (classifier, decontam, licenses, near_dup, pii, quality, sentencepiece_codec, sharding, spelling, token_count,
+                          url_rules, wavelet, whitening)
 from tidemark.llm.common import documents
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 
@@ -50,6 +51,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_rules.filter_urls(pages, url_rules.labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,4 +72,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_near_dup, op3_quality_rules, op4_pii, op5_token_counts, op6_license_scan,
-    op7_quality_classifier, op8_sentencepiece, op9_sharding, op10_token_files, pipeline)}
+    op7_quality_classifier, op8_sentencepiece, op9_sharding, op10_token_files, op11_whitening, op12_spelling,
+    op13_url_rules, pipeline)}
