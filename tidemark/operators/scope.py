@@ -1,9 +1,10 @@
 """Scoped read: owned sites, requested scope, partition filter, safe columns.
 
 ``fetch`` returns both tables for one scope as lazy DataFrames.  The scope
-becomes a literal ``site_id IN (...)`` and ``dt BETWEEN a AND b`` on the
-partition columns, so only the matching directories are listed and read;
-the safe-column list prunes the Parquet read schema.
+first picks files from the lake's log, by site, day and (when asked for sessions)
+the files' Bloom filters, so only files that may match are listed and read; it
+also becomes a literal ``site_id IN (...)`` and ``dt BETWEEN a AND b`` on the
+partition columns, and the safe-column list prunes the Parquet read schema.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..sources.lake import read_events, read_initial_events
+from ..sources.lake import EVENTS, INITIAL_EVENTS
+from ..sources.lakelog import Table, snapshot
 
 
 def owned_sites(sites: DataFrame, owner: str) -> DataFrame:
@@ -89,9 +91,23 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc())
 
 
-def fetch(spark: SparkSession, root: str, ids: list[str] | DataFrame, start: str, end: str
-          ) -> tuple[DataFrame, DataFrame]:
+def scoped_read(spark: SparkSession, root: str, table: Table, ids: list[str] | DataFrame, start: str, end: str,
+                session_ids: list[str] | None = None) -> DataFrame:
+    """Rows of one scope (and of some sessions, when given), opening only files whose zone maps may hold any."""
+    days = F.col("dt").between(start, end)
+    snap = snapshot(spark, root)
+    if isinstance(ids, DataFrame):
+        files = snap.files(table, where=days, keys=session_ids).join(ids.select("site_id").distinct(), "site_id", "left_semi")
+        df = table.read_files(spark, snap.root, sorted(r["path"] for r in files.select("path").collect()))
+    else:
+        df = snap.read(table, where=days & F.col("site_id").isin(list(ids)), keys=session_ids)
+    df = scope(df, ids, start, end)
+    return df if session_ids is None else df.where(F.col("session_id").isin(list(session_ids)))
+
+
+def fetch(spark: SparkSession, root: str, ids: list[str] | DataFrame, start: str, end: str,
+          session_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(initial_events, events) of one scope, safe columns only, report-layer types."""
-    ini = typed_select(safe_select(scope(read_initial_events(spark, root), ids, start, end), S.INITIAL_FIELDS))
-    ev = typed_select(safe_select(scope(read_events(spark, root), ids, start, end), S.COMMON_FIELDS))
-    return ini, ev
+    ini = scoped_read(spark, root, INITIAL_EVENTS, ids, start, end, session_ids)
+    ev = scoped_read(spark, root, EVENTS, ids, start, end, session_ids)
+    return typed_select(safe_select(ini, S.INITIAL_FIELDS)), typed_select(safe_select(ev, S.COMMON_FIELDS))

@@ -1,11 +1,14 @@
 """Batch jobs: requests -> lake (replay-safe), with the usage ledger.
 
-A batch writes four outputs, each under its ``batch_id`` partition with
-dynamic overwrite: ``initial_events``, ``events``, ``rejects`` and the usage
-ledger ``usage``.  Re-running a batch id (retry, replayed micro-batch)
-replaces exactly what it wrote before, so usage is never counted twice.
-The allowance a batch starts from is the site's grant minus the ledger of
-all earlier batches.
+A batch writes ``initial_events``, ``events``, ``rejects`` and the usage ledger ``usage`` and commits them together.
+A batch is known by its writer (one per batch job, one per stream checkpoint) and its number, so a stream that lost its
+checkpoint and counts from 0 again replaces nothing of what it wrote before.  Running a batch again replaces its rows in
+all four tables, so usage is never counted twice.
+
+The ledger is a log: one small file per batch (the tail) after one table of totals per site and writer, which
+:func:`merge_ledger` moves the tail's older batches into.  The newest batch of a writer always stays in the tail, as it
+is the only one that a stream may replay.  The allowance a batch starts from is the site's grant minus the ledger of all
+other batches but those after it of the same writer.
 """
 
 from __future__ import annotations
@@ -16,15 +19,12 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import ingest
 from ..operators.usage import meter
-from ..sinks.lake import _writer, write_lake, write_rejects
-from ..sources.lake import table_path
+from ..sinks.lake import BATCH_WRITER, write_batch
+from ..sources.lake import USAGE, read_table
+from ..sources.lakelog import exists, merge_files, snapshot
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+#: Ledger files after which a batch merges the tail into the totals.
+LEDGER_TAIL = 50
 
 
 def publish_once(spark: SparkSession, path: str, write) -> str:
@@ -33,7 +33,7 @@ def publish_once(spark: SparkSession, path: str, write) -> str:
     stores).  If another run published ``path`` first, its copy is kept and
     ours is removed."""
     import uuid
-    if _exists(spark, path):
+    if exists(spark, path):
         return path
     jvm = spark.sparkContext._jvm
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
@@ -50,16 +50,14 @@ def publish_once(spark: SparkSession, path: str, write) -> str:
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    path = table_path(root, "usage")
-    if not _exists(spark, path):
-        return spark.createDataFrame([], S.USAGE_LEDGER)
-    return spark.read.schema(S.USAGE_LEDGER).parquet(path)
+    """``batch_id, site_id, used, merged, writer``: the tail's rows, and the totals (``merged``) up to a batch."""
+    return read_table(spark, root, USAGE).select(*S.USAGE_LEDGER.names, "writer")
 
 
-def remaining_allowance(spark: SparkSession, sites: DataFrame, root: str, batch_id: int) -> DataFrame:
-    """Sites with ``request_allowance`` = grant - usage of batches before ``batch_id``."""
+def remaining_allowance(spark: SparkSession, sites: DataFrame, root: str, batch_id: int, writer: str = BATCH_WRITER) -> DataFrame:
+    """Sites with ``request_allowance`` = grant - usage of other writers' batches and this writer's before ``batch_id``."""
     used = (
-        read_ledger(spark, root).filter(F.col("batch_id") < batch_id)
+        read_ledger(spark, root).filter((F.col("writer") != writer) | (F.col("batch_id") < batch_id))
         .groupBy("site_id").agg(F.sum("used").alias("_used"))
     )
     return sites.join(used, "site_id", "left").withColumn(
@@ -67,32 +65,52 @@ def remaining_allowance(spark: SparkSession, sites: DataFrame, root: str, batch_
     ).drop("_used").select(*sites.columns)
 
 
-def write_usage(usage: DataFrame, root: str) -> None:
-    _writer(usage.select("site_id", "used", "batch_id"), ["batch_id"], None).parquet(table_path(root, "usage"))
+def is_merged(spark: SparkSession, root: str, batch_id: int, writer: str = BATCH_WRITER) -> bool:
+    """Is the batch's usage already part of the totals?"""
+    mine = (F.col("writer") == writer) & (F.col("batch_id") >= batch_id)
+    return not read_ledger(spark, root).where("merged").where(mine).isEmpty()
+
+
+def merge_ledger(spark: SparkSession, root: str) -> int | None:
+    """Move all but the newest batch of each writer from the ledger's tail into the totals."""
+    def change(rows: DataFrame) -> DataFrame:
+        newest = rows.where("NOT merged").groupBy("writer").agg(F.max("batch_id").alias("newest"))
+        rows = rows.join(newest, "writer", "left")
+        old = F.col("merged") | (F.col("batch_id") < F.col("newest"))
+        marks = rows.where(old).groupBy("writer").agg(F.max("batch_id").alias("batch_id"))
+        totals = rows.where(old).groupBy("site_id", "writer").agg(F.sum("used").alias("used")).join(marks, "writer").withColumn("merged", F.lit(True))
+        return rows.where(~old).drop("newest").unionByName(totals)
+
+    return merge_files(spark, root, USAGE, F.lit(True), change)
 
 
 def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, root: str, batch_id: int,
-                   metered: bool = True, files_per_partition: int | None = None,
-                   event_aliases: dict[str, str] | None = None) -> dict[str, int]:
+                   metered: bool = True, event_aliases: dict[str, str] | None = None,
+                   writer: str = BATCH_WRITER) -> dict[str, int]:
     """Check, enrich and write one batch of requests; returns status counts.
 
     The checked batch is persisted once and feeds all four writes (on a lost
-    executor its blocks are recomputed from the batch's input).
+    executor its blocks are recomputed from the batch's input).  A batch whose
+    usage is already merged into the ledger's totals is complete: nothing is
+    written and no count returned.
     """
     if metered:
-        sites = remaining_allowance(spark, sites, root, batch_id)
+        if is_merged(spark, root, batch_id, writer):
+            return {}
+        sites = remaining_allowance(spark, sites, root, batch_id, writer)
     # the gate reads the pre-checked batch three times: run the checks before it once
     pre = ingest.pre_check(requests, sites).persist()
     checked = ingest.finish_checks(pre, metered, sites).persist()
     try:
         initial, regular, rejects = ingest.split_checked(checked, event_aliases)
-        write_lake(initial, root, "initial_events", batch_id, files_per_partition)
-        write_lake(regular, root, "events", batch_id, files_per_partition)
-        write_rejects(rejects, root, batch_id)
+        frames = {"initial_events": initial, "events": regular, "rejects": rejects}
         if metered:
-            write_usage(meter(checked, batch_id), root)
+            frames["usage"] = meter(checked).withColumn("merged", F.lit(False))
+        write_batch(spark, root, frames, batch_id, writer)
         counts = {str(r["status"]): r["n"] for r in checked.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     finally:
         checked.unpersist()
         pre.unpersist()
+    if metered and snapshot(spark, root).files(USAGE).count() > LEDGER_TAIL:
+        merge_ledger(spark, root)
     return counts

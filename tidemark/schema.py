@@ -211,5 +211,7 @@ USAGE_LEDGER = T.StructType(
         T.StructField("batch_id", T.LongType()),
         T.StructField("site_id", S),
         T.StructField("used", T.LongType()),
+        # totals of batches up to ``batch_id`` of one writer, as the ledger's merge leaves them
+        T.StructField("merged", T.BooleanType()),
     ]
 )

@@ -1,29 +1,27 @@
-"""Writers: route events to the two lake tables, rejects, compaction, views.
+"""Writers: route events to the two lake tables, compaction, views, value rows.
 
-Writes use dynamic partition overwrite with ``batch_id`` as the last
-partition level, so re-running a batch (task retry, lost executor, replayed
-micro-batch) replaces exactly its own files and never duplicates rows.
+A batch's tables are written to folders of their own and become visible together by one commit of the lake's log
+(``sources.lakelog``).  Running a batch again (task retry, lost executor, replayed micro-batch, also after a compaction)
+replaces exactly its own rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..session import scratch_path
-from ..sources.lake import read_events, read_initial_events, table_path
+from ..sources.lake import TABLES
+from ..sources.lakelog import Commit, merge_files, replace_batch
 
-LAKE_PARTITIONS = ["site_id", "dt", "batch_id"]
-REJECT_PARTITIONS = ["reason", "dt"]
+#: The writer of batch jobs; a stream has a name of its own for each checkpoint.
+BATCH_WRITER = "batch"
 
 
-def value_rows(df: DataFrame, cols: list[str], values_col: str = "values") -> DataFrame:
+def value_rows(df: DataFrame, cols: list[str], values_col: str = "values", keep: list[str] | None = None) -> DataFrame:
     """Named columns -> one positional text array in the order of ``cols``;
-    a column the frame lacks gives null; maps become JSON text."""
+    a column the frame lacks gives null; maps become JSON text.  ``keep`` names columns that stay beside it."""
     present = set(df.columns)
     parts = []
     for c in cols:
@@ -37,7 +35,7 @@ def value_rows(df: DataFrame, cols: list[str], values_col: str = "values") -> Da
             parts.append(F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSS"))
         else:
             parts.append(F.col(c).cast("string"))
-    return df.select(F.array(*parts).alias(values_col))
+    return df.select(*(keep or []), F.array(*parts).alias(values_col))
 
 
 def route(df: DataFrame, flag: str = "is_initial_event") -> tuple[DataFrame, DataFrame]:
@@ -45,36 +43,20 @@ def route(df: DataFrame, flag: str = "is_initial_event") -> tuple[DataFrame, Dat
     return df.filter(F.col(flag)), df.filter(~F.col(flag))
 
 
-def _writer(df: DataFrame, partitions: list[str], files_per_partition: int | None):
-    if files_per_partition:
-        # one shuffle so each lake partition gets at most ``files_per_partition``
-        # files; the salt spreads a hot (site, day) over that many tasks instead of one
-        keys = [F.col(c) for c in partitions if c != "batch_id"]
-        atomic = [F.col(f.name) for f in df.schema.fields
-                  if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-        salt = F.pmod(F.xxhash64(*atomic), F.lit(files_per_partition))
-        df = df.repartition(*keys, salt)
-    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
-
-
-def write_lake(df: DataFrame, root: str, table: str, batch_id: int, files_per_partition: int | None = None) -> None:
-    """Append one batch of a lake table under ``site_id/dt/batch_id``.
+def write_batch(spark: SparkSession, root: str, frames: dict[str, DataFrame], batch_id: int,
+                writer: str = BATCH_WRITER) -> int:
+    """Write one batch (table name -> rows) and commit it; returns the lake's new version.
 
-    Replaying the same ``batch_id`` replaces its own partitions only.
+    Whatever an earlier attempt of the same batch left is replaced in the same commit, in all tables.
     """
-    fields = S.INITIAL_FIELDS if table == "initial_events" else S.COMMON_FIELDS
-    out = df.select(*[F.col(f.name).cast(f.type) for f in fields]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    _writer(out, LAKE_PARTITIONS, files_per_partition).parquet(table_path(root, table))
-
-
-def write_rejects(df: DataFrame, root: str, batch_id: int | None = None) -> None:
-    """Failed requests under ``reason/dt`` (one error area per error type and day)."""
-    out = df.select(*[F.col(f.name).cast(f.dataType) for f in S.REJECTS.fields])
-    parts = list(REJECT_PARTITIONS)
-    if batch_id is not None:
-        out = out.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        parts.append("batch_id")
-    _writer(out, parts, None).parquet(table_path(root, "rejects"))
+    commit = Commit(spark, root)
+    try:
+        for name, df in frames.items():
+            commit.write(TABLES[name], df.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")}))
+        return replace_batch(commit, list(TABLES.values()), writer, batch_id)
+    except BaseException:
+        commit.abandon()
+        raise
 
 
 def register_tables(spark: SparkSession, initial: DataFrame, events: DataFrame,
@@ -94,41 +76,12 @@ def register_tables(spark: SparkSession, initial: DataFrame, events: DataFrame,
     events.createOrReplaceTempView(names[1])
 
 
-TARGET_FILE_BYTES = 256 * 1024 * 1024
-
-
-def _partition_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
-
-
-def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str, files: int | None = None) -> int:
-    """Merge every batch of one (site_id, dt) partition into ``files`` files
-    (default: one per 256 MB of input, read from the file-system metadata).
+def compact(spark: SparkSession, root: str, table: str, site_id: str, dt: str) -> int:
+    """Write the files of one (site_id, dt) partition again as few (of the advisory partition size); returns its rows.
 
-    The partition is copied to a staging area in the shared checkpoint folder
-    first, then the partition directory is overwritten from the copy (under a
-    single ``batch_id``: the largest one merged), so a failure at any point
-    leaves either the old files or a complete staged copy.  Returns rows kept.
+    Rows keep their writer and batch, so a later replay of a batch still finds and replaces them.  A batch that commits
+    while the files are merged is kept as it is.  Readers on an earlier version go on reading the old files until
+    ``lakelog.expire`` deletes them.
     """
-    reader = read_initial_events if table == "initial_events" else read_events
-    part = reader(spark, root).where((F.col("site_id") == site_id) & (F.col("dt") == dt))
-    stage = scratch_path(spark, "compact", uuid.uuid4().hex, table)
-    fields = S.INITIAL_FIELDS if table == "initial_events" else S.COMMON_FIELDS
-    cols = [f.name for f in fields if f.name not in ("site_id", "dt")]
-    top = part.agg(F.max("batch_id")).first()[0]
-    if top is None:
-        return 0
-    target = f"{table_path(root, table)}/site_id={site_id}/dt={dt}"
-    if files is None:
-        files = max(1, -(-_partition_bytes(spark, target) // TARGET_FILE_BYTES))
-    (part.select(*cols).withColumn("batch_id", F.lit(top).cast("bigint"))
-     .repartition(files).write.mode("overwrite").parquet(stage))
-    staged = spark.read.parquet(stage)
-    n = staged.count()
-    # static overwrite: the whole (site_id, dt) directory is replaced by the staged copy
-    (staged.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("batch_id").parquet(target))
-    return n
+    where = (F.col("site_id") == site_id) & (F.col("dt") == dt)
+    return merge_files(spark, root, TABLES[table], where) or 0

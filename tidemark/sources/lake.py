@@ -1,9 +1,8 @@
-"""Readers: the two lake tables, raw requests, fixed-schema JSON, value rows.
+"""Readers: the lake's tables, raw requests, fixed-schema JSON, value rows.
 
-Every reader passes an explicit schema (no inference).  The lake layout is
-``<root>/<table>/site_id=<id>/dt=<yyyy-MM-dd>/batch_id=<n>/part-*.parquet``;
-declaring ``dt`` as a string in the schema keeps it a string partition key,
-so ``dt BETWEEN a AND b`` and ``site_id IN (...)`` are partition filters.
+Every reader passes an explicit schema (no inference).  A lake table's files are those that the commit log names
+(``lakelog``), at ``<root>/<table>/commit=<id>/site_id=<id>/dt=<yyyy-MM-dd>/part-*.parquet``; declaring ``dt`` as a string
+in the schema keeps it a string partition key, so ``dt BETWEEN a AND b`` and ``site_id IN (...)`` are partition filters.
 """
 
 from __future__ import annotations
@@ -13,29 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from .lakelog import Table, snapshot
 
-BATCH = T.StructField("batch_id", T.LongType())
+#: The lake's tables.  ``writer`` and ``batch_id`` come with every row besides these columns.
+INITIAL_EVENTS = Table("initial_events", S.INITIAL_EVENTS, ("site_id", "dt"), "timestamp", "session_id")
+EVENTS = Table("events", S.EVENTS, ("site_id", "dt"), "timestamp", "session_id")
+REJECTS = Table("rejects", S.REJECTS, ("reason", "dt"), "received_at")
+USAGE = Table("usage", T.StructType([f for f in S.USAGE_LEDGER.fields if f.name != "batch_id"]))
+TABLES = {t.name: t for t in (INITIAL_EVENTS, EVENTS, REJECTS, USAGE)}
 
 # Timestamps in JSON text keep microseconds (the writer's default keeps milliseconds).
 JSON_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def table_path(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{table}"
+def read_table(spark: SparkSession, root: str, table: Table, **scope) -> DataFrame:
+    """Live rows of one lake table.  ``scope`` (``where``, ``start``, ``end``, ``keys``) leaves out files that cannot hold
+    rows of it, by the log's zone maps; rows of the files kept are not filtered."""
+    return snapshot(spark, root).read(table, **scope)
 
 
-def _lake_schema(fields) -> T.StructType:
-    return T.StructType(list(S.struct(fields).fields) + [BATCH])
+def read_events(spark: SparkSession, root: str, **scope) -> DataFrame:
+    """The regular-event table (7 columns + writer, batch_id)."""
+    return read_table(spark, root, EVENTS, **scope)
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """The regular-event table (7 columns + batch_id)."""
-    return spark.read.schema(_lake_schema(S.COMMON_FIELDS)).parquet(table_path(root, "events"))
-
-
-def read_initial_events(spark: SparkSession, root: str) -> DataFrame:
-    """The first-event table (28 columns + batch_id)."""
-    return spark.read.schema(_lake_schema(S.INITIAL_FIELDS)).parquet(table_path(root, "initial_events"))
+def read_initial_events(spark: SparkSession, root: str, **scope) -> DataFrame:
+    """The first-event table (28 columns + writer, batch_id)."""
+    return read_table(spark, root, INITIAL_EVENTS, **scope)
 
 
 def read_requests(spark: SparkSession, path: str, streaming: bool = False,
