@@ -48,7 +48,7 @@ def test_salted_join_equals_plain(spark, monkeypatch):
     want_links = sorted(tuple(r) for r in flow.transitions(a).collect())
     monkeypatch.setattr(model, "HOT_SESSION_ROWS", 2)  # nearly every session is hot now
     a = model.build(ini, ev, seq_col=fixtures.SEQ)      # fresh model: plans built under the new threshold
-    assert model.hot_session_salts(a.sessions).count() > 0
+    assert a.hot is not None and a.hot.count() > 0
     assert "_salt" in a.rows._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in a.rows.select(*cols).collect()) == want_rows
     got_seg = apply_segments(a, seg).event_rows().select("session_id", "event_id").collect()

@@ -2,10 +2,11 @@
 
 Steps are the session's events in time order, a step equal to the one before
 it is dropped, the rest are numbered, and each step is paired with the next.
-The windows run per (session, chunk) with one ordering.  Normal sessions are
-one chunk; sessions above ``HOT_SESSION_ROWS`` rows are cut into one-second
-chunks so a single huge (bot) session is spread over many tasks, and a small
-per-chunk summary repairs the chain across chunk borders.
+Without hot sessions the windows run per session, on rows scanned and shuffled
+once.  Otherwise they run per (session, chunk): a normal session is one chunk, one
+above ``HOT_SESSION_ROWS`` rows is cut into one-second chunks, so a single huge
+(bot) session is spread over many tasks, and a small per-chunk summary repairs
+the chain across chunk borders.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.sizing import sized_broadcast
-from .model import SK, SN, Analytics
+from .model import SK, SN, Analytics, order_columns
 
 # Node marks for page views and for other events.
 PAGE_MARK = "\U0001F4C3 "
@@ -23,6 +24,9 @@ CLICK_MARK = "\U0001F5B1️ "
 # Sessions above model.HOT_SESSION_ROWS rows are cut into time chunks for the window chain.
 CHUNK_US = 1_000_000   # one second
 
+# The event columns that order rows: the others do not tell labels apart.
+EVENT_ORDER = ("timestamp", "event", "pathname")
+
 LINK_LIMIT = 200       # links fetched
 MIN_COUNT = 3          # shown links need at least this count
 DISPLAY_LIMIT = 75     # links shown
@@ -41,30 +45,36 @@ def _kept(prev: Column, cur: Column) -> Column:
     return F.coalesce(prev.isNull() | (cur != prev), F.lit(False))
 
 
+def _node_id(index: Column) -> Column:
+    # a null label is skipped by the concatenation, not propagated
+    return F.concat_ws("", F.col("base_node"), F.lit(" #"), index.cast("string"))
+
+
 def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = None,
           chunk_us: int = CHUNK_US) -> DataFrame:
     """Deduplicated, numbered steps: ``_sk, _sn, session_id, node_id, step_idx, target_node``.
 
-    Rows are windowed per (session, chunk).  A normal session is one chunk.
-    Sessions listed in ``hot`` (key columns ``_sk, _sn``; a short, bounded
-    list, always broadcast) are cut into chunks
+    Without ``hot`` rows are windowed per session, else per (session, chunk).
+    Sessions listed in ``hot`` (key columns ``_sk, _sn``) are cut into chunks
     of ``chunk_us`` microseconds of time, so a session holding a large share
     of all rows is spread over many tasks; a per-chunk summary (first and
     last label, kept count) carries the dedupe, the step numbering (a prefix
     sum) and the pairing across chunk borders.
     """
-    # time, sequence, then event and path: rows that still tie have the same label, so their order is immaterial
-    extra = ["timestamp"] + ([seq_col] if seq_col and seq_col in rows.columns else [])
-    extra += [c for c in ("event", "pathname") if c in rows.columns]
+    # rows that tie in all of these have the same label, so their order is immaterial
+    extra = [c for c in order_columns(rows.columns, seq_col) if c in (*EVENT_ORDER, seq_col)]
     order = [F.col(c) for c in extra]
     r = rows.select(SK, SN, "session_id", *extra, node_label().alias("base_node"))
-    if hot is not None:
-        flag = hot.select(SK, SN).distinct().withColumn("_hot", F.lit(True))
-        r = r.join(F.broadcast(flag), [SK, SN], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        r = r.withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us)))
-                         .otherwise(F.lit(0)).cast("bigint"))
-    else:
-        r = r.withColumn("_hot", F.lit(False)).withColumn("_chunk", F.lit(0).cast("bigint"))
+    if hot is None:
+        w = Window.partitionBy(SK, SN).orderBy(*order)
+        kept = r.withColumn("_lp", F.lag("base_node").over(w)).withColumn("_rn", F.row_number().over(w))
+        kept = kept.filter((F.col("_rn") == 1) | _kept(F.col("_lp"), F.col("base_node")))
+        kept = kept.withColumn("step_idx", F.row_number().over(w)).withColumn("node_id", _node_id(F.col("step_idx")))
+        return kept.withColumn("target_node", F.lead("node_id").over(w)).drop("_lp", "_rn")
+    flag = hot.select(SK, SN).distinct().withColumn("_hot", F.lit(True))
+    r = r.join(sized_broadcast(flag), [SK, SN], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    r = r.withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us)))
+                     .otherwise(F.lit(0)).cast("bigint"))
     part = [SK, SN, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     r = r.withColumn("_rn", F.row_number().over(w)).withColumn("_lp", F.lag("base_node").over(w))
@@ -97,22 +107,14 @@ def steps(rows: DataFrame, seq_col: str | None = None, hot: DataFrame | None = N
         "_first_kept", F.coalesce("_first_kept", F.lit(True))).withColumn("_offset", F.coalesce("_offset", F.lit(0)))
     kept = j.filter(F.when(F.col("_rn") == 1, F.col("_first_kept")).otherwise(F.col("_inner")))
     kept = kept.withColumn("step_idx", F.col("_offset") + F.row_number().over(w))
-    # a null label is skipped by the concatenation, not propagated
-    kept = kept.withColumn("node_id", F.concat_ws("", F.col("base_node"), F.lit(" #"), F.col("step_idx").cast("string")))
+    kept = kept.withColumn("node_id", _node_id(F.col("step_idx")))
     kept = kept.withColumn("target_node", F.coalesce(F.lead("node_id").over(w), F.col("_next_id")))
     return kept.drop("_rn", "_lp", "_inner", "_first_kept", "_offset", "_next_id", "_hot")
 
 
-def hot_sessions(a: Analytics, min_rows: int | None = None) -> DataFrame:
-    """Keys of the largest sessions above ``min_rows`` rows (a bounded top-k,
-    see ``model.hot_session_salts``); ``steps`` broadcasts it."""
-    from . import model
-    return model.hot_session_salts(a.sessions, min_rows).select(SK, SN)
-
-
 def transitions(a: Analytics) -> DataFrame:
     """All (source, target) pair counts of the kept sessions."""
-    st = steps(a.event_rows(), a.seq_col, hot_sessions(a))
+    st = steps(a.event_rows(), a.seq_col, a.hot)
     return (
         st.filter(F.col("target_node").isNotNull())
         .groupBy(F.col("node_id").alias("source_node"), F.col("target_node"))

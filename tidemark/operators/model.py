@@ -5,17 +5,22 @@ The view has one row per event; every visit column (everything except
 session's earliest row, and two derived columns, ``channel`` and ``source``,
 are added.
 
-Plan shape: instead of a window over each session (which puts a whole session
-in one task and cannot be split when one session is huge), the session's first
-row is found with ``min_by`` in a grouped aggregate - partial aggregation
-collapses a hot session on the map side - and joined back on ``session_id``.
-The same aggregate also yields the per-session facts the reports need, so the
-session table (one row per session) and the event view share one shuffle of the
-raw rows, and most reports run on the much smaller session table.
+Plan shape: the session table (one row per session) is one grouped aggregate:
+``min_by`` finds the first row, partial aggregation collapses a hot session on the
+map side, and most reports run on that much smaller table.  The event view asks
+first whether any session is hot (:func:`hot_sessions`: one aggregate of the
+session ids alone).  Without one, the view is a single window over the rows,
+scanned and shuffled once.  With one, a window would put the hot session into one
+task, so the first rows come from the session table by a join on the session key
+in which hot sessions are salted.
+
+Rows of a session are in a total order (:func:`order_columns`), so results do not
+depend on how the input lies or in which order it was read.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.text import is_blank
 from ..plans.sizing import sized_broadcast
+from ..session import scratch_path
 
 # Referer domains the channel rule matches, as listed in the source product.
 EMAIL_DOMAINS = ["mail.google.com", "com.google.android.gm"]
@@ -87,13 +93,18 @@ def as_view_form(df: DataFrame) -> DataFrame:
     return df
 
 
+def order_columns(columns: list[str], seq_col: str | None = None) -> list[str]:
+    """The columns that order a session's rows (D3): timestamp, a sequence column if given, event, path.  Without a
+    sequence all other columns that may differ follow, so rows that still tie are alike in all that a view shows."""
+    out = ["timestamp"] + ([seq_col] if seq_col and seq_col in columns else []) + ["event", "pathname"]
+    if len(out) < 4:
+        out += ["properties"] + [f.name for f in S.INITIAL_FIELDS]
+    return [c for c in dict.fromkeys(out) if c in columns and c != SESSION_KEY]
+
+
 def order_key(df: DataFrame, seq_col: str | None = None) -> Column:
-    """Row order inside a session: timestamp, then a sequence column if given (D3)."""
-    parts = [F.col("timestamp")]
-    if seq_col and seq_col in df.columns:
-        parts.append(F.col(seq_col))
-    parts.append(F.col("event"))
-    return F.struct(*parts)
+    """Row order inside a session as one comparable value (nulls first, as in a window)."""
+    return F.struct(*[F.col(c) for c in order_columns(df.columns, seq_col)])
 
 
 def referer_or_direct() -> Column:
@@ -148,34 +159,36 @@ def with_session_key(df: DataFrame) -> DataFrame:
     return df.withColumn(SK, F.coalesce(F.col(SESSION_KEY), F.lit(""))).withColumn(SN, F.col(SESSION_KEY).isNull())
 
 
-# A session with more rows than this is salted in joins by session key: its
-# rows are spread over ceil(n_rows / HOT_SESSION_ROWS) join keys.  At most
-# MAX_HOT_SESSIONS of them (the largest) are salted, so the broadcast list has a
-# proven size; any further ones take the exact, unsalted path.
+# A session with more rows than this is hot: no single task may hold it.  In joins by session key its rows are
+# spread over ceil(n_rows / HOT_SESSION_ROWS) salts.  A table of N rows has fewer than N / HOT_SESSION_ROWS of them.
 HOT_SESSION_ROWS = 1_000_000
-MAX_HOT_SESSIONS = 100_000
 
 
-def hot_session_salts(sessions: DataFrame, min_rows: int | None = None) -> DataFrame:
-    """``_sk, _sn, _salts`` for the largest sessions above ``min_rows`` rows.
+def hot_sessions(base: DataFrame, min_rows: int | None = None) -> DataFrame | None:
+    """``_sk, _sn, _salts`` of all sessions above ``min_rows`` rows, as a stored table; None if there is none.
 
-    At most ``MAX_HOT_SESSIONS`` rows (a global top-k), so broadcasting it is
-    safe at any data size."""
+    Runs one job over the session ids (combined map-side), and a second one only if something is hot.
+    """
     min_rows = min_rows or HOT_SESSION_ROWS
-    return (
-        sessions.filter(F.col("n_rows") > min_rows)
-        .orderBy(F.col("n_rows").desc(), SK, SN).limit(MAX_HOT_SESSIONS)
-        .select(SK, SN, F.ceil(F.col("n_rows") / F.lit(min_rows)).cast("int").alias("_salts"))
-    )
+    found = base.groupBy(SK, SN).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > min_rows).select(
+        SK, SN, F.ceil(F.col("n_rows") / F.lit(min_rows)).cast("int").alias("_salts"))
+    if found.isEmpty():
+        return None
+    spark = base.sparkSession
+    path = scratch_path(spark, "hot-sessions", uuid.uuid4().hex)
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def salted_session_join(rows: DataFrame, sess: DataFrame, how: str, hot: DataFrame, spread: list[Column]) -> DataFrame:
     """Join event rows to a one-row-per-session frame on the session key, with
     hot sessions salted: their rows get a salt from a hash of ``spread``, and
     their session row is repeated once per salt, so one huge session is
-    joined by many tasks instead of one.  ``hot`` has a proven row bound
-    (``hot_session_salts``), so it is always broadcast."""
-    h = F.broadcast(hot)
+    joined by many tasks instead of one.  ``hot`` (:func:`hot_sessions`) is a stored
+    table, broadcast when its size allows; None joins on the key alone."""
+    if hot is None:
+        return rows.join(sess, [SK, SN], how)
+    h = sized_broadcast(hot)
     r = rows.join(h, [SK, SN], "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")))
     ).drop("_salts")
@@ -204,10 +217,16 @@ class Analytics:
     static: tuple[str, ...]
     seq_col: str | None = None
     narrowed: bool = False
+    hot_of: "Analytics | None" = None
 
     def _spread(self) -> list[Column]:
         return [F.col("timestamp")] + ([F.col(self.seq_col)] if self.seq_col else [F.col("event")])
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """The hot sessions of all rows (a superset of a narrowed view's), looked for once."""
+        return self.hot_of.hot if self.hot_of is not None else hot_sessions(self.base)
+
     def event_rows(self) -> DataFrame:
         """Raw rows of the kept sessions (event columns only, no fill needed)."""
         return self._event_rows
@@ -217,31 +236,41 @@ class Analytics:
         # built once per instance, so all reports on it share one plan
         if not self.narrowed:
             return self.base
-        return salted_session_join(self.base, self.sessions.select(SK, SN), "left_semi",
-                                   hot_session_salts(self.sessions), self._spread())
+        return salted_session_join(self.base, self.sessions.select(SK, SN), "left_semi", self.hot, self._spread())
 
     @cached_property
     def rows(self) -> DataFrame:
         keep = list(S.EVENT_COLUMNS) + ([self.seq_col] if self.seq_col else [])
+        cols = list(S.EVENT_COLUMNS) + list(self.static) + ["channel", "source"] + keep[len(S.EVENT_COLUMNS):]
+        if not self.narrowed and self.hot is None:
+            filled = _first_row_fill(self.base, [c for c in self.static if c != SESSION_KEY], self.seq_col)
+            return filled.withColumn("channel", channel_expr()).withColumn("source", source_expr()).select(*cols)
         b = self.base.select(*keep, SK, SN)
         filled = self.sessions.select(SK, SN, *self.static, "channel", "source")
-        cols = list(S.EVENT_COLUMNS) + list(self.static) + ["channel", "source"] + keep[len(S.EVENT_COLUMNS):]
-        j = salted_session_join(b, filled, "inner", hot_session_salts(self.sessions), self._spread())
-        return j.select(*cols)
+        return salted_session_join(b, filled, "inner", self.hot, self._spread()).select(*cols)
 
     def with_sessions(self, sessions: DataFrame) -> "Analytics":
-        return Analytics(self.base, sessions, self.static, self.seq_col, True)
+        return Analytics(self.base, sessions, self.static, self.seq_col, True, self.hot_of or self)
 
     def persist(self) -> "Analytics":
-        return Analytics(self.base.persist(), self.sessions.persist(), self.static, self.seq_col, self.narrowed)
+        return Analytics(self.base.persist(), self.sessions.persist(), self.static, self.seq_col, self.narrowed, self.hot_of or self)
 
     def unpersist(self) -> None:
         self.base.unpersist()
         self.sessions.unpersist()
 
 
-def session_table(base: DataFrame, static: list[str], seq_col: str | None = None) -> DataFrame:
-    """One grouped pass over the raw rows: the session's first row + session facts."""
+def _first_row_fill(keyed: DataFrame, static: list[str], seq_col: str | None) -> DataFrame:
+    """Each row with the visit columns of its session's first row, by one window per session."""
+    w = Window.partitionBy(SK, SN).orderBy(*order_columns(keyed.columns, seq_col))
+    filled = keyed.withColumn("_first", F.first(F.struct(*static)).over(w))
+    return filled.select(*[F.col(f"_first.{c}").alias(c) if c in static else F.col(c) for c in keyed.columns])
+
+
+def session_table(base: DataFrame, static: list[str], seq_col: str | None = None,
+                  flags: dict[str, Column] | None = None) -> DataFrame:
+    """One grouped pass over the raw rows: the session's first row + session facts (+ for each of ``flags`` whether some
+    row meets it)."""
     ok = order_key(base, seq_col)
     page = real_page()
     vis = [c for c in static if c != SESSION_KEY]
@@ -253,6 +282,7 @@ def session_table(base: DataFrame, static: list[str], seq_col: str | None = None
         F.max("timestamp").alias("last_ts"),
         F.min_by(F.col("pathname"), F.when(page, ok)).alias("entry_page"),
         F.max_by(F.col("pathname"), F.when(page, ok)).alias("exit_page"),
+        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in (flags or {}).items()],
     )
     facts = [c for c in agg.columns if c not in (SK, SN, "_first")]
     agg = agg.select(
@@ -302,38 +332,41 @@ def fill_session(df: DataFrame, mode: str = "first_row", seq_col: str | None = N
     """Spread the visit columns of an already unioned table over each session.
 
     ``first_row`` (what the source product computes, D1): every row takes the
-    session's earliest row, nulls included; done with a grouped ``min_by`` and a
-    join, so a huge session is reduced map-side.  ``forward``: the documented
-    aim, the last non-null value up to each row; a running window per
-    session, with sessions above ``HOT_SESSION_ROWS`` rows cut into time
-    chunks (``chunk_us``) whose last non-null values are carried across chunk
-    borders, so a huge session is spread over many tasks.
+    session's earliest row, nulls included.  ``forward``: the documented aim, the last
+    non-null value up to each row.  Both are one window per session; if a session is
+    hot, the first row comes from a grouped ``min_by`` and a salted join, and the forward
+    fill cuts the session into time chunks (``chunk_us``) whose last non-null
+    values are carried across chunk borders, so a huge session is spread over many tasks.
     """
     fields = [f for f in S.safe_fields(S.INITIAL_FIELDS) if f.name in df.columns]
     static = [c for c in static_columns(fields) if c != SESSION_KEY]
+    keyed = with_session_key(df)
     if mode == "first_row":
-        ok = order_key(df, seq_col)
-        keyed = with_session_key(df)
-        first = keyed.groupBy(SK, SN).agg(F.min_by(F.struct(*static), ok).alias("_first"))
-        filled = first.select(SK, SN, "_first.*")
-        out = keyed.drop(*static).join(filled, [SK, SN], "inner")
+        hot = hot_sessions(keyed)
+        if hot is None:
+            return _first_row_fill(keyed, static, seq_col).select(*df.columns)
+        first = keyed.groupBy(SK, SN).agg(F.min_by(F.struct(*static), order_key(df, seq_col)).alias("_first"))
+        spread = [F.col(c) for c in order_columns(df.columns, seq_col)[:2]]
+        out = salted_session_join(keyed.drop(*static), first.select(SK, SN, "_first.*"), "inner", hot, spread)
         return out.select(*df.columns)
     if mode == "forward":
-        return _forward_fill(df, static, seq_col, chunk_us)
+        return _forward_fill(keyed, df.columns, static, seq_col, chunk_us)
     raise ValueError(f"unknown fill mode {mode!r}")
 
 
-def _forward_fill(df: DataFrame, static: list[str], seq_col: str | None, chunk_us: int) -> DataFrame:
-    keyed = with_session_key(df)
-    order = [F.col("timestamp")] + ([F.col(seq_col)] if seq_col and seq_col in df.columns else [])
-    order += [F.col(c) for c in ("event", "pathname") if c in df.columns]
-    hot = keyed.groupBy(SK, SN).agg(F.count(F.lit(1)).alias("n_rows"))
-    flag = hot_session_salts(hot).select(SK, SN, F.lit(True).alias("_hot"))
-    keyed = keyed.join(F.broadcast(flag), [SK, SN], "left").withColumn(
+def _forward_fill(keyed: DataFrame, columns: list[str], static: list[str], seq_col: str | None, chunk_us: int) -> DataFrame:
+    order = order_columns(columns, seq_col)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    hot = hot_sessions(keyed)
+    if hot is None:
+        w = Window.partitionBy(SK, SN).orderBy(*order).rowsBetween(*running)
+        return keyed.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in static else F.col(c) for c in columns])
+    flag = hot.select(SK, SN, F.lit(True).alias("_hot"))
+    keyed = keyed.join(sized_broadcast(flag), [SK, SN], "left").withColumn(
         "_chunk", F.when(F.col("_hot"), F.floor(F.unix_micros("timestamp") / F.lit(chunk_us))).otherwise(F.lit(0))
         .cast("bigint")).drop("_hot")
     part = [SK, SN, "_chunk"]
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*running)
     ok = F.struct(*order)
     summ = keyed.groupBy(*part).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ok)).alias(f"_l_{c}")
                                       for c in static])
@@ -342,5 +375,4 @@ def _forward_fill(df: DataFrame, static: list[str], seq_col: str | None, chunk_u
     local = keyed.select(*[c for c in keyed.columns if c not in static],
                          *[F.last(F.col(c), ignorenulls=True).over(w).alias(c) for c in static])
     j = local.join(summ, part)
-    out = j.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in static else F.col(c) for c in df.columns])
-    return out
+    return j.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in static else F.col(c) for c in columns])

@@ -9,10 +9,10 @@ event view.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .model import Analytics, real_page
+from .model import SK, SN, Analytics, real_page
 
 LIMIT = 100
 SID = "session_id"
@@ -77,11 +77,10 @@ def exit_pages(a: Analytics) -> DataFrame:
 def _share_of_sessions(a: Analytics, name: Column, hide: str | None = None) -> DataFrame:
     """One value per session (the session group), its count and % of all session groups.
 
-    The total is a scalar subquery (one row, run once), not a join.
+    The total is the sum of the counts, a scalar subquery on the same grouped rows.
     """
-    s = a.sessions.select(name.alias("name"))
-    counts = s.groupBy("name").agg(F.count(F.lit(1)).alias("value"))
-    total = s.agg(F.count(F.lit(1))).scalar()
+    counts = a.sessions.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    total = counts.agg(F.sum("value")).scalar()
     out = counts.select(
         "name", "value", (F.col("value").cast("double") / total * F.lit(100.0)).alias("percentage")
     )
@@ -108,38 +107,44 @@ def screen_sizes(a: Analytics) -> DataFrame:
     return _share_of_sessions(a, screen_size_expr(), hide="Unknown")
 
 
+def _per_name_and_session(rows: DataFrame) -> DataFrame:
+    """Rows per (``name``, session).  The condition always holds; it keeps the count in every plan that reads these pairs,
+    so all of them share one aggregate."""
+    return rows.groupBy("name", SK, SN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
+
+
+def _sessions_and_rows(pairs: DataFrame) -> DataFrame:
+    """Per name its sessions (with an id) and its rows."""
+    return pairs.groupBy("name").agg(F.count(F.when(~F.col(SN), 1)).alias("value"), F.sum("n").alias("events"))
+
+
+def _with_share(counts: DataFrame, total: Column) -> DataFrame:
+    share = F.when(total > 0, F.col("value").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0))
+    return counts.select("name", "value", "events", share.alias("percentage"))
+
+
 def events_report(a: Analytics) -> DataFrame:
     """Per event name: distinct sessions (value), rows (events), % of all sessions."""
-    r = a.event_rows()
-    counts = r.groupBy(F.coalesce(F.col("event"), F.lit("Unknown")).alias("name")).agg(
-        F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
-    )
-    total = a.sessions.agg(F.count(F.col(SID))).scalar()
-    out = counts.select(
-        "name", "value", "events",
-        F.when(total > 0, F.col("value").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias("percentage"),
-    )
-    return _top(out)
+    pairs = _per_name_and_session(a.event_rows().select(F.coalesce(F.col("event"), F.lit("Unknown")).alias("name"), SK, SN))
+    total = pairs.where(~F.col(SN)).select(SK).distinct().agg(F.count(F.lit(1))).scalar()
+    return _top(_with_share(_sessions_and_rows(pairs), total))
 
 
-def property_path(key: str) -> str:
-    """JSON path for one property key; bracket form keeps any character (D18)."""
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def property_value(key: str) -> Column:
+    """The value of one key of the row's properties as text, for any key (D18): by a JSON path where the key can stand
+    in one, else from the parsed object, in which the last of repeated keys counts."""
+    if "'" not in key and "\\" not in key:
+        return F.get_json_object(F.col("properties"), f"$['{key}']")
+    held = F.map_filter(F.from_json(F.col("properties"), "map<string,string>"), lambda k, _v: k == F.lit(key))
+    return F.try_element_at(F.map_values(held), F.lit(-1))
 
 
 def property_values(a: Analytics, key: str) -> DataFrame:
     """Values of one property key: sessions, rows, % of the sum of sessions over values (D15)."""
-    v = F.get_json_object(F.col("properties"), property_path(key))
-    e = a.event_rows().select(F.col(SID), v.alias("prop_value")).filter(F.col("prop_value").isNotNull())
-    agg = e.groupBy(F.col("prop_value").alias("name")).agg(
-        F.count_distinct(F.col(SID)).alias("value"), F.count(F.lit(1)).alias("events")
-    )
-    total = agg.agg(F.sum("value")).scalar()
-    out = agg.select(
-        "name", "value", "events",
-        F.when(total > 0, F.col("value").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias("percentage"),
-    )
-    return _top(out)
+    e = a.event_rows().select(property_value(key).alias("name"), SK, SN).filter(F.col("name").isNotNull())
+    pairs = _per_name_and_session(e)
+    total = pairs.agg(F.count(F.when(~F.col(SN), 1))).scalar()
+    return _top(_with_share(_sessions_and_rows(pairs), total))
 
 
 # Breakdown name -> function, grouped as the dashboard cards group them.
@@ -152,30 +157,90 @@ BUNDLES = {
 }
 
 
-def bundle(a: Analytics, name: str) -> dict[str, DataFrame]:
-    """All breakdowns of one card group; an unknown group name is an error."""
+def _bundle_names(name: str) -> list[str]:
     if name not in BUNDLES:
         raise KeyError(f"unknown report group {name!r}; known: {sorted(BUNDLES)}")
-    return {k: f(a) for k, f in BUNDLES[name].items()}
+    return list(BUNDLES[name])
 
 
-def long_report(a: Analytics, groups: list[str] | None = None) -> DataFrame:
-    """Every breakdown in one long table ``type, name, value, events, percentage``."""
-    parts = []
-    for g in groups or list(BUNDLES):
-        for t, df in bundle(a, g).items():
-            cols = set(df.columns)
-            parts.append(df.select(
-                F.lit(t).alias("type"), F.col("name").cast("string"), F.col("value").cast("bigint"),
-                (F.col("events").cast("bigint") if "events" in cols else F.lit(None).cast("bigint")).alias("events"),
-                (F.col("percentage") if "percentage" in cols else F.lit(None).cast("double")).alias("percentage"),
-            ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def bundle(a: Analytics, name: str) -> dict[str, DataFrame]:
+    """All breakdowns of one card group; an unknown group name is an error."""
+    return {k: BUNDLES[name][k](a) for k in _bundle_names(name)}
+
+
+# Breakdowns whose value counts session groups (those without an id too) and has a percentage of them.
+SHARES = ("browsers", "os", "screenSizes")
+LONG_COLUMNS = ["type", "name", "value", "events", "percentage"]
+
+
+def _names(cases: dict[str, tuple[Column, Column | None]]) -> Column:
+    """One (type, name) for each breakdown that counts the row."""
+    entries = [F.when(where if where is not None else F.lit(True), F.struct(F.lit(t).alias("type"), name.cast("string").alias("name")))
+               for t, (name, where) in cases.items()]
+    return F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e")
+
+
+def _session_cases() -> dict[str, tuple[Column, Column | None]]:
+    region, campaign = F.col("region"), F.col("utm_campaign")
+    return {
+        "channels": (F.col("channel"), None), "sources": (F.col("source"), None), "campaigns": (campaign, campaign.isNotNull()),
+        "entryPages": (F.col("entry_page"), F.col("entry_page").isNotNull()),
+        "exitPages": (F.col("exit_page"), F.col("exit_page").isNotNull()),
+        "countries": (F.coalesce(F.col("country"), F.lit("Unknown")), None),
+        "regions": (region, region.isNotNull() & (region != "Unknown")),
+        "browsers": (F.coalesce(F.col("browser"), F.lit("Unknown")), None),
+        "os": (F.coalesce(F.col("os"), F.lit("Unknown")), None), "screenSizes": (screen_size_expr(), None),
+    }
+
+
+def _row_cases(property_key: str | None) -> dict[str, tuple[Column, Column | None]]:
+    out = {"topPages": (F.col("pathname"), real_page()), "events": (F.coalesce(F.col("event"), F.lit("Unknown")), None)}
+    if property_key:
+        value = property_value(property_key)
+        out["properties"] = (value, value.isNotNull())
     return out
 
 
+def long_report(a: Analytics, groups: list[str] | None = None, property_key: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """Every breakdown in one long table ``type, name, value, events, percentage`` (with ``properties`` for a key).
+
+    One pass over the session table and one over the event rows: each session (row) gives one (type, name) per breakdown,
+    and one aggregate counts them all.  Totals come from the grouped rows; the first ``limit`` names of each
+    type are kept by a rank that Spark limits before its shuffle.
+    """
+    known = {t for g in groups or list(BUNDLES) for t in _bundle_names(g)} | ({"properties"} if property_key else set())
+    parts = []
+    wanted = {t: c for t, c in _session_cases().items() if t in known}
+    if wanted:
+        s = a.sessions.select(F.col(SID).isNotNull().alias("named"), _names(wanted))
+        counts = s.groupBy("e.type", "e.name").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("named"), 1)).alias("named"))
+        of_all = F.col("type").isin(*SHARES, "entryPages", "exitPages")
+        counts = counts.select("type", "name", F.when(of_all, F.col("all")).otherwise(F.col("named")).alias("value"))
+        totals = counts.groupBy("type").agg(F.sum("value").alias("total"))  # one row per breakdown
+        share = F.when(F.col("type").isin(*SHARES), F.col("value").cast("double") / F.col("total") * F.lit(100.0))
+        shown = counts.join(F.broadcast(totals), "type").where(~((F.col("type") == "screenSizes") & (F.col("name") == "Unknown")))
+        parts.append(shown.select("type", "name", "value", F.lit(None).cast("bigint").alias("events"), share.alias("percentage")))
+    wanted = {t: c for t, c in _row_cases(property_key).items() if t in known}
+    if wanted:
+        r = a.event_rows().select(SK, SN, _names(wanted)).select(SK, SN, "e.type", "e.name")
+        # pages count rows: their pairs need no session, so they collapse before the shuffle
+        r = r.withColumn(SK, F.when(F.col("type") != "topPages", F.col(SK)))
+        pairs = r.groupBy("type", "name", SK, SN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
+        counts = pairs.groupBy("type", "name").agg(F.count(F.when(~F.col(SN), 1)).alias("sessions"), F.sum("n").alias("events"))
+        totals = pairs.where(~F.col(SN) & (F.col("type") != "topPages")).groupBy("type").agg(
+            F.count(F.lit(1)).alias("pairs"), F.count_distinct(SK).alias("sessions_seen"))
+        total = F.when(F.col("type") == "events", F.col("sessions_seen")).otherwise(F.col("pairs"))
+        pages = F.col("type") == "topPages"
+        shown = counts.join(F.broadcast(totals), "type", "left")
+        parts.append(shown.select("type", "name", F.when(pages, F.col("events")).otherwise(F.col("sessions")).alias("value"),
+                                  F.when(~pages, F.col("events")).alias("events"),
+                                  F.when(~pages, F.coalesce(F.col("sessions").cast("double") / F.when(total > 0, total) * F.lit(100.0), F.lit(0.0)))
+                                  .alias("percentage")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.col("value").desc(), F.col("name").asc_nulls_first()))
+    return out.where(F.col("value") > 0).withColumn("_rank", rank).where(F.col("_rank") <= limit).select(*LONG_COLUMNS)
+
+
 def split(long_df: DataFrame, type_name: str) -> DataFrame:
     """One breakdown back out of the long table."""
     return long_df.filter(F.col("type") == type_name).drop("type")

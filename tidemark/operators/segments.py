@@ -7,10 +7,10 @@ session.  A row with a null session_id never matches once any segment is set
 Plan: a condition on a visit column (constant within a session after the
 fill) or on channel/source is checked on the session table directly; a
 condition on an event column (event, pathname, properties, timestamp) becomes
-one ``bool_or`` per segment in a single grouped aggregate over the raw rows.
-Both are keyed and partitioned alike, so intersecting them needs no shuffle,
-and the narrowed session table narrows the view through the join that builds
-it - no separate semi join of the event rows.
+one ``bool_or`` per segment in the same grouped aggregate that makes the session
+table, so segments need no second pass over the rows (only a view that was
+narrowed before gets the flags from an aggregate of their own).  The narrowed
+session table narrows the view through the join that builds it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .model import SK, SN, Analytics
-from .reports import property_path
+from .model import SK, SN, Analytics, session_table
+from .reports import property_value
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def condition(seg: Segment) -> tuple[Column, bool]:
     t = seg.type
     if t.startswith("custom:"):
         key = t.split(":", 1)[1]
-        return F.get_json_object(F.col("properties"), property_path(key)) == lit, True
+        return property_value(key) == lit, True
     if t == "screen_size":
         return F.concat(F.col("screen_width"), F.lit("x"), F.col("screen_height")) == lit, False
     if t in ("channel", "source"):
@@ -83,18 +83,22 @@ def apply_segments(a: Analytics, segments: list[Segment]) -> Analytics:
     for seg in segments:
         c, ev = condition(seg)
         (ev_conds if ev else sess_conds).append(c)
-    sessions = a.sessions.filter(~F.col(SN))
+    flags = {f"_m{i}": c for i, c in enumerate(ev_conds)}
+    if flags and not a.narrowed:
+        sessions = session_table(a.base, list(a.static), a.seq_col, flags)
+        for name in flags:
+            sessions = sessions.filter(F.col(name))
+        sessions = sessions.drop(*flags)
+    elif flags:
+        met = a.base.groupBy(SK, SN).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+        for name in flags:
+            met = met.filter(F.col(name))
+        sessions = a.sessions.join(met.select(SK, SN), [SK, SN], "left_semi")
+    else:
+        sessions = a.sessions
+    sessions = sessions.filter(~F.col(SN))
     for c in sess_conds:
         sessions = sessions.filter(c)
-    if ev_conds:
-        flags = (
-            a.base.filter(~F.col(SN))
-            .groupBy(SK, SN)
-            .agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(f"_m{i}") for i, c in enumerate(ev_conds)])
-        )
-        for i in range(len(ev_conds)):
-            flags = flags.filter(F.col(f"_m{i}"))
-        sessions = sessions.join(flags.select(SK, SN), [SK, SN], "left_semi")
     return a.with_sessions(sessions)
 
 

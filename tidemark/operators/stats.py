@@ -83,7 +83,9 @@ def stats(a: Analytics) -> DataFrame:
     one-row results).  Visitors are distinct non-null session ids; the median
     is exact (interpolating) over sessions with more than one event.
     """
-    s = a.sessions
+    # both parts need all of these columns (the condition always holds), so they read one shared session aggregate
+    s = a.sessions.select(SID, "n_rows", "n_pageviews", "first_ts", "last_ts").where(
+        (F.col("n_rows") >= F.col("n_pageviews")) & (F.col("first_ts").isNull() | (F.col("first_ts") <= F.col("last_ts"))))
     dur_us = F.when(F.col("n_rows") > 1, F.unix_micros("last_ts") - F.unix_micros("first_ts"))
     med = exact_median(s.select(dur_us.alias("_d")), "_d")
     g = s.agg(

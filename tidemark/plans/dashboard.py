@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flow, reports, stats
@@ -65,17 +65,18 @@ class Dashboard:
         return flow.flow_nodes(self.flow_links)
 
     def long(self) -> DataFrame:
-        """All breakdowns (and property values, type ``properties``) in one table."""
-        parts = []
-        for _g, tabs in self.groups.items():
-            for t, df in tabs.items():
-                parts.append(_long_part(t, df))
-        if self.property_values is not None:
-            parts.append(_long_part("properties", self.property_values))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """The whole dashboard as one table ``type, name, target, value, events, percentage, number``.
+
+        All breakdowns (with the values of the chosen property, type ``properties``) from one pass; ``stats`` rows carry
+        counts in ``value``, the bounce rate in ``percentage`` and other measures in ``number``; ``chart`` has one row per
+        time bucket, ``propertyKeys`` one per key, ``flow`` one per shown link (``name`` to ``target``).
+        """
+        out = _long_part(reports.long_report(self.seg, property_key=self.property_key))
+        out = out.unionByName(_stats_part(self.stats))
+        out = out.unionByName(_long_part(self.chart.select(F.lit("chart").alias("type"), F.col("date").alias("name"), F.col("views").alias("value"))))
+        out = out.unionByName(_long_part(self.property_keys.select(F.lit("propertyKeys").alias("type"), F.col("key").alias("name"))))
+        links = self.flow_links.select(F.lit("flow").alias("type"), F.col("source").alias("name"), "target", "value")
+        return out.unionByName(_long_part(links))
 
     def release(self) -> None:
         for a in self.cached:
@@ -83,13 +84,23 @@ class Dashboard:
         self.cached.clear()
 
 
-def _long_part(t: str, df: DataFrame) -> DataFrame:
-    cols = set(df.columns)
-    return df.select(
-        F.lit(t).alias("type"), F.col("name").cast("string"), F.col("value").cast("bigint"),
-        (F.col("events").cast("bigint") if "events" in cols else F.lit(None).cast("bigint")).alias("events"),
-        (F.col("percentage") if "percentage" in cols else F.lit(None).cast("double")).alias("percentage"),
-    )
+LONG = {"type": "string", "name": "string", "target": "string", "value": "bigint", "events": "bigint", "percentage": "double",
+        "number": "double"}
+
+
+def _long_part(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in LONG.items()])
+
+
+def _stats_part(stats_row: DataFrame) -> DataFrame:
+    """The headline numbers, one row each."""
+    def entry(name: str, column: str) -> Column:
+        parts = {c: F.lit(None) for c in ("value", "percentage", "number")} | {column: F.col(name)}
+        return F.struct(F.lit(name).alias("name"), *[x.cast(LONG[c]).alias(c) for c, x in parts.items()])
+
+    entries = [entry(n, "value") for n in ("total_visits", "total_pageviews", "unique_visitors", "bounced_sessions")]
+    entries += [entry("bounce_rate", "percentage"), entry("median_duration_seconds", "number"), entry("views_per_visit", "number")]
+    return _long_part(stats_row.select(F.inline(F.array(*entries))).withColumn("type", F.lit("stats")))
 
 
 def pick_property_key(keys: DataFrame, current: str | None) -> str | None:
