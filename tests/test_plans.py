@@ -63,11 +63,36 @@ def test_partition_filters_reach_the_scan(spark, scratch):
     assert all("2024-01-03" <= f.split("dt=")[1][:10] <= "2024-01-09" for f in files)
 
 
-def test_allowance_gate_orders_only_the_cut_second(spark):
+def test_allowance_gate_ranks_no_site_as_a_whole(spark):
     req = fixtures.requests(spark, SF001)
     c = ingest.validate(req, fixtures.sites(spark), metered=True)
     p = plan(c)
-    # the only windows: totals and running counts over the per-(site, second)
-    # histogram, and the rank inside the cut second; no window over raw requests by site
-    assert p.count("Window [") <= 5  # the histogram branch appears under both the cut and the over-site list
+    # windows by site alone run over counts (days, seconds of a day, microseconds of a second); raw requests are only
+    # ranked inside one (site, microsecond)
+    specs = re.findall(r"row_number\(\) windowspecdefinition\((site#[^)]*)\)", p)
+    assert specs and all(re.match(r"site#\d+, _us#", w) for w in specs)
     assert "Exchange hashpartitioning(request_id" not in p
+
+
+def scans(df) -> int:
+    return plan(df).count("FileScan parquet")
+
+
+def test_session_model_scans_and_shuffles_rows_once(spark, scratch):
+    ini, ev = fixtures.load(spark, SF001)
+    ini.write.parquet(scratch + "/i")
+    ev.write.parquet(scratch + "/e")
+    a = model.build(spark.read.parquet(scratch + "/i"), spark.read.parquet(scratch + "/e"), seq_col=fixtures.SEQ)
+    view, links = a.rows, flow.transitions(a)
+    assert scans(view) == 2 and plan(view).count("Exchange hashpartitioning(") == 1 and "Join" not in plan(view)
+    assert scans(links) == 2 and plan(links).count("Exchange hashpartitioning(_sk") == 1 and "Join" not in plan(links)
+    narrowed = apply_segments(a, [Segment("channel", "Social"), Segment("event", "purchase")])
+    assert scans(reports.channels(narrowed)) == 2  # the flags come with the session table
+    assert scans(narrowed.rows) == 4               # the session table, and the rows of the sessions it keeps
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # after exchange reuse each table is scanned once: for both parts of the numbers, and once per pass of the long report
+        assert scans(stats.stats(a)) == 2
+        assert scans(reports.long_report(a)) == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

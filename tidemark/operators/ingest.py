@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import agents, urls
@@ -45,21 +46,28 @@ GEO_HEADERS = {
 UTM_FIELDS = ["utm_source", "utm_campaign", "utm_medium", "utm_content", "utm_term"]
 
 
+#: Rows of one key that are not first go to this many partitions of the tie-breaking window.
+SPREAD = 1024
+
+
 def mark_initial(df: DataFrame, keys: list[str], order: list[Column], out: str = "is_initial_event") -> DataFrame:
-    """Flag the first row of each ``keys`` group by ``order`` (row_number() = 1).
+    """Flag exactly one row of each ``keys`` group: the first by ``order``, then by all other columns that can be ordered.
 
-    Done as a grouped ``min`` of the order key joined back, not as a window:
-    the aggregate is combined map-side, so a group holding a large share of all
-    rows never has to be sorted inside one task.
+    A grouped ``min`` of ``order`` (combined map-side) finds each group's first value; only the rows that have it are
+    numbered together, the others lie in partitions of their own, so a group holding a large share of all rows is never
+    sorted inside one task.
     """
     ok = F.struct(*order)
     firsts = df.groupBy(*keys).agg(F.min(ok).alias("_first_key"))
     firsts = firsts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first_key")
     d = df.withColumn("_ok", ok)
     cond = reduce(lambda a, b: a & b, [d[k].eqNullSafe(firsts[f"_k_{k}"]) for k in keys])
-    j = d.join(firsts, cond, "left")
-    return j.withColumn(out, F.coalesce(F.col("_ok") == F.col("_first_key"), F.lit(False))).drop(
-        "_ok", "_first_key", *[f"_k_{k}" for k in keys]
+    j = d.join(firsts, cond, "left").withColumn("_spread", F.when(F.col("_ok") == F.col("_first_key"), F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64("_ok"), F.lit(SPREAD))))
+    rest = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    number = F.row_number().over(Window.partitionBy(*keys, "_spread").orderBy(*rest))
+    return j.withColumn(out, (F.col("_spread") == -1) & (number == 1)).drop(
+        "_ok", "_first_key", "_spread", *[f"_k_{k}" for k in keys]
     )
 
 
@@ -118,40 +126,34 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
                    sites: DataFrame | None = None) -> DataFrame:
     """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
 
-    Skew-safe and without a shuffle of the requests by id.  One grouped
-    count per (site, second) - combined map-side - gives each site's total
-    and running count; for sites over their allowance it locates the second
-    where the allowance runs out, and ranking inside that one second gives
-    the site's cut-off key (at most one row per site).  Every request is then
-    compared with its site's cut-off through a join on ``site`` with that
-    small table.  Three passes over the requests: histogram, cut second,
-    final comparison.  The per-site tables have at most one row per site, so
-    they are broadcast when the site table itself is small (``sites``).
+    A prefix sum in levels, each over counts of the level before, so no task ever ranks a site's requests: one grouped
+    count per (site, second), combined map-side; running sums over days (one row per site and day) find the day in which
+    the allowance runs out, over the seconds of that day (86,400 at most) the second, and over the microseconds of that
+    second (a million at most) the microsecond.  Only requests of one site and one microsecond are ranked together, by id.
+    That gives each site over its allowance one cut-off key, and every request is compared with its site's key through a
+    join with that small table: three passes over the requests and no shuffle of them by id.  The per-site tables have
+    at most one row per site, so they are broadcast when the site table itself is small (``sites``).
     """
-    sec = F.floor(F.unix_micros("received_at") / F.lit(1_000_000))
-    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"))
-    hist = e.groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"), F.max("_allowance").alias("_allow"))
+    micros = F.unix_micros("received_at")
+    sec, day = F.floor(micros / F.lit(1_000_000)), F.floor(F.col("_sec") / F.lit(86_400))
+    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"), micros.alias("_us"))
+    seconds = e.groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"), F.max("_allowance").alias("_allow")).withColumn("_day", day)
+    days = seconds.groupBy("site", "_day").agg(F.sum("_c").alias("_c"), F.max("_allow").alias("_allow"))
     by_site = Window.partitionBy("site")
-    running = by_site.orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (
-        hist.withColumn("_n", F.sum("_c").over(by_site))
-        .withColumn("_allow", F.max("_allow").over(by_site))
-        .withColumn("_cum", F.sum("_c").over(running))
-        .filter(F.col("_n") > F.col("_allow"))
-        .withColumn("_before", F.col("_cum") - F.col("_c"))
-    )
-    over = hist.select("site").distinct()
-    cut = hist.filter((F.col("_before") < F.col("_allow")) & (F.col("_cum") >= F.col("_allow"))).select(
-        "site", F.col("_sec").alias("_cut_sec"), "_before", "_allow"
-    )
-    in_cut = e.drop("_allowance").join(broadcast_if_bounded_by(cut, sites), "site").filter(
-        F.col("_sec") == F.col("_cut_sec"))
-    wrank = Window.partitionBy("site").orderBy("received_at", "request_id")
-    keys = (
-        in_cut.withColumn("_rank", F.row_number().over(wrank))
-        .filter(F.col("_before") + F.col("_rank") == F.col("_allow"))
-        .select("site", F.struct("received_at", "request_id").alias("_cutoff"))
-    )
+    days = _running(days.withColumn("_n", F.sum("_c").over(by_site)).withColumn("_allow", F.max("_allow").over(by_site)), "_day")
+    days = days.filter(F.col("_n") > F.col("_allow"))
+    over = days.select("site").distinct()
+    cut_day = days.filter(_holds_cut(F.col("_allow"))).select("site", "_day", (F.col("_allow") - F.col("_before")).alias("_left"))
+    in_day = seconds.select("site", "_day", "_sec", "_c").join(broadcast_if_bounded_by(cut_day, sites), ["site", "_day"])
+    cut_sec = _running(in_day, "_sec").filter(_holds_cut(F.col("_left"))).select(
+        "site", "_sec", (F.col("_left") - F.col("_before")).alias("_left"))
+    in_sec = e.select("site", "request_id", "received_at", "_sec", "_us").join(broadcast_if_bounded_by(cut_sec, sites), ["site", "_sec"])
+    same_us = Window.partitionBy("site", "_us")
+    ranked = in_sec.withColumn("_rank", F.row_number().over(same_us.orderBy("request_id"))).withColumn("_c", F.count(F.lit(1)).over(same_us))
+    cut_us = _running(ranked.filter(F.col("_rank") == 1), "_us").filter(_holds_cut(F.col("_left"))).select(
+        "site", "_us", (F.col("_left") - F.col("_before")).alias("_at"))
+    keys = ranked.join(broadcast_if_bounded_by(cut_us, sites), ["site", "_us"]).filter(F.col("_rank") == F.col("_at")).select(
+        "site", F.struct("received_at", "request_id").alias("_cutoff"))
     limits = over.join(keys, "site", "left").withColumn("_over", F.lit(True))
     j = df.join(broadcast_if_bounded_by(limits, sites), "site", "left")
     inside = F.col("_over").isNull() | (
@@ -160,6 +162,17 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
     return j.withColumn(out, eligible & inside).drop("_over", "_cutoff")
 
 
+def _running(counts: DataFrame, by: str) -> DataFrame:
+    """``_before``: per site, the sum of ``_c`` over all rows of a smaller ``by``."""
+    w = Window.partitionBy("site").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+
+
+def _holds_cut(left: Column) -> Column:
+    """Does the row hold the last request that ``left`` more of them allow?"""
+    return (F.col("_before") < left) & (F.col("_before") + F.col("_c") >= left)
+
+
 def pre_check(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """Site lookup and the checks before the allowance gate (``_pre_status`` null = passed)."""
     return pre_gate_checks(with_site(requests, sites))

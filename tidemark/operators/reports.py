@@ -218,8 +218,10 @@ def long_report(a: Analytics, groups: list[str] | None = None, property_key: str
         counts = counts.select("type", "name", F.when(of_all, F.col("all")).otherwise(F.col("named")).alias("value"))
         totals = counts.groupBy("type").agg(F.sum("value").alias("total"))  # one row per breakdown
         share = F.when(F.col("type").isin(*SHARES), F.col("value").cast("double") / F.col("total") * F.lit(100.0))
-        shown = counts.join(F.broadcast(totals), "type").where(~((F.col("type") == "screenSizes") & (F.col("name") == "Unknown")))
-        parts.append(shown.select("type", "name", "value", F.lit(None).cast("bigint").alias("events"), share.alias("percentage")))
+        # not shown, but part of the total: as a value, since a filter would go below the aggregate and keep it from being shared
+        hidden = (F.col("type") == "screenSizes") & (F.col("name") == "Unknown")
+        shown = counts.join(F.broadcast(totals), "type")
+        parts.append(shown.select("type", "name", F.when(~hidden, F.col("value")).alias("value"), F.lit(None).cast("bigint").alias("events"), share.alias("percentage")))
     wanted = {t: c for t, c in _row_cases(property_key).items() if t in known}
     if wanted:
         r = a.event_rows().select(SK, SN, _names(wanted)).select(SK, SN, "e.type", "e.name")
@@ -227,11 +229,11 @@ def long_report(a: Analytics, groups: list[str] | None = None, property_key: str
         r = r.withColumn(SK, F.when(F.col("type") != "topPages", F.col(SK)))
         pairs = r.groupBy("type", "name", SK, SN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
         counts = pairs.groupBy("type", "name").agg(F.count(F.when(~F.col(SN), 1)).alias("sessions"), F.sum("n").alias("events"))
-        totals = pairs.where(~F.col(SN) & (F.col("type") != "topPages")).groupBy("type").agg(
-            F.count(F.lit(1)).alias("pairs"), F.count_distinct(SK).alias("sessions_seen"))
+        totals = pairs.groupBy("type").agg(F.count(F.when(~F.col(SN), 1)).alias("pairs"),
+                                           F.count_distinct(F.when(~F.col(SN), F.col(SK))).alias("sessions_seen"))
         total = F.when(F.col("type") == "events", F.col("sessions_seen")).otherwise(F.col("pairs"))
         pages = F.col("type") == "topPages"
-        shown = counts.join(F.broadcast(totals), "type", "left")
+        shown = counts.join(F.broadcast(totals), "type")
         parts.append(shown.select("type", "name", F.when(pages, F.col("events")).otherwise(F.col("sessions")).alias("value"),
                                   F.when(~pages, F.col("events")).alias("events"),
                                   F.when(~pages, F.coalesce(F.col("sessions").cast("double") / F.when(total > 0, total) * F.lit(100.0), F.lit(0.0)))
