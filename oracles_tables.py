@@ -97,7 +97,33 @@ use_sum AS (SELECT s.site_id, s.owner_sub, s.plan,
     CAST(greatest(0, CASE WHEN s.plan = 'free_tier' THEN 10000 ELSE 0 END - COALESCE(s.request_allowance, 0)) AS BIGINT)
       AS requests_used,
     (COALESCE(s.request_allowance, 0) <= 0 AND NOT COALESCE(p.is_payment_active = 1, FALSE)) AS locked
-  FROM ps_raw s LEFT JOIN pp p ON p.cognito_sub = s.owner_sub)"""
+  FROM ps_raw s LEFT JOIN pp p ON p.cognito_sub = s.owner_sub),
+up_raw AS (SELECT page_id, k, site_id, CASE WHEN page_id % 6 = 5 THEN 'owner-none' ELSE owner_sub END AS asked_by,
+    TIMESTAMP '2024-03-01 00:00:00' + to_hours((page_id * 7 + k * 5) % 11) AS updated_at,
+    CASE WHEN page_id % 4 = k THEN NULL WHEN page_id % 13 = 0 THEN '' ELSE 'Name ' || k END AS name,
+    CASE WHEN k = 2 THEN ['new.example'] END AS domains, CASE WHEN k = 1 AND page_id % 3 = 0 THEN 'free_tier' END AS plan,
+    CASE WHEN k = 0 THEN ['event'] END AS allowed_fields,
+    CASE WHEN k = 1 AND page_id % 2 = 0 THEN 'no' WHEN k = 2 AND page_id % 9 = 0 THEN 'bogus' END AS compliance_level
+  FROM ps_raw, (SELECT unnest([0, 1, 2])::BIGINT AS k) ks),
+up_ok AS (SELECT u.* FROM up_raw u JOIN ps_raw s ON s.site_id = u.site_id AND s.owner_sub = u.asked_by
+  WHERE COALESCE(u.name, 'x') <> '' AND COALESCE(u.compliance_level, 'no') <> 'bogus'
+    AND NOT (u.name IS NULL AND u.domains IS NULL AND u.plan IS NULL AND u.allowed_fields IS NULL AND u.compliance_level IS NULL)),
+up_cells AS (UNPIVOT (SELECT site_id, updated_at, name, domains[1] AS domains, plan, allowed_fields[1] AS allowed_fields, compliance_level FROM up_ok)
+  ON name, domains, plan, allowed_fields, compliance_level INTO NAME field VALUE v),
+up_last AS (SELECT site_id, field, v, updated_at FROM up_cells
+  QUALIFY row_number() OVER (PARTITION BY site_id, field ORDER BY updated_at DESC, v DESC) = 1),
+up_sites AS (SELECT s.site_id, COALESCE(n.v, s.name) AS name, COALESCE(d.v, array_to_string(s.domains, ',')) AS domains, COALESCE(p.v, s.plan) AS plan,
+    COALESCE(a.v, '') AS allowed_fields, COALESCE(c.v, s.compliance_level) AS compliance_level,
+    strftime(t.at, '%Y-%m-%d %H:%M:%S') AS updated_at
+  FROM ps_raw s LEFT JOIN up_last n ON n.site_id = s.site_id AND n.field = 'name'
+  LEFT JOIN up_last d ON d.site_id = s.site_id AND d.field = 'domains' LEFT JOIN up_last p ON p.site_id = s.site_id AND p.field = 'plan'
+  LEFT JOIN up_last a ON a.site_id = s.site_id AND a.field = 'allowed_fields'
+  LEFT JOIN up_last c ON c.site_id = s.site_id AND c.field = 'compliance_level'
+  LEFT JOIN (SELECT site_id, MAX(updated_at) AS at FROM up_last GROUP BY 1) t ON t.site_id = s.site_id),
+new_req AS (SELECT c.*, k, c.error IS NOT NULL AS bad FROM ps_clean c JOIN ps_raw USING (site_id), (SELECT unnest([0, 1]) AS k) ks WHERE k = 0 OR page_id % 10 = 0),
+new_sites AS (SELECT site_id, CASE WHEN name = '' THEN '' ELSE name || ' ' || k END AS name, CASE WHEN bad THEN 400
+    WHEN site_id IN (SELECT site_id FROM ps_raw WHERE page_id % 7 = 0) OR k < (SELECT MAX(k) FROM new_req o WHERE o.site_id = new_req.site_id) THEN 409
+    ELSE 201 END AS status, error, strftime(TIMESTAMP '2024-03-01 00:00:00' + to_hours(5 - k), '%Y-%m-%d %H:%M:%S') AS created_at FROM new_req)"""
 
 
 def pages_sql(body: str) -> str:

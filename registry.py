@@ -807,6 +807,21 @@ def q_dim_sites_clean(spark, sf):
                     "compliance_level", "plan", "request_allowance", "error")
 
 
+@reg("dim_sites_update", OT.pages_sql("SELECT * FROM up_sites"))
+def q_dim_sites_update(spark, sf):
+    s = site_ops.update_sites(fixtures.page_sites_raw(spark, sf), fixtures.page_site_updates(spark, sf))
+    return s.select("site_id", "name", F.concat_ws(",", "domains").alias("domains"), "plan", F.concat_ws(",", "allowed_fields").alias("allowed_fields"),
+                    "compliance_level", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@reg("dim_sites_create", OT.pages_sql("SELECT * FROM new_sites"))
+def q_dim_sites_create(spark, sf):
+    raw = fixtures.page_sites_raw(spark, sf)
+    taken = raw.where(F.regexp_extract("site_id", r"(\d+)$", 1).cast("bigint") % 7 == 0)
+    made = site_ops.create_sites(taken, fixtures.page_site_requests(spark, sf))
+    return made.select("site_id", "name", "status", "error", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
 @reg("use_summary", OT.pages_sql("SELECT * FROM use_sum"))
 def q_use_summary(spark, sf):
     s = usage.usage_summary(fixtures.page_sites_raw(spark, sf), fixtures.page_prefs(spark, sf))

@@ -12,7 +12,7 @@ CASES = [
     ("not a url", None, None, None, None, False),
     ("HTTPS://WWW.News.Example:443/a/b?x=1", "https", "www.news.example", "/a/b", "https://www.news.example", True),
     ("http:example.com/p", "http", "example.com", "/p", "http://example.com", True),
-    ("https://user:pw@Host.com:8080/x y", "https", "host.com", "/x y", "https://host.com:8080", True),
+    ("https://user:pw@Host.com:8080/x y", "https", "host.com", "/x%20y", "https://host.com:8080", True),
     ("mailto:a@b.com", "mailto", "", "a@b.com", "null", True),
     ("https://", None, None, None, None, False),
     ("https://bad host/", None, None, None, None, False),

@@ -31,3 +31,18 @@ def format_duration(seconds: Column) -> Column:
 def fixed(c: Column, digits: int) -> Column:
     """Number -> text with a fixed count of decimals."""
     return F.format_string(f"%.{digits}f", c)
+
+
+def is_json(c: Column) -> Column:
+    """Is the text exactly one JSON value?  The JSON parser stops after the first value, so the text is also read as the
+    one element of an array.  Repeated keys are allowed where the session's settings allow them (``session.DEFAULT_CONF``)."""
+    alone = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    return F.coalesce(F.try_parse_json(c).isNotNull() & alone, F.lit(False))
+
+
+def last_of_repeated_keys(m: Column) -> Column:
+    """A map read from JSON text, each key once with its last value."""
+    keys = F.map_keys(m)
+    once = F.array_distinct(keys)
+    last = F.transform(once, lambda k: F.element_at(F.map_values(F.map_filter(m, lambda x, _v: x == k)), -1))
+    return F.when(F.size(once) < F.size(keys), F.map_from_arrays(once, last)).otherwise(m)

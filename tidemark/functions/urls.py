@@ -6,7 +6,8 @@ accepts (D13), so the parts are taken with regular expressions:
 * scheme ``[A-Za-z][A-Za-z0-9+.-]*`` followed by ``:``; none -> invalid.
 * web schemes (http, https, ws, wss, ftp): leading slashes after the scheme are
   optional, the host is lower-cased, an empty host is invalid, an empty path is
-  ``/`` and the origin is ``scheme://host[:port]`` (default ports dropped).
+  ``/``, dot segments of the path are resolved, characters that a path may not hold
+  are percent-encoded by UTF-8 byte, and the origin is ``scheme://host[:port]`` (default ports dropped).
 * other schemes: a host exists only after ``//``; its case is kept; the origin
   is ``scheme://host`` (a browser would print ``null``; see D13).
 
@@ -25,6 +26,11 @@ DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp":
 # characters a host may not contain
 _BAD_HOST_RE = r"[\s<>^|%\[\]\\]"
 
+# characters that stand in a browser's path as they are; a run of them, or one other character
+_PATH_PIECES = r"(?s)([\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E]+|.)"
+_ODD_IN_PATH = r"(?s)[^\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E]"
+_DOT_SEGMENT = r"(?i)/(\.|%2e){1,2}(/|$)"
+
 FIELDS = ["scheme", "host", "port", "path", "query", "origin", "valid"]
 
 
@@ -33,6 +39,30 @@ _MASTER_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):([/\\]*)([^/\\?#]*)([^?#]*)(\?[^#]*)?
 _SEP = "\u0001"
 
 
+def encode_path(path: Column) -> Column:
+    """Percent-encode, byte by byte, what a browser encodes in a web URL's path (``%`` itself stays)."""
+    encoded = F.transform(F.regexp_extract_all(path, F.lit(_PATH_PIECES), F.lit(1)), lambda x: F.when(
+        x.rlike(_ODD_IN_PATH), F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")).otherwise(x))
+    return F.when(path.rlike(_ODD_IN_PATH), F.array_join(encoded, "")).otherwise(path)
+
+
+def remove_dots(path: Column) -> Column:
+    """Resolve ``.`` and ``..`` segments (``%2e`` counts as a dot) of a path that begins with a slash."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    marked = F.transform(parts, lambda x, i: F.struct(
+        x.alias("x"), F.regexp_replace(x, "(?i)%2e", ".").alias("dots"), (i == F.size(parts) - 1).alias("last")))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        base = F.when(part["dots"] == "..", up).otherwise(done)
+        # a dot segment at the end leaves an empty one, so the path still ends in a slash
+        return F.when(~part["dots"].isin(".", ".."), F.concat(done, F.array(part["x"]))).otherwise(
+            F.when(part["last"], F.concat(base, F.array(F.lit("")))).otherwise(base))
+
+    done = F.aggregate(marked, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(done, "/"))).otherwise(path)
+
+
 def with_url_parts(df: DataFrame, src: Column | str, out: str) -> DataFrame:
     """Add struct column ``out`` with ``scheme, host, port, path, query, origin, valid``.
 
@@ -53,7 +83,7 @@ def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> Data
     for out, src in sources.items():
         c = F.col(src) if isinstance(src, str) else src
         t = f"_{out}_"
-        tmp |= {t + x for x in ("g0", "g", "s", "w", "hp", "p", "q", "sl", "rh", "pt", "ok", "h")}
+        tmp |= {t + x for x in ("g0", "g", "s", "w", "hp", "p", "q", "sl", "rh", "pt", "ok", "h", "ep", "np")}
         trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
         # a text the pattern does not match comes back unchanged: one piece, not six
         stage[0][t + "g0"] = F.split(
@@ -86,13 +116,16 @@ def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> Data
         stage[4].update({
             t + "ok": g.isNotNull() & F.when(w, web_ok).otherwise(other_ok),
             t + "h": F.when(w, F.lower(rh)).otherwise(rh),
+            t + "ep": F.when(w, encode_path(F.col(t + "p"))).otherwise(F.col(t + "p")),
         })
+        ep = F.col(t + "ep")
+        stage[5][t + "np"] = F.when(w & ep.startswith("/"), remove_dots(ep)).otherwise(ep)
         ok, h = F.col(t + "ok"), F.col(t + "h")
         keep_port = (pt != "") & (pt != F.coalesce(default[s], F.lit("")))
         origin = F.when(
             w, F.concat(s, F.lit("://"), h, F.when(keep_port, F.concat(F.lit(":"), pt)).otherwise(F.lit("")))
         ).when(F.col(t + "sl"), F.concat(s, F.lit("://"), h)).otherwise(F.lit("null"))
-        path = F.when(w & (F.col(t + "p") == ""), F.lit("/")).otherwise(F.col(t + "p"))
+        path = F.when(w & (F.col(t + "np") == ""), F.lit("/")).otherwise(F.col(t + "np"))
         parts[out] = F.struct(
             F.when(ok, s).alias("scheme"),
             F.when(ok, h).alias("host"),

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import agents, urls
+from ..functions.text import is_json, last_of_repeated_keys
 from ..plans.sizing import broadcast_if_bounded_by, sized_broadcast
 
 # Status codes and reasons, in check order.
@@ -195,7 +196,7 @@ def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None
         uses = F.lit(False)
     body = F.col("body")
     no_body = body.isNull() | (body == "")
-    bad_json = F.try_parse_json(body).isNull()
+    bad_json = ~is_json(body)
     status = (
         F.when(~eligible, F.col("_pre_status"))
         .when(gate_fail, F.lit(NO_ALLOWANCE[0]))
@@ -224,7 +225,8 @@ def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> Da
     b = F.from_json(F.col("body"), S.BODY)
     out = df.withColumn("_b", b)
     fields = [f.name for f in S.BODY.fields]
-    out = out.select(*df.columns, *[F.col("_b")[f].alias(f"b_{f}") for f in fields])
+    out = out.select(*df.columns, *[(last_of_repeated_keys(F.col("_b")[f]) if f == "properties" else F.col("_b")[f]).alias(f"b_{f}")
+                                    for f in fields])
     if event_aliases:
         m = F.create_map(*[x for k, v in event_aliases.items() for x in (F.lit(k), F.lit(v))])
         out = out.withColumn("b_event", F.coalesce(m[F.col("b_event")], F.col("b_event")))

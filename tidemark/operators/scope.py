@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions.text import is_json
 from ..sources.lake import EVENTS, INITIAL_EVENTS
 from ..sources.lakelog import Table, snapshot
 
@@ -80,7 +81,7 @@ def typed_select(df: DataFrame) -> DataFrame:
             if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)):
                 c = F.to_json(c)
             else:
-                c = F.when(F.try_parse_json(c).isNotNull(), c)
+                c = F.when(is_json(c), c)
         elif f.name in ("value", "session_duration"):
             c = c.try_cast("double")
         out.append(c.alias(f.name))

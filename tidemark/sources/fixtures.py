@@ -316,3 +316,30 @@ def page_payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("payment_method_id"), F.lit(None).cast("string").alias("last4"),
     )
     return setup.unionByName(detach)
+
+
+def page_site_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three updates per page site by rule: a name, a level and a plan; some empty, bad or by another owner."""
+    p = page_sites_raw(spark, sf_dir).select("site_id", "owner_sub", F.regexp_extract("site_id", r"(\d+)$", 1).cast("bigint").alias("pid"))
+    p = p.select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("k"))
+    pid, k = F.col("pid"), F.col("k")
+    hours = (pid * 7 + k * 5) % 11
+    return p.select(
+        "site_id", F.when(pid % 6 == 5, F.lit("owner-none")).otherwise(F.col("owner_sub")).alias("owner_sub"),
+        (F.lit("2024-03-01 00:00:00").cast("timestamp") + F.make_interval(hours=hours.cast("int"))).alias("updated_at"),
+        F.when(pid % 4 == k, F.lit(None).cast("string")).when(pid % 13 == 0, F.lit("  "))
+        .otherwise(F.concat(F.lit(" Name "), k.cast("string"), F.lit(" "))).alias("name"),
+        F.when(k == 2, F.array(F.lit("HTTPS://New.example/x"), F.lit("new.example"))).alias("domains"),
+        F.when((k == 1) & (pid % 3 == 0), F.lit("free_tier")).alias("plan"),
+        F.when(k == 0, F.array(F.lit("event"))).alias("allowed_fields"),
+        F.when((k == 1) & (pid % 2 == 0), F.lit("no")).when((k == 2) & (pid % 9 == 0), F.lit("bogus")).alias("compliance_level"),
+    )
+
+
+def page_site_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation requests: one per page site, every tenth id asked for twice."""
+    p = page_sites_raw(spark, sf_dir).drop("plan", "request_allowance", "updated_at")
+    pid = F.regexp_extract("site_id", r"(\d+)$", 1).cast("bigint")
+    p = p.withColumn("_k", F.explode(F.when(pid % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    at = F.lit("2024-03-01 00:00:00").cast("timestamp") + F.make_interval(hours=(F.lit(5) - F.col("_k")).cast("int"))
+    return p.withColumn("created_at", at).withColumn("name", F.concat("name", F.when(F.trim("name") == "", "").otherwise(F.col("_k").cast("string")))).drop("_k")
