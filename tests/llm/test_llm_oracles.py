@@ -15,10 +15,14 @@ from tidemark.llm.common import documents  # noqa: E402
 from tidemark.llm.oracles import ORACLES  # noqa: E402
 
 OPERATORS = {"op3_quality_rules": quality.quality, "op6_license_scan": licenses.license_scan}
+#: All notices, whole.
+NOTICES = [wording for _, wording, _ in licenses.TEMPLATES]
 TEXTS = ["", " ", None, "\n\n", "one two three four five six seven eight nine ten", "a b c d e f a b c d e f a b c d e x y z",
          "HELLO WORLD THIS IS LOUD AND LONG ENOUGH\nplain line of words here to keep the text\nclick here\nHome | About | Contact",
          "yes!! no?? so## it** is%% all&& bad<< and>> ends\na b\na b\na  b", "Licensed under the Apache License, Version 2.0. MIT License; cc by 4.0",
          "gnu General Public LICENSE cc by cc by", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+         "%s\nLicensed under CC BY-NC 4.0.\n%s" % (NOTICES[7], NOTICES[5]), " and ".join(NOTICES), " ".join(reversed(NOTICES)), "\n".join(NOTICES) * 3,
+         *("x y " + n + " z" for n in NOTICES), *(" ".join(w for i, w in enumerate(n.split()) if i % 4 != 1) for n in NOTICES),
          "Released under the MIT license. " * 40, "ÉCOLE ÜBER ÄÖÜ ß 日本語 » › • ·", "word " * 3000, "x" * 5000]
 
 

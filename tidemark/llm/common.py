@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
-#: Entries a worker's word cache may hold; it is emptied when full, so a worker's memory is bounded.
+#: Entries a worker's word cache may hold; it is emptied when full, and longer words are not kept, so a worker's memory is bounded.
 CACHE_ENTRIES = 800_000
+LONGEST_KEPT = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +63,16 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordCache(dict):
-    """``cache[word]`` is ``fn(word)``, kept for at most :data:`CACHE_ENTRIES` words at a time."""
+    """``cache[word]`` is ``fn(word)``, kept for at most :data:`CACHE_ENTRIES` words at a time of at most
+    :data:`LONGEST_KEPT` characters each."""
 
     def __init__(self, fn, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.fn, self.entries = fn, entries
 
     def __missing__(self, word):
+        if len(word) > LONGEST_KEPT:
+            return self.fn(word)
         if len(self) >= self.entries:
             self.clear()
         value = self[word] = self.fn(word)

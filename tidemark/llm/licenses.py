@@ -1,10 +1,14 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-A template is a licence's characteristic wording.  Each template is looked up by the word of its key phrase
-that is rarest in the corpus, so every file tries every template at every place where that word stands, however
-many notices it holds.  The word's position in the template subtracted from its own gives an alignment.  It counts if
-the template's key phrase is there in full, two content words agree and enough of the template stands in place.
-The key phrase is required, so an alignment without the looked-up word could not count: nothing is missed.
+A template is a licence's characteristic wording or its full public header.  The index lists templates under their words
+of highest inverse document frequency (counted over all files), with the word's position.  A file looks up its words that are
+listed; each posting gives (template, start of the template in the file), and postings of two or more words that agree on
+the start are an alignment.  An alignment counts if the template's key phrase is there in full, two content words agree
+and enough of the template stands in place.
+
+Nothing is missed, and no file's lookups are capped: a match may lack ``1 - MIN_MATCH`` of the template's words, so of that many
+and two more of its rarest content words at least two stand in place; these are what the index lists.  (A template with
+fewer content words lists all of them, and two must agree anyway.)
 """
 
 from __future__ import annotations
@@ -48,14 +52,41 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
      "creative commons attribution"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+                   "license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable "
+                   "law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties "
+                   "or conditions of any kind either express or implied see the license for the specific language governing permissions and "
+                   "limitations under the license", "unless required by applicable law or agreed to in writing"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+                "as published by the free software foundation either version 3 of the license or at your option any later version this "
+                "program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+                "merchantability or fitness for a particular purpose see the gnu general public license for more details",
+     "either version 3 of the license"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+                "as published by the free software foundation either version 2 of the license or at your option any later version this "
+                "program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+                "merchantability or fitness for a particular purpose see the gnu general public license for more details",
+     "either version 2 of the license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+            "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+            "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do "
+            "so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies "
+            "or substantial portions of the software", "modify merge publish distribute sublicense"),
+    ("bsd-3-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+                     "disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+                     "following disclaimer in the documentation and or other materials provided with the distribution neither the name of the "
+                     "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+                     "without specific prior written permission", "neither the name of"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+                     "disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+                     "following disclaimer in the documentation and or other materials provided with the distribution",
+     "redistributions in binary form must reproduce"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived all copyright"),
 ]
 #: Words of templates that are not looked up: they say nothing about licences.
 FUNCTION_WORDS = set("a all and any are as at by can code copy file files following for form forms free has http in into is it made met "
                      "of or org person possible program public related rights sa nc nd subject that the this to under use version v "
                      "with work www you your 0 2 3 4 may not author available materials conditions law extent".split())
-#: Words that the SQL twin looks up per file; the operator looks up one per template and has no such limit.
-LOOKUPS = 8
 #: Content words of a template that must stand in place.
 AGREE = 2
 #: Share of a template's words that must stand in place.
@@ -95,26 +126,29 @@ def words_by_rarity(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _anchors(rarest: list[str], templates) -> dict[str, list[tuple[int, int]]]:
-    """Per looked-up word the (template, position in it): of each template's key phrase the rarest content word, or the
-    first word if it has none."""
+def _listed(rarest: list[str], templates) -> dict[str, list[tuple[int, int]]]:
+    """The index: word -> (template, position in it), for each template's rarest content words, as many as a match may lack
+    and :data:`AGREE` more."""
     rank = {w: i for i, w in enumerate(rarest)}
-    anchors: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, wording, phrase) in enumerate(templates):
-        parts = phrase.split()
-        k = min(range(len(parts)), key=lambda i: (rank.get(parts[i], len(rank)), i))
-        anchors.setdefault(parts[k], []).append((t, _position(wording, phrase) + k))
-    return anchors
-
-
-def _alignments(words: Column, anchors: dict[str, list[tuple[int, int]]]) -> Column:
-    """All (template, offset) at which a template's looked-up word stands in its place, as structs t, o."""
-    index = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]).alias("at"))
-                      for w, ps in sorted(anchors.items())])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*sorted(anchors)))
-    return F.flatten(F.transform(hits, lambda x: F.transform(
-        F.get(F.filter(index, lambda e: e["w"] == x["w"]), F.lit(0))["at"],
-        lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o")))))
+    index: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, wording, _) in enumerate(templates):
+        words = wording.split()
+        places = sorted((p for p, w in enumerate(words) if w in rank), key=lambda p: (rank[words[p]], p))
+        needed = next(k for k in range(len(words) + 1) if k / len(words) >= MIN_MATCH)
+        for p in places[:len(words) - needed + AGREE]:
+            index.setdefault(words[p], []).append((t, p))
+    return index
+
+
+def _alignments(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """All (template, offset) on which postings of at least :data:`AGREE` words of the file agree, as structs t, o."""
+    listed = sorted(index)
+    postings = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]) for w in listed])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(_strings(listed), w).alias("k"), i.alias("i"))), lambda x: x["k"] > 0)
+    found = F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(
+        F.get(postings, (x["k"] - 1).cast("int")), lambda a: F.struct(a["t"].alias("t"), (x["i"] - a["p"]).alias("o"))))))
+    # sorted: postings that agree lie together, so the one AGREE - 1 places on is the same
+    return let(found, lambda all_: F.array_distinct(F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + F.lit(AGREE - 1)) == x, F.lit(False)))))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: list[str] | None = None) -> DataFrame:
@@ -133,9 +167,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, rare_words: list[str] | N
         F.transform(w, lambda x, i: F.when(x.isin(*sorted({p.split()[0] for p in BASE})), F.struct(
             i.alias("i"), F.array_compact(F.array(*[F.when(_stands(w, i, p), F.lit(label)) for p, label in BASE.items()])).alias("l")))),
         lambda s: F.size(s["l"]) > 0)
-    anchors = _anchors(rarest, templates)
+    index = _listed(rarest, templates)
     df = df.select("*", F.when(F.arrays_overlap(w, _strings(sorted({p.split()[0] for p in BASE}))), starts).alias("s"),
-                   F.when(F.arrays_overlap(w, _strings(sorted(anchors))), _alignments(w, anchors)).alias("a"))
+                   F.when(F.arrays_overlap(w, _strings(sorted(index))), _alignments(w, index)).alias("a"))
     wordings = F.array(*[_strings(x.split()) for _, x, _ in templates])
     contents = F.array(*[F.array(*[F.lit(x not in FUNCTION_WORDS) for x in wording.split()]) for _, wording, _ in templates])
 

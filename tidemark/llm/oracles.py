@@ -64,12 +64,7 @@ words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM
 base_hits AS (SELECT rid, b, ANY_VALUE(label) AS label, i - k AS pos FROM words JOIN phrases USING (w)
     GROUP BY rid, b, i - k HAVING COUNT(*) = ANY_VALUE(size)),
 base_sums AS (SELECT rid, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word FROM base_hits GROUP BY rid),
-vocabulary AS (SELECT DISTINCT w FROM places WHERE content),
-held AS (SELECT DISTINCT rid, w FROM words JOIN vocabulary USING (w)),
-rarity AS (SELECT w, COUNT(*) AS n FROM held GROUP BY w),
-lookups AS (SELECT rid, w FROM held JOIN rarity USING (w)
-    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, w) <= {licenses.LOOKUPS}),
-aligned AS (SELECT rid, t, i - p AS pos FROM words JOIN lookups USING (rid, w) JOIN places USING (w) WHERE content
+aligned AS (SELECT rid, t, i - p AS pos FROM words JOIN places USING (w) WHERE content
     GROUP BY ALL HAVING COUNT(*) >= {licenses.AGREE}),
 matched AS (SELECT rid, label, COUNT(*)::DOUBLE / ANY_VALUE(size) AS share
     FROM aligned JOIN places USING (t) JOIN words USING (rid, w) JOIN templates USING (t) WHERE i = pos + p

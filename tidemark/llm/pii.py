@@ -63,7 +63,8 @@ EDGES = (r"(?<![A-Za-z0-9])(?<![0-9][.-])", r"(?![A-Za-z0-9])(?![.-][0-9])")
 RIGHT_EDGES = {"date": f"(?:{EDGES[1]}|(?=[Tt][0-9]{{2}}))"}
 #: Every value holds one of these: digits, the sign of an address, or how a secret starts.
 ANY_SIGN = f"[0-9@]|{'|'.join(PROVIDERS)}|{KEY_WORDS}"
-#: Dates from 1900-01-01 on: 200 years are 73,049 days, the product of these radices.
+#: Dates from 1900-01-01 on: 200 years are 73,049 days.  The product of these radices is two more; see ``_date``.
+DAYS = 73_049
 DATE_RADICES = (319, 229)
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d\d\.": "dd.MM.yyyy", r"^\d\d/": "MM/dd/yyyy"}
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -205,10 +206,15 @@ def _date(s: Column, key: str) -> Column:
     """A date from 1900 to 2099 that exists, in one of the formats; ``xx/yy/zzzz`` is month first, else day first."""
     def moved(day: Column, pattern: str) -> Column:
         """The permuted day in the same format; null if there is no such day."""
-        new = feistel(F.array(F.floor(day / F.lit(DATE_RADICES[1])).cast("long"), F.pmod(day, F.lit(DATE_RADICES[1])).cast("long")),
-                      F.array(*[F.lit(r).cast("long") for r in DATE_RADICES]), key, "date")
-        index = F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a * DATE_RADICES[1] + x)
-        return F.when(day.between(0, DATE_RADICES[0] * DATE_RADICES[1] - 1), F.date_format(
+        def permuted(d: Column) -> Column:
+            new = feistel(F.array(F.floor(d / F.lit(DATE_RADICES[1])).cast("long"), F.pmod(d, F.lit(DATE_RADICES[1])).cast("long")),
+                          F.array(*[F.lit(r).cast("long") for r in DATE_RADICES]), key, "date")
+            return F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a * DATE_RADICES[1] + x)
+
+        # cycle walking: permute again what falls on the numbers beyond the last day, as many times as there are such numbers
+        spare = DATE_RADICES[0] * DATE_RADICES[1] - DAYS
+        index = F.aggregate(F.sequence(F.lit(0), F.lit(spare)), day, lambda d, k: F.when((k == 0) | (d >= DAYS), permuted(d)).otherwise(d))
+        return F.when(day.between(0, DAYS - 1), F.date_format(
             F.date_add(F.lit("1900-01-01").cast("date"), index.cast("int")), pattern))
 
     forms = [*DATE_FORMATS.items(), (r"^\d\d/", "dd/MM/yyyy")]

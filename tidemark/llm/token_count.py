@@ -54,7 +54,8 @@ class TokenCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.ranks = word_bpe.load_ranks(path)
         self.bytes = word_bpe.byte_symbols()
         self.pieces = WordCache(self._piece)
@@ -66,6 +67,10 @@ class TokenCounter:
         return merged_count(symbols, self.ranks)
 
     def _chunk(self, chunk: str) -> int:
+        if not word_bpe.is_known(chunk):
+            # the library's split gives each piece as its bytes' symbols
+            pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+            return sum(merged_count([*p[:-1], p[-1] + word_bpe.END], self.ranks) for p, _ in pieces)
         if chunk.isalpha():
             return self.pieces[chunk]
         return sum(map(self.pieces.__getitem__, word_bpe.SPLIT.findall(chunk)))

@@ -30,6 +30,8 @@ END_ID = 2
 #: A shard is closed once it holds this many ids; a longer document makes a longer shard.
 SHARD_IDS = 1 << 19
 BLOCK = 512
+#: Characters of all chunks that an encoder's cache may hold; beyond them it is emptied.
+CACHE_CHARS = 1 << 26
 HEAD = struct.Struct("<4sIQQ")
 MAGIC = b"WMX1"
 
@@ -190,13 +192,19 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_bpe.END)]] = True
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0  # characters of all chunks in the cache
 
     def _learn(self, chunks: set[str]) -> None:
         """Put the chunks' ids into the cache."""
-        if len(self.chunks) + len(chunks) > CACHE_ENTRIES:
+        size = sum(map(len, chunks))
+        if len(self.chunks) + len(chunks) > CACHE_ENTRIES or len(self.pieces) > CACHE_ENTRIES or self.held + size > CACHE_CHARS:
             self.chunks.clear()
-        if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
+            self.held = 0
+        self.held += size
+        for c in [c for c in chunks if not word_bpe.is_known(c)]:
+            chunks.remove(c)
+            self.chunks[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes()
         cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
         new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
         if new:
@@ -241,8 +249,8 @@ def write_shards(docs: DataFrame, target: str, path: str | None = None, end_id:
                  shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` in ascending ``doc_id`` order into shard files under ``target``.
 
-    Rows are range-partitioned by ``doc_id`` (null first, repeated ids next to each other, their order
-    by text); a partition streams its documents into shards of about ``shard_ids`` ids, so a task
+    Rows are range-partitioned by ``doc_id`` (null first), rows of one id by a hash of the text and copies of one row by
+    where they were read, so neither a repeated id nor a repeated row lies in one task; a partition streams its documents into shards of about ``shard_ids`` ids, so a task
     holds one shard at a time.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
@@ -276,8 +284,9 @@ def write_shards(docs: DataFrame, target: str, path: str | None = None, end_id:
         if doc_ids:
             yield close()
 
-    (id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("of_text").asc(), F.col("copy").asc()]
+    rows = id_text(docs).withColumn("of_text", F.xxhash64("text")).withColumn("copy", F.spark_partition_id())
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(shards, SHARD_COLUMNS).write.parquet(target, compression="none"))
 
 

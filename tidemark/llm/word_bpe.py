@@ -5,13 +5,16 @@ never join characters across white space.  A text is therefore lower-cased and c
 white space, and each distinct chunk is split and merged once per worker (bounded cache).
 Texts where that shortcut could differ from the library (special-token strings, text that is
 not NFC, capital sigma, the separators U+001C-1F) are handed to the library's own
-normaliser as a whole.
+normaliser as a whole, and chunks with characters that this Python's Unicode tables do not know
+(the library's are others) to its normaliser and split.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from functools import cache
 
 import regex
 
@@ -30,6 +33,25 @@ def is_plain(text: str) -> bool:
     return text.isascii() or unicodedata.is_normalized("NFC", text)
 
 
+@cache
+def _unknown() -> re.Pattern:
+    """One character that Python's Unicode tables list as unassigned."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if free and start is None:
+            start = c
+        elif not free and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
+def is_known(chunk: str) -> bool:
+    """Whether Python's Unicode tables know all characters."""
+    return chunk.isascii() or not _unknown().search(chunk)
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte: a printable Latin-1 byte stands for
     itself, the others take the code points from 256 on, in order."""
