@@ -192,15 +192,17 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_bpe.END)]] = True
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.held = 0  # characters of all chunks in the cache
+        self.held = self.pieces_held = 0  # characters of all chunks, and of all pieces, in the caches
 
     def _learn(self, chunks: set[str]) -> None:
         """Put the chunks' ids into the cache."""
         size = sum(map(len, chunks))
-        if len(self.chunks) + len(chunks) > CACHE_ENTRIES or len(self.pieces) > CACHE_ENTRIES or self.held + size > CACHE_CHARS:
+        if len(self.chunks) + len(chunks) > CACHE_ENTRIES or self.held + size > CACHE_CHARS:
             self.chunks.clear()
-            self.pieces.clear()
             self.held = 0
+        if len(self.pieces) > CACHE_ENTRIES or self.pieces_held > CACHE_CHARS:
+            self.pieces.clear()
+            self.pieces_held = 0
         self.held += size
         for c in [c for c in chunks if not word_bpe.is_known(c)]:
             chunks.remove(c)
@@ -208,6 +210,7 @@ class Encoder:
         cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
         new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
         if new:
+            self.pieces_held += sum(map(len, new))
             ids = np.array(self.merger.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             blob, last = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(new):
