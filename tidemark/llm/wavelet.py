@@ -195,45 +195,42 @@ class Encoder:
         self.held = self.pieces_held = 0  # characters of all chunks, and of all pieces, in the caches
 
     def _learn(self, chunks: set[str]) -> None:
-        """Put the chunks' ids into the cache."""
-        size = sum(map(len, chunks))
-        if len(self.chunks) + len(chunks) > CACHE_ENTRIES or self.held + size > CACHE_CHARS:
+        """Put the ids of ``chunks`` into the cache, which afterwards holds all of them."""
+        new_chunks = chunks.difference(self.chunks)
+        size = sum(map(len, new_chunks))
+        if len(self.chunks) + len(new_chunks) > CACHE_ENTRIES or self.held + size > CACHE_CHARS:
             self.chunks.clear()
-            self.held = 0
+            new_chunks, size, self.held = chunks, sum(map(len, chunks)), 0
         if len(self.pieces) > CACHE_ENTRIES or self.pieces_held > CACHE_CHARS:
             self.pieces.clear()
             self.pieces_held = 0
         self.held += size
-        for c in [c for c in chunks if not word_bpe.is_known(c)]:
-            chunks.remove(c)
+        odd = {c for c in new_chunks if not c.isprintable() and not word_bpe.is_known(c)}
+        for c in odd:
             self.chunks[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes()
-        cut = [(c, (c,) if c.isalpha() else tuple(word_bpe.SPLIT.findall(c))) for c in chunks]
-        new = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+        new_chunks = new_chunks - odd
+        words = [c for c in new_chunks if c.isalpha()]
+        cut = [(c, word_bpe.SPLIT.findall(c)) for c in new_chunks.difference(words)]
+        new = list(set(words).union(*(ps for _, ps in cut)).difference(self.pieces))
         if new:
             self.pieces_held += sum(map(len, new))
             ids = np.array(self.merger.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             blob, last = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(new):
                 raise ValueError("a piece was encoded as several")
-            self.pieces.update(zip(new, [blob[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())]))
-        known = self.pieces
-        self.chunks.update((c, known[c] if ps == (c,) else b"".join([known[p] for p in ps])) for c, ps in cut)
+            ends = last.tolist()
+            self.pieces.update(zip(new, map(blob.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        known = self.pieces.__getitem__
+        self.chunks.update(zip(words, map(known, words)))
+        self.chunks.update((c, b"".join(map(known, ps))) for c, ps in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list = []
         cut = [t.lower().split() if word_bpe.is_plain(t) else None for t in texts]
-        get = self.chunks.get
-        found = [None if w is None else list(map(get, w)) for w in cut]
-        new = {c for w, ids in zip(cut, found) if ids and None in ids for c, x in zip(w, ids) if x is None}
-        if new:
-            self._learn(new)
-        for text, w, ids in zip(texts, cut, found):
-            if w is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes())
-            else:
-                out.append(b"".join([x if x is not None else get(c) for c, x in zip(w, ids)] if None in ids else ids))
-        return out
+        self._learn(set().union(*filter(None, cut)))
+        get = self.chunks.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if w is None
+                else b"".join(map(get, w)) for t, w in zip(texts, cut)]
 
 
 _encoders: dict[str, Encoder] = {}

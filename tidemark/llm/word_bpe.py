@@ -12,9 +12,7 @@ normaliser as a whole, and chunks with characters that this Python's Unicode tab
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
-from functools import cache
 
 import regex
 
@@ -33,23 +31,9 @@ def is_plain(text: str) -> bool:
     return text.isascii() or unicodedata.is_normalized("NFC", text)
 
 
-@cache
-def _unknown() -> re.Pattern:
-    """One character that Python's Unicode tables list as unassigned."""
-    ranges, start = [], None
-    for c in range(0x110001):
-        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(ranges) + "]")
-
-
 def is_known(chunk: str) -> bool:
-    """Whether Python's Unicode tables know all characters."""
-    return chunk.isascii() or not _unknown().search(chunk)
+    """Whether Python's Unicode tables know all characters (an unassigned one is not printable)."""
+    return chunk.isprintable() or all(unicodedata.category(c) != "Cn" for c in chunk)
 
 
 def byte_symbols() -> dict[int, str]:
