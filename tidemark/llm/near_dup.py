@@ -32,7 +32,9 @@ WORD = regex.compile(r"\w+")
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, ENTRIES, dtype=np.uint64)
-_word_hash = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")))
+#: A hash is soon made again, so few are kept.
+KEPT_HASHES = 200_000
+_word_hash = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")), KEPT_HASHES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CACHE_ENTRIES, id_text, texts_of, tokenizer_path
+from tidemark.llm.common import id_text, texts_of, tokenizer_path
 
 MARK = "▁"
 #: An unknown character scores this much below the lowest piece, as in the library's unigram model.
@@ -28,6 +28,8 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CELLS = 2_000_000
 #: Documents encoded at a time.
 BATCH = 2500
+#: Chunks whose ids a worker keeps; the cache is emptied when it holds more.
+KEPT_CHUNKS = 300_000
 
 
 class DoubleArray:
@@ -177,7 +179,7 @@ class PieceModel:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes; an empty text has none."""
         cut = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > KEPT_CHUNKS:
             self.cache.clear()
         get = self.cache.get
         found = [list(map(get, x)) for x in cut]
