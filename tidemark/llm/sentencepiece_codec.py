@@ -25,11 +25,11 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Cells of one Viterbi array; longer groups of chunks are cut.
-CELLS = 2_000_000
+CELLS = 1_000_000
 #: Documents encoded at a time.
-BATCH = 2500
+BATCH = 600
 #: Chunks whose ids a worker keeps; the cache is emptied when it holds more.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 150_000
 
 
 class DoubleArray:
