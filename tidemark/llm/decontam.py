@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +102,8 @@ class ItemBlock:
         get, overlap = self.vocabulary.get, int(4 * self.length.max(initial=1))
         long, group, size = max(GROUP_WORDS, 2 * overlap), [], 0
         for d, text in enumerate(texts):
-            ids = np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64)
+            words = WORD.findall(text.lower())
+            ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
             for first in range(0, max(1, len(ids) - overlap), long - overlap):
                 group.append((d, first, ids[first:first + long]))
                 size += len(group[-1][2])
