@@ -19,6 +19,7 @@ from pathlib import Path
 import oracles as O
 from tidemark.operators import model, reports, stats
 from tidemark.plans.jobs import publish_once
+from tidemark.plans.rollups import SessionRollups
 from tidemark.session import scratch_path
 from tidemark.sources import fixtures
 from tidemark.sources import lake as src
@@ -201,6 +202,33 @@ def q_agg_stats(spark, sf):
     return stats.stats(analytics(spark, sf))
 
 
+def rollups(spark, sf):
+    """Rollups of the adapted tables, in three batches that cut sessions apart, the first one run twice."""
+    root = scratch_path(spark, "rollups", _stamp(sf))
+    ini, ev = adapted(spark, sf)
+
+    def part(k):
+        return model.build(*[t.where(F.pmod(F.xxhash64(fixtures.SEQ), F.lit(3)) == k) for t in (ini, ev)], seq_col=fixtures.SEQ)
+
+    def write(tmp):
+        for k in (0, 1, 2, 0):
+            SessionRollups(spark, tmp, part(k)).add(part(k), k)
+
+    return SessionRollups(spark, publish_once(spark, root, write), model.build(ini, ev, seq_col=fixtures.SEQ))
+
+
+@reg("agg_stats_rollup", O.with_view(O.STATS))
+def q_agg_stats_rollup(spark, sf):
+    return stats.stats(rollups(spark, sf).analytics())
+
+
+@reg("agg_timeseries_rollup", O.with_view(
+    "SELECT strftime(\"timestamp\", '%Y-%m-%d %H:00') AS date, COUNT(*) AS views FROM a WHERE event = 'page_view' "
+    "GROUP BY 1 ORDER BY 1"))
+def q_agg_timeseries_rollup(spark, sf):
+    return rollups(spark, sf).timeseries("yyyy-MM-dd HH:00")
+
+
 @reg("agg_views_per_visit", O.with_view(
     "SELECT views_per_visit FROM (" + O.STATS + ") s"))
 def q_agg_views_per_visit(spark, sf):
