@@ -142,9 +142,11 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
     """Fit on at most ``rows`` labelled documents outside the held-out fold; only ``quality`` is read as a label.
 
-    The ids are chosen before any text is read: those of smallest hash (a bounded top-k)."""
+    The ids are chosen before any text is read: those of smallest hash (a bounded top-k).  Repeated labels count once; an
+    id with both labels is left out, so the order of rows does not matter."""
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-              .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+              .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     sample = (id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
               .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
