@@ -1,15 +1,18 @@
 """Plan shape checks: pruning, pushdown, no Python in the hot path, shuffle counts."""
 
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from tidemark import schema as S
 from tidemark.operators import flow, ingest, model, reports, scope, stats
 from tidemark.operators.segments import Segment, apply_segments
 from tidemark.sources import fixtures
 from tidemark.sources import lake as src
 from tidemark.plans.jobs import ingest_to_lake
+from tidemark.sources.lakelog import names_in
 
 
 def plan(df) -> str:
@@ -96,3 +99,18 @@ def test_session_model_scans_and_shuffles_rows_once(spark, scratch):
         assert scans(reports.long_report(a)) == 4
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ingest_deals_no_requests_by_site(spark, scratch, monkeypatch):
+    """A few busy sites must not gather a batch's requests in as many tasks, though allowances come from a ledger."""
+    rows = [(f"r{i}", datetime(2024, 1, 1, 0, 0, i), f"site-{i % 3}", {"referer": f"https://site-{i % 3}.example/"}, None, '{"event": "e"}') for i in range(9)]
+    seen = []
+
+    def watched(*args, _real=ingest.pre_check, **kw):
+        seen.append(_real(*args, **kw))
+        return seen[-1]
+
+    monkeypatch.setattr(ingest, "pre_check", watched)
+    assert ingest_to_lake(spark, spark.createDataFrame(rows, S.REQUEST), fixtures.sites(spark), scratch, 0) == {"202": 9}
+    assert len(seen) == 1 and "hashpartitioning(site#" not in plan(seen[0]) and not seen[0].is_cached
+    assert "_stage" not in names_in(spark, scratch) or names_in(spark, scratch + "/_stage") == []

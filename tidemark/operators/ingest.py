@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import agents, urls
 from ..functions.text import is_json, last_of_repeated_keys
-from ..plans.sizing import broadcast_if_bounded_by, sized_broadcast
+from ..plans.sizing import broadcast_if_bounded_by
 
 # Status codes and reasons, in check order.
 MISSING_SITE = (400, "Bad Request: Missing site parameter")
@@ -82,11 +82,13 @@ def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
+def with_site(df: DataFrame, sites: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Attach the site's config (domains, level, allowance) by a lookup join.
 
-    The site table is a dimension; it is broadcast only when its estimated
-    size is under the limit, else joined by a normal shuffle join.
+    The site table is a dimension; it is broadcast when its estimated size (or
+    that of ``bound``, a table with a row for each of its rows) is under the
+    limit, so requests are not dealt by site and a busy site is read by many
+    tasks.  Else it is joined by a normal shuffle join.
     """
     cfg = sites.select(
         F.col("site_id").alias("_site_id"),
@@ -94,7 +96,7 @@ def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
         F.col("compliance_level").alias("_level"),
         F.coalesce(F.col("request_allowance").cast("bigint"), F.lit(0)).alias("_allowance"),
     )
-    return df.join(sized_broadcast(cfg), df["site"] == cfg["_site_id"], "left")
+    return df.join(broadcast_if_bounded_by(cfg, bound), df["site"] == cfg["_site_id"], "left")
 
 
 def _code(pair) -> tuple[Column, Column]:
@@ -174,16 +176,16 @@ def _holds_cut(left: Column) -> Column:
     return (F.col("_before") < left) & (F.col("_before") + F.col("_c") >= left)
 
 
-def pre_check(requests: DataFrame, sites: DataFrame) -> DataFrame:
+def pre_check(requests: DataFrame, sites: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Site lookup and the checks before the allowance gate (``_pre_status`` null = passed)."""
-    return pre_gate_checks(with_site(requests, sites))
+    return pre_gate_checks(with_site(requests, sites, bound))
 
 
 def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None = None) -> DataFrame:
     """Allowance gate (metered only) and body checks -> ``status``, ``reason``, ``uses_allowance``.
 
     The gate reads ``pre`` three times (histogram, cut second, comparison);
-    a job persists ``pre`` first so the checks before it run once per row.
+    a job stores ``pre`` first so the checks before it run once per row.
     """
     df = pre
     eligible = F.col("_pre_status").isNull()

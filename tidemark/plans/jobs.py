@@ -13,6 +13,8 @@ other batches but those after it of the same writer.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ..operators import ingest
 from ..operators.usage import meter
 from ..sinks.lake import BATCH_WRITER, write_batch
 from ..sources.lake import USAGE, read_table
-from ..sources.lakelog import exists, merge_files, snapshot
+from ..sources.lakelog import STAGE, exists, merge_files, remove_folder, snapshot
 
 #: Ledger files after which a batch merges the tail into the totals.
 LEDGER_TAIL = 50
@@ -32,7 +34,6 @@ def publish_once(spark: SparkSession, path: str, write) -> str:
     ``path``, which is then renamed into place (an atomic rename on HDFS-like
     stores).  If another run published ``path`` first, its copy is kept and
     ours is removed."""
-    import uuid
     if exists(spark, path):
         return path
     jvm = spark.sparkContext._jvm
@@ -84,24 +85,34 @@ def merge_ledger(spark: SparkSession, root: str) -> int | None:
     return merge_files(spark, root, USAGE, F.lit(True), change)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it back, so that its plan ends there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, root: str, batch_id: int,
                    metered: bool = True, event_aliases: dict[str, str] | None = None,
                    writer: str = BATCH_WRITER) -> dict[str, int]:
     """Check, enrich and write one batch of requests; returns status counts.
 
-    The checked batch is persisted once and feeds all four writes (on a lost
-    executor its blocks are recomputed from the batch's input).  A batch whose
+    The checked batch is stored once beside the lake's tables and feeds all four
+    writes, so its size is bounded by disk and its tasks by Parquet splits.  The
+    site table with what is left of each allowance has a row for each site, so
+    it is broadcast whenever the site table itself is small.  A batch whose
     usage is already merged into the ledger's totals is complete: nothing is
     written and no count returned.
     """
+    bound = sites
     if metered:
         if is_merged(spark, root, batch_id, writer):
             return {}
         sites = remaining_allowance(spark, sites, root, batch_id, writer)
-    # the gate reads the pre-checked batch three times: run the checks before it once
-    pre = ingest.pre_check(requests, sites).persist()
-    checked = ingest.finish_checks(pre, metered, sites).persist()
+    stage = f"{root.rstrip('/')}/{STAGE}/{uuid.uuid4().hex}"
     try:
+        # the gate reads the pre-checked batch three times: run the checks before it once
+        pre = _stored(ingest.pre_check(requests, sites, bound), f"{stage}/pre")
+        checked = _stored(ingest.finish_checks(pre, metered, bound), f"{stage}/checked")
         initial, regular, rejects = ingest.split_checked(checked, event_aliases)
         frames = {"initial_events": initial, "events": regular, "rejects": rejects}
         if metered:
@@ -109,8 +120,7 @@ def ingest_to_lake(spark: SparkSession, requests: DataFrame, sites: DataFrame, r
         write_batch(spark, root, frames, batch_id, writer)
         counts = {str(r["status"]): r["n"] for r in checked.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     finally:
-        checked.unpersist()
-        pre.unpersist()
+        remove_folder(spark, stage)
     if metered and snapshot(spark, root).files(USAGE).count() > LEDGER_TAIL:
         merge_ledger(spark, root)
     return counts

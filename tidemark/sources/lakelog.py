@@ -32,6 +32,8 @@ BITMAP_BITS = 32_768
 BITS_PER_KEY = 10
 #: Versions between two checkpoints of the log.
 CHECKPOINT_EVERY = 20
+#: Folder under a lake's root where batches at work keep rows between their steps.
+STAGE = "_stage"
 
 #: Columns every data file carries: the writer's epoch and its batch.
 WRITER = T.StructField("writer", T.StringType())
@@ -361,7 +363,7 @@ def merge_files(spark: SparkSession, root: str, table: Table, where: Column, cha
 def expire(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Delete data files that no kept version names, and log entries before the oldest kept checkpoint.
 
-    Keeps the last ``keep`` checkpoints and all later versions.  Commit folders of attempts that failed go as well, so run it while
+    Keeps the last ``keep`` checkpoints and all later versions.  Commit and stage folders of attempts that failed go as well, so run it while
     no writer is at work, or keep folders younger than your longest batch.  Returns the number of files removed.
     """
     checkpoint(spark, root)
@@ -388,4 +390,5 @@ def expire(spark: SparkSession, root: str, keep: int = 1) -> int:
     for n in names:
         if (n.isdigit() and int(n) <= oldest) or (n.endswith(".checkpoint") and int(n.split(".")[0]) < oldest) or n.startswith("."):
             remove_folder(spark, f"{root}/_log/{n}")
+    remove_folder(spark, f"{root}/{STAGE}")
     return removed
