@@ -1,16 +1,15 @@
-"""URL filter: written host and path rules, and association rules that FP-growth mines from labelled URLs.
+"""URL filter: written host and path rules, and association rules mined from labelled URLs.
 
 1. *Tokens.*  A URL is the set of its scheme, host labels, whole host, path parts, query keys and a mark for a fragment;
    A-Z lower-cased, a run of digits written ``0``, so page numbers do not tell URLs apart.
-2. *Mining.*  Each labelled URL gives a transaction: its label and the :data:`MINED_TOKENS` tokens whose share of
-   blocked URLs is furthest from the overall one, measured over all labelled URLs (leverage; ties by token).  That bounds
-   what one URL adds to 2^:data:`MINED_TOKENS` combinations.  Spark's FP-growth finds all combinations with the least
-   support; rules *tokens -> block* with the least confidence stay.  A rule that holds all tokens of another one adds
-   nothing and goes.
+2. *Mining.*  All minimal rules *tokens -> block* with the least support and the least confidence, over all tokens of
+   every labelled URL, by sets of growing size (Apriori).  A set grows only while enough blocked URLs hold it, it is no rule
+   itself (a rule that holds all tokens of another one adds nothing), and no part of it is held by the same URLs (that part
+   would be the rule).  Candidates whose parts all remain are counted in the distinct token sets that hold their rarest token.
 3. *Matching.*  Rules are listed under their rarest token.  The distinct token sets of all URLs look their tokens up in
    that index and check the rest of each rule found.  A URL that no written rule fits is blocked if a mined rule fits, else allowed.
 
-Only DataFrame functions and Spark's own FP-growth; no Python code runs in the tasks.
+Only DataFrame functions; no Python code runs in the tasks.
 
 Defined cases.  A null URL or one without ``://`` has empty host and path and no tokens: no rule fits it, it is allowed.
 A URL without a path fits no written rule, as each asks for a path.  Labels: URLs that come with several labels keep each; null labels are
@@ -21,7 +20,9 @@ heavier than a rare one.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,11 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Mining: a rule holds in at least one of so many labelled URLs, and in at least so many URLs; least confidence; tokens of one URL.
+#: Mining: a rule holds in at least one of so many labelled URLs, and in at least so many URLs; least confidence.
 ONE_IN = 500
 MIN_URLS = 20
 MIN_CONFIDENCE = 0.8
+#: The SQL twin lists all subsets of so many tokens of a URL; :func:`mine` has no such limit.
 MINED_TOKENS = 10
 #: The label's place among the tokens; no token looks like it, as each has a kind before a colon.
 BLOCK = "block"
@@ -77,9 +79,8 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.contains(u, F.lit("://")), F.array_sort(F.array_distinct(tokens))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, one_in: int = ONE_IN, min_urls: int = MIN_URLS,
-         min_confidence: float = MIN_CONFIDENCE, mined_tokens: int = MINED_TOKENS) -> DataFrame:
-    """``tokens array<string>, anchor, n_urls, confidence``: minimal rules *tokens -> block* of ``labelled``
+def mine(labelled: DataFrame, one_in: int = ONE_IN, min_urls: int = MIN_URLS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``tokens array<string>, anchor, n_urls, confidence``: all minimal rules *tokens -> block* of ``labelled``
     (``url, blocked boolean``)."""
     nothing = labelled.sparkSession.range(0).selectExpr("CAST(NULL AS ARRAY<STRING>) AS tokens", "'' AS anchor", "id AS n_urls", "0D AS confidence")
     rows = stored(labelled.where(F.col("blocked").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), F.col("blocked").cast("boolean"))
@@ -88,45 +89,51 @@ def mine(labelled: DataFrame, one_in: int = ONE_IN, min_urls: int = MIN_URLS,
     if not blocked:
         return nothing
     least = max(min_urls, -(-total // one_in))
-    counts = stored(rows.select(F.explode("tokens").alias("token"), "blocked", "n").groupBy("token").agg(
-        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("blocked"), F.col("n"))), F.lit(0)).alias("n_blocked"))
-        .where(F.col("n") >= least), "tokens")
-    # how far a token's blocked URLs are from what its number lets expect, in whole numbers
-    away = counts.select("token", F.abs(F.col("n_blocked") * total - F.col("n") * blocked).alias("away"))
-    sets = rows.select("tokens").distinct()
-    ranked = (sets.select("tokens", F.explode("tokens").alias("token")).join(away, "token").groupBy("tokens")
-              .agg(F.array_sort(F.collect_list(F.struct((-F.col("away")).alias("rank"), "token"))).alias("best")))
-    items = ranked.select("tokens", F.slice(F.col("best.token"), 1, mined_tokens).alias("items"))
-    transactions = rows.join(items, "tokens").select(
-        F.when(F.col("blocked"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"),
-        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("items")
-    # FP-growth divides by the transactions it is given, so the least number is given as a share of those
-    given = transactions.count()
-    if not given:
-        return nothing
-    fitted = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / given, minConfidence=min_confidence).fit(transactions)
-    sets_found = stored(fitted.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    with_label = sets_found.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(
-        F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("n_blocked"))
-    rules = (with_label.join(sets_found.select(F.col("items").alias("tokens"), F.col("freq").alias("n_urls")), "tokens")
-             .withColumn("confidence", F.col("n_blocked") / F.col("n_urls")).where(F.col("confidence") >= min_confidence))
-    rules = stored(rules.select("tokens", "n_urls", "confidence"), "rules")
-    # every part of a rule that leaves out some tokens: at most 2^mined_tokens of them, as rules are subsets of transactions
-    parts = rules.select("tokens", F.explode(_proper_parts(F.col("tokens"), mined_tokens)).alias("part"))
-    covered = parts.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
-    minimal = rules.join(covered, "tokens", "left_anti").select("*", F.explode("tokens").alias("token"))
-    return minimal.join(counts.select("token", F.col("n").alias("n_token")), "token").groupBy("tokens").agg(
-        F.min(F.struct("n_token", "token"))["token"].alias("anchor"), F.first("n_urls").alias("n_urls"), F.first("confidence").alias("confidence"))
-
-
-def _proper_parts(tokens: Column, most: int) -> Column:
-    """All non-empty proper subsets of a sorted array of at most ``most`` tokens."""
-    def chosen(mask: Column) -> Column:
-        return F.filter(tokens, lambda x, i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
-
-    last = (F.pow(F.lit(2), F.size(tokens)).cast("int") - 2)
-    masks = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(masks, chosen)
+    n_blocked = F.coalesce(F.sum(F.when(F.col("blocked"), F.col("n"))), F.lit(0)).alias("n_blocked")
+    totals = F.sum("n").alias("n_urls"), n_blocked
+    singles = rows.select(F.explode("tokens").alias("token"), "blocked", "n").groupBy("token").agg(*totals)
+    level = singles.select(F.array("token").alias("tokens"), F.struct("n_urls", "token").alias("anchor"), "n_urls", "n_blocked")
+    sure = F.col("n_blocked") / F.col("n_urls") >= min_confidence
+    found = []
+    for size in itertools.count(1):
+        level = stored(level.where(F.col("n_blocked") >= least), "token_sets")
+        found.append(level.where(sure))
+        growing = level.where(~sure)
+        if size == 1:
+            known = growing.select(F.col("anchor.token").alias("token"))
+            kept = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "blocked", "n", F.explode("tokens").alias("token"))
+            rows = stored(kept.join(known, "token", "left_semi").groupBy("id", "blocked", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+                          .groupBy("tokens", "blocked").agg(F.sum("n").alias("n")), "labelled")
+            pairs = F.flatten(F.transform("tokens", lambda x, i: F.transform(
+                F.slice(F.col("tokens"), i + 2, F.size("tokens")), lambda y: F.array(x, y))))
+            counted = _with_parts(rows.select(F.explode(pairs).alias("tokens"), "blocked", "n").groupBy("tokens").agg(*totals), growing)
+        else:
+            candidates = stored(_with_parts(_grown(growing, size), growing), "candidates")
+            if candidates.isEmpty():
+                break
+            needs = candidates.select(F.col("tokens").alias("needs"), F.col("anchor.token").alias("token"))
+            held = (rows.select("tokens", "blocked", "n", F.explode("tokens").alias("token")).join(needs, "token")
+                    .where(F.size(F.array_except("needs", "tokens")) == 0))
+            counted = held.groupBy(F.col("needs").alias("tokens")).agg(*totals).join(candidates, "tokens")
+        # as many URLs as a part of it has: the same URLs, so neither it nor a larger set is a minimal rule
+        level = counted.where(F.col("n_urls") < F.col("fewest")).select("tokens", "anchor", "n_urls", "n_blocked")
+    return reduce(DataFrame.unionByName, found).select(
+        "tokens", F.col("anchor.token").alias("anchor"), "n_urls", (F.col("n_blocked") / F.col("n_urls")).alias("confidence"))
+
+
+def _grown(sets: DataFrame, size: int) -> DataFrame:
+    """Sets of one token more: two sorted sets that differ only in their last token."""
+    cut = sets.select(F.slice("tokens", 1, size - 1).alias("head"), F.element_at("tokens", -1).alias("last"))
+    other = cut.select("head", F.col("last").alias("next"))
+    return cut.join(other, "head").where(F.col("last") < F.col("next")).select(F.concat("head", F.array("last", "next")).alias("tokens"))
+
+
+def _with_parts(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """The sets whose parts of one token less are all known, with their rarest token and the ``fewest`` URLs of a part."""
+    part = F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("part")
+    parts = sets.select("tokens", part).join(known.select(F.col("tokens").alias("part"), "anchor", "n_urls"), "part")
+    whole = parts.groupBy("tokens").agg(F.count(F.lit(1)).alias("n_parts"), F.min("anchor").alias("anchor"), F.min("n_urls").alias("fewest"))
+    return sets.join(whole.where(F.col("n_parts") == F.size("tokens")).drop("n_parts"), "tokens")
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
