@@ -220,3 +220,26 @@ def test_publish_once_keeps_first_copy(spark, scratch):
     publish_once(spark, target, lambda tmp: spark.range(10).write.parquet(tmp))  # already there: not rebuilt
     assert spark.read.parquet(target).count() == 3
     assert not glob.glob(target.replace("file:", "") + ".tmp-*")
+
+
+def test_agent_rules_equal_plain_matching(spark):
+    """The first rule whose pattern alone matches decides, whatever plain texts guard the patterns."""
+    import re
+
+    from tidemark.functions import agents
+
+    odd = ["Edge/1", "EdgiOS/2.0 Version/1 Mobile Safari", "Opera/9.8", "OPR/7", "x Trident/7.0; rv:11.0", "MSIE 9.0", "bingbot/2", "YandexBot/3.0", "Tizen 2.4 TV",
+           "SMART-TV", "Web0S Linux", "BRAVIA", "Android", "Android 9; SM-T510 Build", "Pixel 7 Pro Build/1", "Mi 9T)", "Redmi Note 8; x", "PlayStation 5", "Xbox One", "Xbox",
+           "Nintendo Switch", "iPod; CPU OS 9_1", "Windows Phone OS 8.1", "Windows Phone 10", "CrOS x86_64 1.2", "Macintosh; Mac OS X", "Macintosh", "Chrome/", "; wv) x Chrome/5",
+           "Android 1 Chrome/7 Mobile", "FxiOS/3", "UCBrowser/1 YaBrowser/2", "HeadlessChrome/9", "SamsungBrowser/4", "Ubuntu", "Linux", "", "none"]
+    uas = odd + [f"{a} {b}" for a in odd[::3] for b in odd[1::4]]
+    df = spark.createDataFrame([(u,) for u in uas], "u string")
+    tables = {"b": agents.BROWSER_RULES, "o": agents.OS_RULES, "d": agents.DEVICE_RULES}
+    frame = df.select("u", *[agents._rule_index(df["u"], t).alias(k) for k, t in tables.items()])
+    for r in frame.collect():
+        for k, t in tables.items():
+            want = next((i for i, rule in enumerate(t, 1) if re.search(rule[0], r["u"])), 0)
+            assert r[k] == want, (r["u"], k)
+    # no regex without a plain text before it
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= plan.count("Contains(")

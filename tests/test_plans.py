@@ -77,6 +77,21 @@ def test_allowance_gate_ranks_no_site_as_a_whole(spark):
     assert "Exchange hashpartitioning(request_id" not in p
 
 
+def test_checks_run_on_all_requests_twice(spark, scratch):
+    """Once for the allowance gate's counts, shared by its levels, and once for the statuses."""
+    fixtures.requests(spark, SF001).write.parquet(scratch)
+    c = ingest.validate(src.read_requests(spark, scratch, fmt="parquet"), fixtures.sites(spark), metered=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(c)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # counts, statuses, and twice the rows of the cut seconds
+    assert p.count("FileScan parquet") == 4 and "ReusedExchange" in p
+    # the check reads a referer's host only: its path is not cleaned
+    assert "encode(" not in p
+
+
 def scans(df) -> int:
     return plan(df).count("FileScan parquet")
 

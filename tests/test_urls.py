@@ -39,3 +39,10 @@ def test_query_param(spark):
                  urls.query_param(F.col("p")["query"], "x").alias("x"),
                  urls.query_param(F.col("p")["query"], "utm_term").alias("t")).first()
     assert (r["s"], r["m"], r["x"], r["t"]) == ("news letter", "e mail", None, None)
+
+
+def test_asked_parts_only(spark):
+    df = spark.createDataFrame([(c[0],) for c in CASES], "u string")
+    some = urls.with_many_url_parts(df, {"p": "u", "r": "u"}, {"r": ["path", "valid"]}).select("p.*", "r").collect()
+    assert all(tuple(x["r"]) == (x["path"], x["valid"]) and x["r"].asDict().keys() == {"path", "valid"} for x in some)
+    assert "encode(" not in urls.with_url_parts(df, "u", "p", ["host", "valid"])._jdf.queryExecution().optimizedPlan().toString()

@@ -60,22 +60,26 @@ def remove_dots(path: Column) -> Column:
             F.when(part["last"], F.concat(base, F.array(F.lit("")))).otherwise(base))
 
     done = F.aggregate(marked, F.array().cast("array<string>"), step)
-    return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(done, "/"))).otherwise(path)
+    has_dots = (path.contains("/.") | path.contains("/%2")) & path.rlike(_DOT_SEGMENT)
+    return F.when(has_dots, F.concat(F.lit("/"), F.array_join(done, "/"))).otherwise(path)
 
 
-def with_url_parts(df: DataFrame, src: Column | str, out: str) -> DataFrame:
-    """Add struct column ``out`` with ``scheme, host, port, path, query, origin, valid``.
+def with_url_parts(df: DataFrame, src: Column | str, out: str, fields: list[str] | None = None) -> DataFrame:
+    """Add struct column ``out`` with ``scheme, host, port, path, query, origin, valid``, or only those in ``fields``.
 
     Every part is null when the text is not a valid absolute URL (``valid``
     is then false).  One regular-expression match splits the text into its
     parts; the rest is plain string work, computed once per row in stages.
     """
-    return with_many_url_parts(df, {out: src})
+    return with_many_url_parts(df, {out: src}, {out: fields} if fields else None)
 
 
-def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> DataFrame:
+def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str],
+                        fields: dict[str, list[str]] | None = None) -> DataFrame:
     """``with_url_parts`` for several columns at once (``{out: src}``), sharing
-    each projection stage between them."""
+    each projection stage between them.  ``fields`` names the parts a caller
+    reads, per ``out`` (default: all): the optimizer cannot leave out the others
+    itself, as they pass through a generator."""
     stage: list[dict] = [{} for _ in range(6)]
     parts = {}
     tmp = set()
@@ -98,8 +102,8 @@ def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> Data
         stage[2].update({
             t + "s": s0,
             t + "w": web,
-            t + "hp": F.when(has_auth, F.regexp_replace(auth, r"^.*@", "")).otherwise(F.lit("")),
-            t + "p": F.when(has_auth, F.regexp_replace(rest_path, r"\\", "/")).otherwise(
+            t + "hp": F.when(has_auth, F.when(auth.contains("@"), F.regexp_replace(auth, r"^.*@", "")).otherwise(auth)).otherwise(F.lit("")),
+            t + "p": F.when(has_auth, F.replace(rest_path, F.lit("\\"), F.lit("/"))).otherwise(
                 F.concat(slashes, auth, rest_path)),
             t + "q": F.substring(g[4], 2, 1 << 30),
             t + "sl": has_auth & ~web,
@@ -126,15 +130,9 @@ def with_many_url_parts(df: DataFrame, sources: dict[str, Column | str]) -> Data
             w, F.concat(s, F.lit("://"), h, F.when(keep_port, F.concat(F.lit(":"), pt)).otherwise(F.lit("")))
         ).when(F.col(t + "sl"), F.concat(s, F.lit("://"), h)).otherwise(F.lit("null"))
         path = F.when(w & (F.col(t + "np") == ""), F.lit("/")).otherwise(F.col(t + "np"))
-        parts[out] = F.struct(
-            F.when(ok, s).alias("scheme"),
-            F.when(ok, h).alias("host"),
-            F.when(ok, pt).alias("port"),
-            F.when(ok, path).alias("path"),
-            F.when(ok, F.col(t + "q")).alias("query"),
-            F.when(ok, origin).alias("origin"),
-            ok.alias("valid"),
-        )
+        every = {"scheme": s, "host": h, "port": pt, "path": path, "query": F.col(t + "q"), "origin": origin}
+        wanted = (fields or {}).get(out, FIELDS)
+        parts[out] = F.struct(*[(ok if f == "valid" else F.when(ok, every[f])).alias(f) for f in FIELDS if f in wanted])
     # one projection per dependency level (each withColumns is one analysis)
     for cols in stage:
         if cols:

@@ -107,7 +107,7 @@ def pre_gate_checks(df: DataFrame) -> DataFrame:
     """Status of the checks before the allowance gate (null when all pass)."""
     site = F.col("site")
     ref = nonempty(F.col("headers")["referer"])
-    df = urls.with_url_parts(df, ref, "_hdr_ref")
+    df = urls.with_url_parts(df, ref, "_hdr_ref", ["host", "valid"])
     domains = F.col("_domains")
     has_list = domains.isNotNull() & (F.size(domains) > 0)
     parts = F.col("_hdr_ref")
@@ -125,8 +125,12 @@ def pre_gate_checks(df: DataFrame) -> DataFrame:
     return df.withColumn("_pre_status", status).withColumn("_pre_reason", reason).drop("_hdr_ref")
 
 
+def second_of(at: str) -> Column:
+    return F.floor(F.unix_micros(at) / F.lit(1_000_000))
+
+
 def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowance",
-                   sites: DataFrame | None = None) -> DataFrame:
+                   sites: DataFrame | None = None, rows_of=None) -> DataFrame:
     """Per site, the first ``allowance`` eligible requests (by received_at, request_id) pass.
 
     A prefix sum in levels, each over counts of the level before, so no task ever ranks a site's requests: one grouped
@@ -134,23 +138,31 @@ def gate_allowance(df: DataFrame, eligible: Column, out: str = "_within_allowanc
     the allowance runs out, over the seconds of that day (86,400 at most) the second, and over the microseconds of that
     second (a million at most) the microsecond.  Only requests of one site and one microsecond are ranked together, by id.
     That gives each site over its allowance one cut-off key, and every request is compared with its site's key through a
-    join with that small table: three passes over the requests and no shuffle of them by id.  The per-site tables have
-    at most one row per site, so they are broadcast when the site table itself is small (``sites``).
+    join with that small table: no shuffle of the requests by id.  The per-site tables have at most one row per site, so
+    they are broadcast when the site table itself is small (``sites``).
+
+    ``df`` is read in full twice, for the counts and for the comparison.  Both levels read the counts from one shuffle
+    (each asks for the same columns of it, with no null check of its own), and ``rows_of(keys)``, if given, makes the
+    rows of ``df`` of some (site, second) pairs, joined with ``keys``, without making all of ``df`` first.
     """
-    micros = F.unix_micros("received_at")
-    sec, day = F.floor(micros / F.lit(1_000_000)), F.floor(F.col("_sec") / F.lit(86_400))
-    e = df.filter(eligible).select("site", "request_id", "received_at", "_allowance", sec.alias("_sec"), micros.alias("_us"))
-    seconds = e.groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"), F.max("_allowance").alias("_allow")).withColumn("_day", day)
+    e = df.filter(eligible & F.col("site").isNotNull()).select("site", "_allowance", second_of("received_at").alias("_sec"))
+    seconds = e.groupBy("site", "_sec").agg(F.count(F.lit(1)).alias("_c"), F.max("_allowance").alias("_allow")).withColumn(
+        "_day", F.floor(F.col("_sec") / F.lit(86_400)))
     days = seconds.groupBy("site", "_day").agg(F.sum("_c").alias("_c"), F.max("_allow").alias("_allow"))
     by_site = Window.partitionBy("site")
     days = _running(days.withColumn("_n", F.sum("_c").over(by_site)).withColumn("_allow", F.max("_allow").over(by_site)), "_day")
     days = days.filter(F.col("_n") > F.col("_allow"))
     over = days.select("site").distinct()
-    cut_day = days.filter(_holds_cut(F.col("_allow"))).select("site", "_day", (F.col("_allow") - F.col("_before")).alias("_left"))
-    in_day = seconds.select("site", "_day", "_sec", "_c").join(broadcast_if_bounded_by(cut_day, sites), ["site", "_day"])
+    cut_day = days.filter(_holds_cut(F.col("_allow"))).select(
+        F.col("site").alias("_cut_site"), F.col("_day").alias("_cut_day"), F.col("_before").alias("_spent"))
+    in_day = seconds.join(broadcast_if_bounded_by(cut_day, sites),
+                          F.col("site").eqNullSafe(F.col("_cut_site")) & F.col("_day").eqNullSafe(F.col("_cut_day")))
+    in_day = in_day.select("site", "_sec", "_c", (F.col("_allow") - F.col("_spent")).alias("_left"))
     cut_sec = _running(in_day, "_sec").filter(_holds_cut(F.col("_left"))).select(
         "site", "_sec", (F.col("_left") - F.col("_before")).alias("_left"))
-    in_sec = e.select("site", "request_id", "received_at", "_sec", "_us").join(broadcast_if_bounded_by(cut_sec, sites), ["site", "_sec"])
+    cut_sec = broadcast_if_bounded_by(cut_sec, sites)
+    near = rows_of(cut_sec) if rows_of else df.withColumn("_sec", second_of("received_at")).join(cut_sec, ["site", "_sec"])
+    in_sec = near.filter(eligible).select("site", "request_id", "received_at", F.unix_micros("received_at").alias("_us"), "_left")
     same_us = Window.partitionBy("site", "_us")
     ranked = in_sec.withColumn("_rank", F.row_number().over(same_us.orderBy("request_id"))).withColumn("_c", F.count(F.lit(1)).over(same_us))
     cut_us = _running(ranked.filter(F.col("_rank") == 1), "_us").filter(_holds_cut(F.col("_left"))).select(
@@ -181,16 +193,17 @@ def pre_check(requests: DataFrame, sites: DataFrame, bound: DataFrame | None = N
     return pre_gate_checks(with_site(requests, sites, bound))
 
 
-def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None = None) -> DataFrame:
+def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None = None, rows_of=None) -> DataFrame:
     """Allowance gate (metered only) and body checks -> ``status``, ``reason``, ``uses_allowance``.
 
-    The gate reads ``pre`` three times (histogram, cut second, comparison);
-    a job stores ``pre`` first so the checks before it run once per row.
+    The gate reads ``pre`` for its counts, for the cut seconds (``rows_of``, see
+    :func:`gate_allowance`) and for the comparison; a job stores ``pre`` first
+    so the checks before it run once per row.
     """
     df = pre
     eligible = F.col("_pre_status").isNull()
     if metered:
-        df = gate_allowance(df, eligible, sites=sites)
+        df = gate_allowance(df, eligible, sites=sites, rows_of=rows_of)
         gate_fail = eligible & ~F.col("_within_allowance")
         uses = F.col("_within_allowance")
     else:
@@ -219,7 +232,10 @@ def finish_checks(pre: DataFrame, metered: bool = False, sites: DataFrame | None
 
 def validate(requests: DataFrame, sites: DataFrame, metered: bool = False) -> DataFrame:
     """requests -> requests + site config + ``status``, ``reason``, ``uses_allowance``."""
-    return finish_checks(pre_check(requests, sites), metered, sites)
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return pre_check(requests.withColumn("_sec", second_of("received_at")).join(keys, ["site", "_sec"]), sites)
+
+    return finish_checks(pre_check(requests, sites), metered, sites, rows_of)
 
 
 def parse_body(df: DataFrame, event_aliases: dict[str, str] | None = None) -> DataFrame:
@@ -274,7 +290,7 @@ def _visit_urls(df: DataFrame, page: bool = True) -> DataFrame:
     srcs = {"_rp": "_raw_ref", "_op": "_org"}
     if page and "b_url" in df.columns:
         srcs["_page"] = "b_url"
-    return urls.with_many_url_parts(df, srcs)
+    return urls.with_many_url_parts(df, srcs, {"_rp": ["host", "path", "origin", "valid"], "_op": ["host", "valid"], "_page": ["query"]})
 
 
 def with_referer(df: DataFrame) -> DataFrame:
@@ -308,7 +324,7 @@ def with_utm(df: DataFrame, from_url: bool = True) -> DataFrame:
     """utm_* from the body; for first events lacking them, from the page URL query (``b_url``)."""
     use_url = from_url and "b_url" in df.columns
     if use_url and "_page" not in df.columns:
-        df = urls.with_url_parts(df, "b_url", "_page")
+        df = urls.with_url_parts(df, "b_url", "_page", ["query"])
     vals = {}
     for k in UTM_FIELDS:
         body = F.col(f"b_{k}")
