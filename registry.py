@@ -60,13 +60,10 @@ def adapted(spark: SparkSession, sf: str):
     back whole - as the product reads its lake."""
     root = scratch_path(spark, "adapted", _stamp(sf))
 
-    def write(tmp):
-        ini, ev = fixtures.load(spark, sf)
-        ini.write.parquet(tmp + "/initial_events")
-        ev.write.parquet(tmp + "/events")
-
-    publish_once(spark, root, write)
-    return spark.read.parquet(root + "/initial_events"), spark.read.parquet(root + "/events")
+    # first events are looked for once; the flag parts the rows into both tables as they are written
+    flagged = fixtures.adapt_flagged(fixtures.raw_events(spark, sf))
+    publish_once(spark, root, lambda tmp: flagged.write.partitionBy("is_initial").parquet(tmp))
+    return fixtures.split_flagged(spark.read.schema(flagged.schema).parquet(root))
 
 
 def analytics(spark: SparkSession, sf: str) -> model.Analytics:

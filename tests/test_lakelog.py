@@ -200,3 +200,19 @@ def test_a_stream_without_its_checkpoint_loses_no_usage(spark, scratch):
     assert src.read_events(spark, lake).count() == 16
     assert remaining_allowance(spark, s, lake, 0, "third").first()["request_allowance"] == 4
     assert remaining_allowance(spark, s, lake, 0, ledger[0]["writer"]).first()["request_allowance"] == 12
+
+
+def test_a_commit_reads_its_rows_twice(spark, scratch):
+    """Once for the log rows, once for the zone maps, which take the files from the written log rows; nothing empty runs."""
+    commit = lakelog.Commit(spark, scratch)
+    df = spark.createDataFrame([("s%d" % i, i) for i in range(9)], "session_id string, n int").selectExpr("*", "'w' AS writer", "0L AS batch_id")
+    table = lakelog.Table("t", df.drop("writer", "batch_id").schema, (), None, "session_id")
+    commit.write(table, df)
+    adds, zones = commit._added()
+    plans = []
+    for d in (adds, zones(spark.range(1).limit(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in lakelog.ACTIONS]))):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("FileScan parquet") == 1 and "ExistingRDD" not in plans[0] + plans[1]
+    assert commit.publish(lambda snap: None) == 0
+    snap = lakelog.snapshot(spark, scratch)
+    assert snap.read(table, keys=["s3"]).count() == 9 and snap.zones.count() == 1 and snap.live.first()["n_rows"] == 9

@@ -72,15 +72,22 @@ def adapt_flagged(raw: DataFrame) -> DataFrame:
 
 def adapt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Supplied events -> (initial_events, events) in report-layer form."""
-    flagged = adapt_flagged(raw)
+    return split_flagged(adapt_flagged(raw))
+
+
+def split_flagged(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flagged events (``adapt_flagged``) -> (initial_events, events)."""
     first = flagged.filter("is_initial").drop("is_initial")
     rest = flagged.filter(~F.col("is_initial")).select(*COMMON_OUT)
     return first, rest
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+
+
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
-    return adapt(raw)
+    return adapt(raw_events(spark, sf_dir))
 
 
 # DuckDB twin of ``adapt``: defines CTEs ``fx_all``, ``initial_events``, ``events_t``.

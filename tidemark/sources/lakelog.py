@@ -52,6 +52,11 @@ class Conflict(Exception):
     """A file that this commit wants to replace is no longer live."""
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty: it starts no task and drops out of unions."""
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
+
+
 # ---------------------------------------------------------------- files
 
 def _fs(spark: SparkSession, path: str):
@@ -113,7 +118,7 @@ class Table:
     def read_files(self, spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
         """The rows of some of the table's files (paths under the table's folder), with ``writer`` and ``batch_id``."""
         if not paths:
-            return spark.createDataFrame([], self.stored)
+            return no_rows(spark, self.stored)
         folder = self.folder(root)
         schema = T.StructType([*self.stored.fields, T.StructField("commit", T.StringType())])
         return (spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/{p}" for p in paths])
@@ -130,42 +135,48 @@ class Table:
         out.hint("rebalance", *[F.col(c) for c in self.partitions]).write.partitionBy(*self.partitions).parquet(f"{self.folder(root)}/commit={commit}")
         return commit
 
-    def measured(self, spark: SparkSession, root: str, commit: str) -> tuple[DataFrame, DataFrame]:
-        """The log's rows about a commit folder: files added, and their zone maps."""
+    def _log_rows(self, spark: SparkSession, root: str, commit: str) -> DataFrame:
+        """What the log notes of a commit folder's rows, and the URI of each row's file."""
         schema = T.StructType([*self.stored.fields, T.StructField("commit", T.StringType())])
         rows = spark.read.schema(schema).option("basePath", self.folder(root)).parquet(f"{self.folder(root)}/commit={commit}")
-        # a file's path is given in URI form
-        uri = F.col("_metadata.file_path")
-        path = F.concat(F.lit("commit="), F.substring_index(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "/commit=", -1))
 
         def or_null(name: str | None, kind: str) -> Column:
             return F.col(name).cast(kind) if name else F.lit(None).cast(kind)
 
-        rows = rows.select(
-            path.alias("path"), or_null("site_id" if "site_id" in self.partitions else None, "string").alias("site_id"),
+        return rows.select(
+            F.col("_metadata.file_path").alias("uri"), or_null("site_id" if "site_id" in self.partitions else None, "string").alias("site_id"),
             or_null("dt" if "dt" in self.partitions else None, "string").alias("dt"), "writer", "batch_id",
             or_null(self.time, "timestamp").alias("time"), or_null(self.key, "string").alias("key"))
-        by_batch = rows.groupBy("path", "site_id", "dt", "writer").agg(
+
+    def added(self, spark: SparkSession, root: str, commit: str) -> DataFrame:
+        """The log's rows about a commit folder: files added.  Read in one pass; paths are made once per file."""
+        by_batch = self._log_rows(spark, root, commit).groupBy("uri", "site_id", "dt", "writer").agg(
             F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.min("batch_id").alias("low"),
-            F.max("batch_id").alias("high"), F.approx_count_distinct("key").alias("keys"))
+            F.max("batch_id").alias("high"), F.approx_count_distinct("key").alias("keys")).withColumn("path", path_of("uri"))
         # room for the keys in whole bitmaps, a power of two of them
         bitmaps = F.pow(F.lit(2), F.ceil(F.greatest(F.log2(F.sum("keys") * BITS_PER_KEY / BITMAP_BITS), F.lit(0.0))))
         files = by_batch.groupBy("path", "site_id", "dt").agg(
             F.sum("n").alias("n_rows"), F.min("first").alias("first_time"), F.max("last").alias("last_time"),
             F.when(F.sum("keys") > 0, bitmaps.cast("long") * BITMAP_BITS).alias("bits"),
             F.array_sort(F.collect_list(F.struct("writer", "low", "high"))).alias("batches"))
-        adds = files.select(F.lit("add").alias("action"), F.lit(self.name).alias("table"), *ACTIONS.names[2:])
-        return adds, self._bitmaps(rows, files)
+        return files.select(F.lit("add").alias("action"), F.lit(self.name).alias("table"), *ACTIONS.names[2:])
 
-    def _bitmaps(self, rows: DataFrame, files: DataFrame) -> DataFrame:
+    def zones(self, spark: SparkSession, root: str, commit: str, files: DataFrame) -> DataFrame:
+        """The zone maps of a commit folder's files, whose log rows (:meth:`added`) are in ``files``."""
         if not self.key:
-            return rows.sparkSession.createDataFrame([], ZONES)
+            return no_rows(spark, ZONES)
         bit = key_bit(F.col("key"), F.col("bits"))
-        return (rows.where(F.col("key").isNotNull()).select("path", "key").join(files.select("path", "bits"), "path")
+        rows = self._log_rows(spark, root, commit).where(F.col("key").isNotNull()).select(path_of("uri").alias("path"), "key")
+        return (rows.join(files.where((F.col("action") == "add") & (F.col("table") == self.name)).select("path", "bits"), "path")
                 .groupBy("path", F.floor(bit / BITMAP_BITS).alias("bucket"))
                 .agg(F.bitmap_construct_agg(bit % BITMAP_BITS).alias("bitmap")))
 
 
+def path_of(uri: str) -> Column:
+    """A file's path under its table's folder, from its URI form."""
+    return F.concat(F.lit("commit="), F.substring_index(F.url_decode(F.replace(F.col(uri), F.lit("+"), F.lit("%2B"))), "/commit=", -1))
+
+
 def key_bit(key: Column, bits: Column) -> Column:
     """The bit of a key in a file's filter."""
     return F.pmod(F.xxhash64(key), bits)
@@ -184,7 +195,7 @@ class Snapshot:
 
     def _read(self, part: str, schema: T.StructType) -> DataFrame:
         paths = [f"{self.root}/_log/{e}/{part}" for e in self.entries]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else no_rows(self.spark, schema)
 
     @cached_property
     def live(self) -> DataFrame:
@@ -239,9 +250,12 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
     return Snapshot(spark, root, top, tuple(commits))
 
 
-def _publish(spark: SparkSession, root: str, name: str, actions: DataFrame, zones: DataFrame) -> bool:
+def _publish(spark: SparkSession, root: str, name: str, actions: DataFrame, zones) -> bool:
+    """``zones``: a table, or a function that makes it from the written ``actions``."""
     stage = f"{root}/_log/.{uuid.uuid4().hex}"
     actions.select(*ACTIONS.names).coalesce(1).write.parquet(f"{stage}/actions")
+    if callable(zones):
+        zones = zones(spark.read.schema(ACTIONS).parquet(f"{stage}/actions"))
     zones.select(*ZONES.names).write.parquet(f"{stage}/zones")
     if rename_new(spark, stage, f"{root}/_log/{name}"):
         return True
@@ -272,11 +286,16 @@ class Commit:
     def write(self, table: Table, df: DataFrame) -> None:
         self.written.append((table, table.write(df, self.root)))
 
-    def _added(self) -> tuple[DataFrame, DataFrame]:
-        parts = [t.measured(self.spark, self.root, c) for t, c in self.written
+    def _added(self):
+        """Log rows of the files added, and a function that makes their zone maps from these rows, once written."""
+        parts = [(t, c) for t, c in self.written
                  if any(n != "_SUCCESS" for n in names_in(self.spark, f"{t.folder(self.root)}/commit={c}"))]
-        empty = self.spark.createDataFrame([], ACTIONS), self.spark.createDataFrame([], ZONES)
-        return tuple(reduce(DataFrame.unionByName, x) for x in zip(empty, *parts))
+        adds = [t.added(self.spark, self.root, c) for t, c in parts]
+
+        def zones(actions: DataFrame) -> DataFrame:
+            return reduce(DataFrame.unionByName, [t.zones(self.spark, self.root, c, actions) for t, c in parts], no_rows(self.spark, ZONES))
+
+        return reduce(DataFrame.unionByName, adds, no_rows(self.spark, ACTIONS)), zones
 
     def publish(self, replaced, attempts: int = 50) -> int:
         """Publish at the next version and return it.
